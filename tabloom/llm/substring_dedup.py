@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,59 +35,47 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-_BLOCK = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("doc_ids", pa.binary()), ("marks", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64())])
-BLOCK = "bucket int, hashes binary, places binary, doc_ids binary, marks binary, doc_id long, mark long"
-FLAGS = "doc_id long, mark long, hashes binary"
-_FLAGS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("hashes", pa.binary())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("doc_ids", pa.binary()), ("doc_id", pa.int64()), ("width", pa.int32())])
+BLOCK = "bucket int, hashes binary, places binary, doc_ids binary, doc_id long, width int"
+FLAGS = "doc_id long, hashes binary"
+_FLAGS = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 
 
-def text_mark(data: bytes) -> int:
-    """Tells apart texts that share a doc_id."""
-    value = xxhash.xxh64_intdigest(data, seed=42)  # what Spark's xxhash64 gives
-    return value - (1 << 64) if value >> 63 else value
-
-
-def _by_document(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _by_document(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(places, kind="stable")
     places, hashes = places[order], hashes[order]
     cuts = np.flatnonzero(np.diff(places)) + 1
     for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(places)]]).tolist()):
         if b > a:
-            yield int(ids[places[a]]), int(marks[places[a]]), hashes[a:b].tobytes()
+            yield int(ids[places[a]]), hashes[a:b].tobytes()
 
 
 def _scan(bits: int, width: int):
     """Blocks for the buckets, and rows with a doc_id for what is decided already."""
 
-    def flush(ids: list, marks: list, hashes: list, places: list) -> Iterator[pa.RecordBatch]:
-        ids, marks = np.array(ids, np.int64), np.array(marks, np.int64)
+    def flush(ids: list, hashes: list, places: list) -> Iterator[pa.RecordBatch]:
+        ids = np.array(ids, np.int64)
         h, p = np.concatenate(hashes), np.concatenate(places)
-        rank = np.empty(len(ids), np.int64)  # places in order of doc_id, so that equal hashes sort by document
-        order = np.argsort(ids, kind="stable")
-        rank[order] = np.arange(len(ids))
-        ids, marks = ids[order], marks[order]
+        ids, rank = np.unique(ids, return_inverse=True)  # rows that share a doc_id are one document here
         o = np.lexsort((rank[p], h))
         h, p = h[o], rank[p][o].astype(np.uint32)
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         owner = ids[p[np.flatnonzero(first)]][np.cumsum(first) - 1]
         decided = ids[p] > owner
-        rows = [(i % (1 << bits), hs, None, None, None, i, m) for i, m, hs in _by_document(ids, marks, p[decided], h[decided])]
-        # rows of the smallest doc_id may differ in text: each goes on, under its own mark
-        go = ~decided
-        go[1:] &= (h[1:] != h[:-1]) | (p[1:] != p[:-1])
-        h, p = h[go], p[go]
+        rows = [(i % (1 << bits), hs, None, None, i, None) for i, hs in _by_document(ids, p[decided], h[decided])]
+        h, p = h[first], p[first]
         cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
         for bucket, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)])):
             if b > a:
                 used, local = np.unique(p[a:b], return_inverse=True)
                 small = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-                rows.append((bucket, _pack(np.diff(h[a:b], prepend=np.uint64(0))), _pack(small), _pack(ids[used]), _pack(marks[used]), None, small.itemsize))
+                rows.append((bucket, _pack(np.diff(h[a:b], prepend=np.uint64(0))), _pack(small), _pack(np.diff(ids[used], prepend=0)), None, small.itemsize))
         for at in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at : at + 2000]), _BLOCK)], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, marks, hashes, places, n = [], [], [], [], 0
+        ids, hashes, places, n = [], [], [], 0
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 words = Words(data, offsets)
@@ -101,13 +88,12 @@ def _scan(bits: int, width: int):
                     hashes.append(grams[at : at + int(count[k])])
                     places.append(np.full(int(count[k]), len(ids), np.uint32))
                     ids.append(own[k])
-                    marks.append(text_mark(data[offsets[k] : offsets[k + 1]].tobytes()))
                     n += int(count[k])
                     if n >= FLUSH_WINDOWS:
-                        yield from flush(ids, marks, hashes, places)
-                        ids, marks, hashes, places, n = [], [], [], [], 0
+                        yield from flush(ids, hashes, places)
+                        ids, hashes, places, n = [], [], [], 0
         if n:
-            yield from flush(ids, marks, hashes, places)
+            yield from flush(ids, hashes, places)
 
     return run
 
@@ -116,31 +102,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All blocks of a bucket stand together; which of its documents hold a window that a smaller one holds too."""
 
     def close(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hs, ps, ids, marks, n = [], [], [], [], 0
-        for hashes, places, doc_ids, texts, width in blocks:
+        hs, ps, ids, n = [], [], [], 0
+        for hashes, places, doc_ids, width in blocks:
             hs.append(np.cumsum(_unpack(hashes, np.uint64), dtype=np.uint64))
             ps.append(_unpack(places, np.uint16 if width == 2 else np.uint32).astype(np.uint32) + np.uint32(n))
-            ids.append(_unpack(doc_ids, np.int64))
-            marks.append(_unpack(texts, np.int64))
+            ids.append(np.cumsum(_unpack(doc_ids, np.int64)))
             n += len(ids[-1])
-        h, p, ids, marks = np.concatenate(hs), np.concatenate(ps), np.concatenate(ids), np.concatenate(marks)
+        h, p, ids = np.concatenate(hs), np.concatenate(ps), np.concatenate(ids)
         o = np.argsort(h, kind="stable")
         h, p = h[o], p[o]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         own = ids[p]
         least = np.minimum.reduceat(own, start)
         flagged = own > np.repeat(least, np.diff(np.append(start, len(h))))
-        rows = list(_by_document(ids, marks, p[flagged], h[flagged]))
+        rows = list(_by_document(ids, p[flagged], h[flagged]))
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at : at + 5000]), _FLAGS)], schema=_FLAGS)
 
     bucket, blocks = None, []
     for batch in batches:
-        decided = batch.filter(batch.column(5).is_valid())
+        decided = batch.filter(batch.column(4).is_valid())
         if len(decided):
-            yield pa.RecordBatch.from_arrays([decided.column(k) for k in (5, 6, 1)], schema=_FLAGS)
-        batch = batch.filter(batch.column(5).is_null())
-        for b, *block in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6))):
+            yield pa.RecordBatch.from_arrays([decided.column(k) for k in (4, 1)], schema=_FLAGS)
+        batch = batch.filter(batch.column(4).is_null())
+        for b, *block in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5))):
             if b != bucket and blocks:
                 yield from close(blocks)
                 blocks = []
@@ -167,12 +152,12 @@ def _remove(width: int, digest: bool):
                     body = data[offsets[k] : offsets[k + 1]].tobytes()
                     kept = body.split()
                     n = len(kept)
-                    if (found := flags[a + k].as_py()) is not None:
+                    if n >= width and (found := flags[a + k].as_py()) is not None:
                         if words is None:
                             words = Words(data, offsets)
                             grams = words.windows(width)
                         at = int(words.first[k])
-                        wanted = np.frombuffer(b"".join(found), np.uint64)
+                        wanted = np.frombuffer(b"".join(found), np.uint64)  # may hold windows of other rows with this doc_id
                         hit = np.isin(grams[at : at + n - width + 1], wanted)
                         edge = np.zeros(n + 1, np.int64)
                         edge[: len(hit)] += hit
@@ -198,10 +183,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
-    bits = max(4, (4 * parts(spark) - 1).bit_length())
+    bits = max(4, (2 * parts(spark) - 1).bit_length())
     blocks = slim.mapInArrow(_scan(bits, width), BLOCK)
     counted = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, FLAGS)
-    flags = counted.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("hashes").alias("hashes"))
+    flags = counted.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("hashes").alias("hashes"))
     rows = slim.select(id_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.withColumn("mark", F.xxhash64("text")).join(flags, ["key", "mark"], "left")
+    joined = rows.join(flags, "key", "left")
     return joined.select("doc_id", "text", "hashes").mapInArrow(_remove(width, digest), "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept_text string"))
