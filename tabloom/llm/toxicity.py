@@ -33,7 +33,7 @@ ORDER, DECAY, SYMBOLS = 3, 0.6, 64
 #: Longer words are read through windows of WINDOW characters that overlap by half.
 WINDOW = 14
 #: Labelled documents that training uses at most, chosen by a hash of their id.
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 4000
 MEMO_SIZE = 300_000
 LANDMARKS = (128, 128)
 
@@ -110,7 +110,7 @@ def features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         if n < ORDER:
             continue
         _, weights = _layout(n)
-        step = max(1, 2_000_000 // len(weights))
+        step = max(1, 1_000_000 // len(weights))
         for at in range(0, len(all_), step):
             own = all_[at : at + step]
             codes = _codes([strings[k] for k in own], n)
@@ -163,21 +163,33 @@ class Scorer:
         return np.array([max(map(get, s)) if s else self.model.bias for s in sets])
 
 
-def _dense(strings: list[str]) -> np.ndarray:
-    out = np.zeros((len(strings), SYMBOLS**ORDER), np.float32)
-    for own, codes, value in features(strings):
-        np.add.at(out, (np.repeat(own, codes.shape[1]), codes.ravel()), value.ravel())
-    return out
+class Landmarks:
+    """Feature vectors of the landmark strings, over the triples that occur in any of them."""
 
+    def __init__(self, strings: list[str]):
+        found = list(features(strings))
+        self.codes = np.unique(np.concatenate([codes.ravel() for _, codes, _ in found]))
+        self.column = np.zeros(SYMBOLS**ORDER, np.int32)  # 0: in no landmark
+        self.column[self.codes] = np.arange(1, len(self.codes) + 1)
+        self.table = np.zeros((len(self.codes) + 1, len(strings)), np.float32)
+        for own, codes, value in found:
+            np.add.at(self.table, (self.column[codes.ravel()], np.repeat(own, codes.shape[1])), value.ravel())
 
-def _kernel(strings: list[str], dense: np.ndarray) -> np.ndarray:
-    """Kernel between strings and landmarks, given as rows of triple weights."""
-    table, out = np.ascontiguousarray(dense.T), np.zeros((len(strings), len(dense)), np.float32)
-    for own, codes, value in features(strings):
-        step = max(1, 4_000_000 // (codes.shape[1] * len(dense)))
-        for at in range(0, len(own), step):
-            out[own[at : at + step]] = np.einsum("ncl,nc->nl", table[codes[at : at + step]], value[at : at + step])
-    return out
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        """Kernel between strings and landmarks."""
+        n = self.table.shape[1]
+        out = np.zeros((len(strings), n), np.float32)
+        for own, codes, value in features(strings):
+            step = max(1, 2_000_000 // (codes.shape[1] * n))
+            for at in range(0, len(own), step):
+                out[own[at : at + step]] = np.einsum("ncl,nc->nl", self.table[self.column[codes[at : at + step]]], value[at : at + step])
+        return out
+
+    def fold(self, weights: np.ndarray) -> np.ndarray:
+        """One weight per triple from one per landmark."""
+        out = np.zeros(SYMBOLS**ORDER, np.float32)
+        out[self.codes] = self.table[1:] @ weights
+        return out
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -223,7 +235,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     if not n_bad or n_bad == len(labels):
         share = (n_bad + 0.5) / (len(labels) + 1) if labels else 0.5
         return Model(np.zeros(SYMBOLS**ORDER, np.float32), float(np.log(share / (1 - share))), 1.0, 0.0)
-    sets = [set(map(trimmed, words_of(t))) - {""} for t in texts]
+    names: dict[str, str] = {}  # one string object per word, whatever the number of texts
+    sets = [{names.setdefault(w, w) for w in map(trimmed, words_of(t)) if w} for t in texts]
     bad, good = Counter(), Counter()
     first = _first_of_copies(sets)
     n_bad, n_all = sum(labels[k] for k in first), len(first)
@@ -248,25 +261,32 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     pool = sorted((w for w in good if w not in known), key=lambda w: hash_of(w))[:20_000]
     negative = [w for w in negative if w not in set(positive)] + pool[:4000]
     landmarks = [w[:WINDOW] for w in positive[: LANDMARKS[0]]] + negative[: LANDMARKS[1]]
-    dense = _dense(landmarks)
-    values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
+    space = Landmarks(landmarks)
+    values, vectors = np.linalg.eigh((space.table.T @ space.table).astype(np.float64))
     fine = values > 1e-6
     root = vectors[:, fine] / np.sqrt(values[fine])
     model = None
     for _ in range(rounds):
         strings = [w[:WINDOW] for w in positive] + [g for w in positive for g in _gapped(w)] + [w[:WINDOW] for w in negative]
-        z = _kernel(strings, dense) @ root
+        z = space.kernel(strings) @ root
         z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
         y = np.repeat([1.0, -1.0], [3 * len(positive), len(negative)])
         common = np.sqrt([good[w] for w in negative])
         cost = np.concatenate([np.sqrt(strength) / np.sqrt(strength).sum(), np.repeat(np.sqrt(strength), 2) / 20 / np.sqrt(strength).sum(), common / max(1.0, common.sum())]) * 1000
         w = _squared_hinge(z, y, cost)
-        model = Model((dense.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        model = Model(space.fold(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         scores = model.decide([p[:WINDOW] for p in pool])
         hard = [pool[k] for k in np.argsort(-scores, kind="stable")[:1000]]
         negative = list(dict.fromkeys(negative + hard))
-    worst = Scorer(model).worst(sets)
-    model.slope, model.cut = _calibrate(worst, np.array(labels))
+    scorer = Scorer(model)
+    worst = np.concatenate([scorer.worst(sets[k : k + 200]) for k in range(0, len(sets), 200)])
+    truth = np.array(labels)
+    model.slope, model.cut = _calibrate(worst, truth)
+    # texts hold several bad strings, so the curve through whole texts would ask for more than one; where clean texts
+    # end below the mined strings, the cut goes half-way between (two in a hundred clean labels may be wrong)
+    low, high = np.quantile(worst[truth == 0], 0.98), model.decide([w[:WINDOW] for w in positive[: max(1, len(positive) // 2)]]).min()
+    if high > low:
+        model.cut, model.slope = float(low + high) / 2, max(model.slope, 4 / float(high - low))
     return model
 
 
@@ -311,7 +331,6 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte, for any input
-    held: list[Scorer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -327,7 +346,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             decision = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.model.probability(decision))], schema=_SCORED)
 
-    del held
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
