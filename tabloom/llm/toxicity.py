@@ -283,10 +283,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     truth = np.array(labels)
     model.slope, model.cut = _calibrate(worst, truth)
     # texts hold several bad strings, so the curve through whole texts would ask for more than one; where clean texts
-    # end below the mined strings, the cut goes half-way between (two in a hundred clean labels may be wrong)
+    # end below the mined strings, the cut goes between them, nearer to the bad side (two in a hundred clean labels may be wrong)
     low, high = np.quantile(worst[truth == 0], 0.98), model.decide([w[:WINDOW] for w in positive[: max(1, len(positive) // 2)]]).min()
     if high > low:
-        model.cut, model.slope = float(low + high) / 2, max(model.slope, 4 / float(high - low))
+        model.cut, model.slope = float(low + 0.65 * (high - low)), max(model.slope, 4 / float(high - low))
     return model
 
 
