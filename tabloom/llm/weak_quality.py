@@ -21,7 +21,7 @@ from .common import Words, identifier, ids_array, mix, text_chunks
 LABELLERS = ("symbols", "shouting", "pipes", "repeats", "vocabulary", "sentences", "word_length", "length")
 BITS = 16
 #: Documents that train the scorer at most, chosen by a hash of their id.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 5000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -159,8 +159,8 @@ def train(texts: list[str], target: np.ndarray, epochs: int = 60, rate: float =
         words = Words(data, np.array([0, len(data)]), fold=True)
         a, b = hashed(data, words)
         code, count = np.unique(np.concatenate([a, b + (1 << BITS)]), return_counts=True)
-        rows.append(np.full(len(code), k))
-        codes.append(code)
+        rows.append(np.full(len(code), k, np.int32))
+        codes.append(code.astype(np.int32))
         values.append(count / max(1, len(a)))
     weights = np.zeros((2 << BITS) + 1)
     if not texts:
