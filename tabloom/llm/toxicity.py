@@ -349,6 +349,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+_FITTED = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("cut", pa.float64())])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
+    model = fit([r[1] for r in rows], [r[2] for r in rows])
+    yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "cut": model.cut}], schema=_FITTED)
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """Fitted in one executor task over the bounded sample; only the model, of fixed size, comes to the driver."""
+    sample = training_rows(docs, labels, train_docs).repartition(1)
+    row = sample.mapInArrow(_fit_rows, "weights binary, bias double, slope double, cut double").first()
+    if row is None:  # no sample at all
+        return fit([], [])
+    return Model(np.frombuffer(row.weights, np.float32), row.bias, row.slope, row.cut)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per input row.
 
@@ -356,10 +374,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     either does. Rows with crc32(doc_id as text) mod 5 = 0 are held out of training; a null doc_id is never a training
     row. A null, empty or wordless text gets the score of no evidence. Repeated rows get equal scores. Without both
     labels in the sample every score is the share of toxic ones. Empty docs give an empty result; other columns play
-    no part. Training reads at most about train_docs labelled documents, on the driver.
+    no part. Training reads at most about train_docs labelled documents, in one task.
     """
     slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
-    seen = sorted((r.doc_id, r.text or "", r.toxic) for r in training_rows(slim, labels, train_docs).collect())
-    model = fit([r[1] for r in seen], [r[2] for r in seen])
-    scored = score(slim, model)
+    scored = score(slim, train(slim, labels, train_docs))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
