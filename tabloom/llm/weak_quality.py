@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Words, identifier, ids_array, mix, text_chunks
 
 LABELLERS = ("symbols", "shouting", "pipes", "repeats", "vocabulary", "sentences", "word_length", "length")
+#: These only ever vote bad, so their silence counts as a vote; that of the others says nothing.
+ONE_SIDED = np.array([True, True, True, True, False, False, False, False])
 BITS = 16
 #: Documents that train the scorer at most, chosen by a hash of their id.
 TRAIN_DOCS = 5000
@@ -69,12 +71,13 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         return np.where(bad, 0, np.where(good, 1, -1))
 
     n = m["n"]
+    none = np.zeros(len(n), bool)  # the absence of one defect says little about the others
     return np.stack(
         [
-            vote(m["symbols"] > 0.3, m["symbols"] < 0.02),
-            vote((m["upper"] > 0.5) & (n > 3), m["upper"] < 0.15),
-            vote(m["pipes"] > 0.15, np.zeros(len(n), bool)),
-            vote(m["again"] > 0.2, (m["again"] < 0.02) & (n >= 20)),
+            vote(m["symbols"] > 0.3, none),
+            vote((m["upper"] > 0.5) & (n > 3), none),
+            vote(m["pipes"] > 0.15, none),
+            vote(m["again"] > 0.2, none),
             vote((m["distinct"] < 0.2) & (n >= 20) & (n < 2000), (m["distinct"] > 0.4) & (n >= 20)),
             vote((m["stops"] < 0.01) & (n >= 20), m["stops"] > 0.05),
             vote((m["word_length"] > 15) | ((m["word_length"] < 2.5) & (n > 3)), (m["word_length"] > 3.5) & (m["word_length"] < 9)),
@@ -95,22 +98,27 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of each pattern, accuracies by class and vote, share of good documents).
 
-    Per labeller and class a distribution over {abstain, bad, good} with a weak prior that a vote is right.
+    Per labeller and class a distribution over {abstain, bad, good} with a prior that a vote is right; silence of
+    a labeller that is not one-sided carries no weight.
     """
     v = votes_of(patterns) + 1  # 0 abstain, 1 bad, 2 good
     m = v.shape[1]
-    prior = np.array([[1.0, 4.0, 1.0], [1.0, 1.0, 4.0]])
-    table = np.repeat((prior / prior.sum(axis=1, keepdims=True))[None], m, axis=0)
+    prior = np.repeat(np.array([[1.0, 4.0, 1.0], [1.0, 1.0, 4.0]])[None], m, axis=0)
+    # a one-sided labeller is made to fire on one kind of defect only, and on good documents hardly ever: a belief that
+    # weighs as much as a twentieth of the documents
+    prior[ONE_SIDED] = np.array([[0.7, 0.3, 1e-6], [0.997, 0.003, 1e-6]])[None] * max(10.0, counts.sum() / 20)
+    table = prior / prior.sum(axis=2, keepdims=True)
+    heard = (v > 0) | ONE_SIDED
     share, posterior = 0.8, np.zeros(len(v))
     for _ in range(steps):
-        logs = np.log(table)[np.arange(m)[None, :], :, v].sum(axis=1)
+        logs = (np.log(table)[np.arange(m)[None, :], :, v] * heard[:, :, None]).sum(axis=1)
         odds = logs[:, 1] + np.log(share) - logs[:, 0] - np.log(1 - share)
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         weight = np.stack([counts * (1 - new), counts * new], axis=1)
         for j in range(m):
             for vote in range(3):
-                table[j, :, vote] = weight[v[:, j] == vote].sum(axis=0)
-        table = table + prior[None]
+                table[j, :, vote] = weight[(v[:, j] == vote) & heard[:, j]].sum(axis=0)
+        table = table + prior
         table /= table.sum(axis=2, keepdims=True)
         share = float(np.clip(weight[:, 1].sum() / max(1, counts.sum()), 0.01, 0.99))
         if np.abs(new - posterior).max(initial=0) < 1e-9:
