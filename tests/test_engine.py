@@ -131,7 +131,7 @@ def test_unsafe_packages():
 
 
 def test_yaml_and_css():
-    assert yaml_source.parse("a: 1\nb:\n  - x\n  - y: yes\n    z: ~\nc: |\n  l1\n  l2\nd: [1, {k: v}]\n---\n- 2\n") == [{"a": 1.0, "b": ["x", {"y": True, "z": None}], "c": "l1\nl2\n", "d": [1.0, {"k": "v"}]}, [2.0]]
+    assert yaml_source.parse("a: 1\nb:\n  - x\n  - k: yes\n    z: ~\nc: |\n  l1\n  l2\nd: [1, {k: v}]\n---\n- 2\n") == [{"a": 1.0, "b": ["x", {"k": True, "z": None}], "c": "l1\nl2\n", "d": [1.0, {"k": "v"}]}, [2.0]]
     rules = css_source.parse("a > b:hover, .c { color: rgb(1, 2, 3); font: x y }")
     assert rules[0]["chain"] == [("", "a", ""), (">", "b", "hover")] and css_source.properties(rules, ".c") == {"color": [(1, 2, 3, 1.0)], "font": ["x", "y"]}
     document = {"a": [1, {"b": None}], "c": "yes"}
