@@ -103,10 +103,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
     """
     v = votes_of(patterns) + 1  # 0 abstain, 1 bad, 2 good
     m = v.shape[1]
-    prior = np.repeat(np.array([[1.0, 4.0, 1.0], [1.0, 1.0, 4.0]])[None], m, axis=0)
-    # a one-sided labeller is made to fire on one kind of defect only, and on good documents hardly ever: a belief that
-    # weighs as much as a twentieth of the documents
-    prior[ONE_SIDED] = np.array([[0.7, 0.3, 1e-6], [0.997, 0.003, 1e-6]])[None] * max(10.0, counts.sum() / 20)
+    # a bad document has one defect, so labellers that watch for another call it good as often as not, and a one-sided
+    # labeller hardly ever fires on good ones: beliefs that weigh as much as a twentieth
+    # (one-sided) or a five-hundredth of the documents
+    prior = np.repeat(np.array([[0.1, 0.5, 0.5], [0.1, 0.05, 0.95]])[None], m, axis=0)
+    prior[ONE_SIDED] = np.array([[0.7, 0.3, 1e-6], [0.997, 0.003, 1e-6]])
+    prior *= np.where(ONE_SIDED, max(10.0, counts.sum() / 20), max(10.0, counts.sum() / 500))[:, None, None]
     table = prior / prior.sum(axis=2, keepdims=True)
     heard = (v > 0) | ONE_SIDED
     share, posterior = 0.8, np.zeros(len(v))
