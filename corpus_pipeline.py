@@ -18,6 +18,9 @@ from tabloom.llm.mixing import mix
 from tabloom.llm.packing import pack
 from tabloom.llm.toxicity import toxicity
 
+#: Percent of shared five-word shingles from which documents are near copies.
+NEAR_PERCENT = 80
+
 
 def _having(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among the kept ones, null included."""
@@ -35,7 +38,7 @@ def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _having(docs, near_dedup(docs).where("kept"))
+    return _having(docs, near_dedup(docs, percent=NEAR_PERCENT).where("kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, durable, id_key, identifier, ids_array, mix, text_chunks
 
+#: Shingle width; percent of op10.
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
 RING = 1 << 18
@@ -133,10 +134,10 @@ def _compare(pairs: DataFrame, slim: DataFrame, leaders: DataFrame) -> DataFrame
     return placed.mapInArrow(_verify, "hub long, member long, shared long, total long").distinct()
 
 
-def _rest(held: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
+def _rest(held: DataFrame, checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members that may still be linked: neither is the hub, their components differ, and both
     sizes and distances to the hub allow the similarity."""
-    least = PERCENT / 100
+    least = percent / 100
     near = F.col("shared") / F.col("total")
     others = held.where("key != hub").join(checked.select("hub", F.col("member").alias("key"), near.alias("near")), ["hub", "key"])
     others = others.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -167,12 +168,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row.
 
     A document's set holds its distinct 5-word shingles after A-Z became lower case; with fewer words the whole
     sequence is the one shingle; a null, empty or blank text has none and is linked with nothing, so it is kept. Links
-    need 100 * intersection >= 85 * union of the full sets. component_id is the smallest doc_id reachable; a null
+    need 100 * intersection >= percent * union of the full sets. component_id is the smallest doc_id reachable; a null
     doc_id is larger than any other. Repeated rows share set and component; each row with doc_id = component_id is
     kept. An empty table gives an empty result; other columns play no part.
     """
@@ -187,11 +188,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = durable(members.join(hubs, "bucket"))
     stars = held.where("key != hub").select("hub", F.col("key").alias("member")).distinct()
     checked = durable(_compare(durable(stars), slim, leaders))
-    linked = checked.where(f"100 * shared >= {PERCENT} * total")
+    linked = checked.where(f"100 * shared >= {percent} * total")
     roots = components(spark, linked.select(F.col("hub").alias("a"), F.col("member").alias("b")))
-    rest = durable(_rest(held, checked, roots))
+    rest = durable(_rest(held, checked, roots, percent))
     if not rest.isEmpty():
-        more = durable(_compare(rest, slim, leaders)).where(f"100 * shared >= {PERCENT} * total")
+        more = durable(_compare(rest, slim, leaders)).where(f"100 * shared >= {percent} * total")
         edges = linked.unionByName(more).select(F.col("hub").alias("a"), F.col("member").alias("b"))
         roots = components(spark, edges)
     placed = leaders.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

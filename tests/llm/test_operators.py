@@ -289,3 +289,16 @@ def test_pipeline(spark, tmp_path):
     near = spark.read.parquet(f"{folder}/near_dedup")
     assert near.select("doc_id").distinct().count() == near.dropDuplicates().count()
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_near_stage_links_from_80_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(104)]
+    pair = [(1, " ".join(w)), (2, " ".join(w[:50] + ["other", "words"] + w[52:]))]  # 94 shingles of 106 in all: 0.887
+    far = [(3, " ".join("a" + x for x in w[:64])), (4, " ".join("a" + x for x in w[:58]) + " tail of six words of its own")]
+    x, y = (shingles(t) for _, t in far)
+    assert 0.80 <= len(x & y) / len(x | y) < 0.85
+    docs = spark.createDataFrame(pair + far, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_out(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
+    assert sorted(r.component_id for r in minhash.near_dedup(docs).collect()) == [1, 1, 3, 4]
