@@ -8,37 +8,48 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table
-from tabloom.llm.exact_dedup import exact_dedup
-from tabloom.llm.minhash import near_dedup
+from tabloom.llm.common import NULL_ID, durable, id_key, table
+from tabloom.llm.exact_dedup import exact_dedup, normal_sha
+from tabloom.llm.minhash import near_owners, text_mark
 from tabloom.llm.mixing import mix
 from tabloom.llm.packing import pack
-from tabloom.llm.toxicity import toxicity
+from tabloom.llm.toxicity import clean_rows
 
 #: Percent of shared five-word shingles from which documents are near copies.
 NEAR_PERCENT = 80
 
 
-def _having(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the kept ones, null included."""
-    wanted = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["_kept_id"]), "left_semi")
+def _chosen(docs: DataFrame, mark: Column, chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, mark) is in chosen (doc_id with null as NULL_ID, mark, n).
+
+    Where n > 1, rows repeat both, and one of them stays: the smallest by its columns in order.
+    """
+    chosen = durable(chosen)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "_mark": mark}).toDF(*names, "_id", "_mark")
+    key = lambda condition: chosen.where(condition).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    out = keyed.join(key("n = 1"), ["_id", "_mark"], "left_semi").select(*names)
+    if not chosen.where("n > 1").isEmpty():
+        repeats = keyed.join(key("n > 1"), ["_id", "_mark"], "left_semi")
+        out = out.unionByName(repeats.groupBy("_id", "_mark").agg(F.min(F.struct(*names)).alias("s")).select("s.*"))
+    return out.toDF(*docs.columns)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity(docs, table(spark, sf_dir, "labels"))
-    return _having(docs, scored.where("predicted = 0"))
+    return clean_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _having(docs, exact_dedup(docs).where("kept"))
+    rows = exact_dedup(docs).groupBy(id_key().alias("doc_id"), F.col("text_sha256").alias("mark"))
+    owners = rows.agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept").drop("kept")
+    return _chosen(docs, normal_sha(docs["text"]), owners)
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _having(docs, near_dedup(docs, percent=NEAR_PERCENT).where("kept"))
+    return _chosen(docs, text_mark(docs["text"]), near_owners(docs, NEAR_PERCENT))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

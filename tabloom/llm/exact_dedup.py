@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, SPACE_BYTES, id_key, identifier, ids_array
@@ -36,6 +36,11 @@ def normalise(text: str | None) -> bytes:
     return (b" " if data[0] in SPACE_BYTES else b"") + out + (b" " if data[-1] in SPACE_BYTES else b"")
 
 
+def normal_sha(text: Column) -> Column:
+    """text_sha256 of a text, as an expression."""
+    return F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+
+
 def _shared(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))

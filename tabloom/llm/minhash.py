@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, durable, id_key, identifier, ids_array, mix, text_chunks
@@ -65,14 +65,14 @@ class Circulant:
         return best
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     circulant = Circulant()
     seeds = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
     for batch in batches:
-        ids = ids_array(batch.column(0))
+        ids, marks = ids_array(batch.column(0)), batch.column(2)
         for a, b, data, offsets in text_chunks(batch.column(1)):
             sizes, keys, bands = [], [], []
             for shingles in shingle_sets(data, offsets):
@@ -86,7 +86,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column in circulant.signature(shingles).reshape(BANDS, ROWS).T:
                     value = mix(value ^ column)
                 bands.append(value.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), marks.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
 _CHECKED = pa.schema([("hub", pa.int64()), ("member", pa.int64()), ("shared", pa.int64()), ("total", pa.int64())])
@@ -168,19 +168,21 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per input row.
+def text_mark(text: Column) -> Column:
+    """64 bits of a hash of the whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    A document's set holds its distinct 5-word shingles after A-Z became lower case; with fewer words the whole
-    sequence is the one shingle; a null, empty or blank text has none and is linked with nothing, so it is kept. Links
-    need 100 * intersection >= percent * union of the full sets. component_id is the smallest doc_id reachable; a null
-    doc_id is larger than any other. Repeated rows share set and component; each row with doc_id = component_id is
-    kept. An empty table gives an empty result; other columns play no part.
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id (null as NULL_ID), mark, n_shingles, root, component_id; one row per input row.
+
+    root names a component, as component_id does not where texts share a doc_id; it is null without shingles.
     """
     spark = docs.sparkSession
     slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
-    signed = durable(slim.mapInArrow(_sign, "doc_id long, n_shingles long, key long, bands array<long>"))
-    keyed = signed.select("doc_id", "n_shingles", "key")
+    marked = slim.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
+    signed = durable(marked.mapInArrow(_sign, "doc_id long, mark long, n_shingles long, key long, bands array<long>"))
+    keyed = signed.select("doc_id", "mark", "n_shingles", "key")
     some = signed.where("key is not null")
     leaders = durable(some.groupBy("key").agg(F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("key", "doc_id", "s.*"))
     members = leaders.select("key", "n_shingles", F.explode("bands").alias("bucket"))
@@ -188,16 +190,39 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = durable(members.join(hubs, "bucket"))
     stars = held.where("key != hub").select("hub", F.col("key").alias("member")).distinct()
     checked = durable(_compare(durable(stars), slim, leaders))
-    linked = checked.where(f"100 * shared >= {percent} * total")
-    roots = components(spark, linked.select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    sure = checked.where(f"100 * shared >= {percent} * total")
+    roots = components(spark, sure.select(F.col("hub").alias("a"), F.col("member").alias("b")))
     rest = durable(_rest(held, checked, roots, percent))
     if not rest.isEmpty():
         more = durable(_compare(rest, slim, leaders)).where(f"100 * shared >= {percent} * total")
-        edges = linked.unionByName(more).select(F.col("hub").alias("a"), F.col("member").alias("b"))
+        edges = sure.unionByName(more).select(F.col("hub").alias("a"), F.col("member").alias("b"))
         roots = components(spark, edges)
     placed = leaders.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    owner = placed.join(smallest, "root").select("key", "component_id")
+    owner = placed.join(smallest, "root").select("key", "root", "component_id")
     out = keyed.join(owner, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "mark", "n_shingles", "root", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per input row.
+
+    A document's set holds its distinct 5-word shingles after A-Z became lower case; with fewer words the whole
+    sequence is the one shingle; a null, empty or blank text has none and is linked with nothing, so it is kept. Links
+    need 100 * intersection >= percent * union of the full sets. component_id is the smallest doc_id reachable; a null
+    doc_id is larger than any other. Repeated rows share set and component; each row with doc_id = component_id is
+    kept. An empty table gives an empty result; other columns play no part.
+    """
     null = F.lit(NULL_ID)
+    out = linked(docs, id_col, text_col, percent)
     return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component_id", null).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def near_owners(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id (null as NULL_ID), mark, n: the row that stays of each component, the smallest by doc_id, then by mark.
+
+    n rows share its id and text, and one of them is to stay. Texts without shingles all stay, so their n is 1.
+    """
+    rows = linked(docs, percent=percent).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark", "n")).alias("s")).select("s.*")
+    return first.unionByName(rows.where("root is null").select("doc_id", "mark", F.lit(1).cast("long").alias("n")))

@@ -328,6 +328,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+def _probabilities(scorer: Scorer, column: pa.Array) -> np.ndarray:
+    at, size = 0, 0
+    texts = [t or "" for t in column.to_pylist()]
+    out = []
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > 2_000_000 or k + 1 == len(texts):
+            out.append(scorer.worst([words_of(t) for t in texts[at : k + 1]]))
+            at, size = k + 1, 0
+    return scorer.model.probability(np.concatenate(out) if out else np.zeros(0))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte, for any input
@@ -335,16 +347,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            at, size = 0, 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = []
-            for k, t in enumerate(texts):
-                size += len(t)
-                if size > 2_000_000 or k + 1 == len(texts):
-                    out.append(scorer.worst([words_of(t) for t in texts[at : k + 1]]))
-                    at, size = k + 1, 0
-            decision = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.model.probability(decision))], schema=_SCORED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probabilities(scorer, batch.column(1)))], schema=_SCORED)
 
     return docs.mapInArrow(run, "doc_id long, score double")
 
@@ -379,3 +382,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
     scored = score(slim, train(slim, labels, train_docs))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs that toxicity() predicts as 0, all columns; each row by its own text, whatever its id."""
+    slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(slim, labels, train_docs))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(scorer, batch.column(at).cast(pa.string())) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

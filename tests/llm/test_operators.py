@@ -302,3 +302,26 @@ def test_near_stage_links_from_80_percent(spark, tmp_path):
     docs = spark.createDataFrame(pair + far, "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_out(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
     assert sorted(r.component_id for r in minhash.near_dedup(docs).collect()) == [1, 1, 3, 4]
+
+
+def test_pipeline_stages_decide_row_by_row(spark, tmp_path):
+    """Repeated and null ids: every row of a doc_id is judged by its own text, and one of equal rows stays."""
+    import corpus_pipeline
+
+    docs, labels = labelled(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = docs.unionByName(spark.createDataFrame([(1, "a zorgul b"), (None, "plain"), (None, None)], "doc_id long, text string"))
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.toxic_out(spark, mixed, str(tmp_path)).collect())
+    assert not any("zorgul" in (t or "") for _, t in kept) and kept[(None, "plain")] == kept[(None, None)] == 1 and any(i == 1 for i, _ in kept)
+
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    schema = "doc_id long, text string, lang string"
+    rows_ = [(3, a, "en"), (7, a.replace(" ", "  ", 1), "en"), (7, b, "en"), (7, b, "de"), (None, c, "en"), (None, c, "en"), (None, d, None), (9, d, "en"), (None, None, "en"), (None, "", "en")]
+    got = corpus_pipeline.exact_out(spark, spark.createDataFrame(rows_, schema), "").collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(3, a), (7, b), (None, c), (9, d), (None, "")])
+
+    rows_ = [(3, a, "en"), (7, a + " x", "en"), (7, b, "en"), (7, b, "de"), (7, b + " y", "en"), (8, b + " y", "en"), (None, c, "en"), (None, c + " z", "en"), (None, d, None), (None, None, "en")]
+    got = corpus_pipeline.near_out(spark, spark.createDataFrame(rows_, schema), "").collect()
+    assert len(got) == 5 and Counter((r.doc_id, (r.text or "")[:200].split(" ")[0]) for r in got) == Counter([(3, a.split(" ")[0]), (7, b.split(" ")[0]), (None, c.split(" ")[0]), (None, d.split(" ")[0]), (None, "")])
