@@ -1,128 +1,183 @@
 """Toxicity by a string-kernel support vector machine (operator 1).
 
-The kernel is the gap-weighted subsequence kernel of order three: a common subsequence of three characters counts
-DECAY to the power of the stretch that it spans, in both strings, so inserted characters weaken a match but do not end
-it. Strings are a text's words (and its runs of spaced-out single letters, joined); a sentence scores as its worst
-word and a text as its worst sentence, which is how labels of whole texts teach about single sentences.
-
-Nystroem: landmark strings, mined from the labelled sample, span the feature space; a squared-hinge machine is trained
-there on labelled strings, with hard negatives mined again each round. Because a subsequence kernel is an inner
-product over the 64 ** 3 possible triples, the trained machine (landmark weights through the inverse root of the
-landmark kernel) folds into one weight per triple, exactly: a string costs one table lookup per subsequence, whatever
-the number of landmarks. Recurring words are scored once per worker, within a bounded memo.
+The kernel is the gap-weighted subsequence kernel of order three: a common subsequence of three symbols counts DECAY to
+the power of the stretch that it spans, in both strings, up to a stretch of SPAN, so inserted characters weaken a match
+but do not end it. The strings are the windows of a text's sentences: every word, and every two neighbouring words with
+the blank between them, so subsequences run across blanks ("wor thless") and an insult may be two words that are each
+harmless alone. Case, accents and punctuation inside words are folded away, and four or more spaced-out single letters
+are read as one word. A sentence scores as its worst window and a text as its worst sentence.
+
+Training is multiple-instance learning on labelled texts: the windows of clean sentences are negative; of the toxic
+ones, the first witnesses are the windows whose share of toxic texts chance does not explain, and each round the
+machine picks every toxic text's own worst window as a further witness, and the worst windows of clean texts as
+further negatives.
+
+Nystroem: landmark windows from the labelled sample span the feature space, and a squared-hinge machine is trained there.
+Because a subsequence kernel is an inner product over the 64 ** 3 possible triples, the trained machine (landmark
+weights through the inverse root of the landmark kernel) folds into one weight per triple, exactly: a text costs 21 table
+look-ups per character, whatever the number of landmarks or of distinct words, and all windows follow from prefix sums.
 
 The model is a table of 64 ** 3 floats and a few numbers, the same size for any input.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identifier
+from .common import identifier, mix, powers
 
 ORDER, DECAY, SYMBOLS = 3, 0.6, 64
-#: Longer words are read through windows of WINDOW characters that overlap by half.
-WINDOW = 14
-#: Labelled documents that training uses at most, chosen by a hash of their id.
-TRAIN_DOCS = 4000
-MEMO_SIZE = 300_000
-LANDMARKS = (128, 128)
-
-_TRIM = re.compile(r"^[\W_]+|[\W_]+$")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W\d_]){3,}(?![^\W_])")
-
+#: Most symbols that a subsequence spans; symbols of one piece of a word (longer ones are cut); symbol of a blank.
+SPAN, PIECE, BLANK = 8, 24, 63
+#: Bounds of the fit, all parameters of train(): labelled documents (chosen by a hash of id and text), windows that open
+#: as witnesses, negatives by frequency and by chance, further negatives a round, landmarks of each kind.
+TRAIN_DOCS, WITNESSES, NEGATIVES, HARD, LANDMARKS = 4000, 400, 4000, 1000, 128
+#: Characters that are scored at once; bounds a worker's memory.
+CHUNK_CHARS = 1 << 16
+_SPACE, _MARK, _LETTER, _DIGIT, _STOP, _BREAK = range(6)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and symbol of each code point of the basic plane."""
+    kind, symbol = np.full(65536, _MARK, np.uint8), (np.arange(65536) % 27 + 36).astype(np.uint8)
+    for k in range(65536):
+        c = chr(k)
+        if c in "\n\r\v\f\x85  ":
+            kind[k] = _BREAK
+        elif c.isspace():
+            kind[k] = _SPACE
+        elif c.isalpha():
+            kind[k] = _LETTER
+            base = unicodedata.normalize("NFD", c)[0]
+            if "a" <= base <= "z":
+                symbol[k] = ord(base) - 97
+        elif c.isdigit():
+            kind[k], symbol[k] = _DIGIT, 26 + k % 10
+    symbol[48:58] = np.arange(26, 36)
+    kind[[ord(c) for c in ".!?;。"]] = _STOP
+    return kind, symbol
+
+
+_KIND, _SYMBOL = _tables()
+#: Norm of a string of n symbols: the root of the squared weights of its subsequences, each place on its own.
+_NORM = np.sqrt(np.cumsum([0.0, *(sum((k - 1) * DECAY ** (2 * k + 2) for k in range(2, min(SPAN, n))) for n in range(1, 2 * PIECE + 2))])).astype(np.float32)
+_SCALE = np.where(_NORM > 0, 1 / np.where(_NORM > 0, _NORM, 1), 0).astype(np.float32)
+_values = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Reading:
+    """The words of several texts laid end to end, as symbols with a blank after each word.
+
+    start, end: symbol bounds of each word; end2: end of the next word of the same sentence, or its own; text: index of
+    the word's text.
+    """
 
-def _symbols() -> np.ndarray:
-    table = np.arange(65536) % 28 + 36
-    table[97:123] = np.arange(26)
-    table[48:58] = np.arange(26, 36)
-    return table
+    def __init__(self, texts: list[str]):
+        lowered = [t.lower() for t in texts]
+        raw = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = np.where(raw > 65535, 0x4E00 + raw % 27, raw)
+        kind = _KIND[raw]
+        blank = (kind == _SPACE) | (kind == _BREAK)
+        ends = np.append(blank[1:], True)
+        sentence = np.cumsum((kind == _BREAK) | ((kind == _STOP) & ends))
+        at = np.flatnonzero((kind == _LETTER) | (kind == _DIGIT))
+        n = len(at)
+        if not n:
+            self.symbols, self.start, self.end, self.end2, self.text = (np.zeros(0, np.int64),) * 5
+            return
+        bounds = np.cumsum([len(t) + 1 for t in lowered])
+        word, sentence = np.cumsum(blank)[at], sentence[at]
+        begin = np.append(True, word[1:] != word[:-1])
+        starts = np.flatnonzero(begin)
+        sizes = np.diff(np.append(starts, n))
+        # runs of single letters of one sentence are one word
+        single = (sizes == 1) & (kind[at[starts]] == _LETTER)
+        same = np.append(False, sentence[starts][1:] == sentence[starts][:-1])
+        follows = single & np.append(False, single[:-1]) & same
+        run = np.cumsum(~follows)
+        begin[starts[follows & (np.bincount(run)[run] >= 4)]] = False
+        starts = np.flatnonzero(begin)
+        inside = np.arange(n) - starts[np.cumsum(begin) - 1]
+        starts = np.flatnonzero(inside % PIECE == 0)
+        index = np.cumsum(inside % PIECE == 0) - 1
+        count = np.arange(len(starts))
+        self.symbols = np.full(n + len(starts), BLANK, np.int64)
+        self.symbols[np.arange(n) + index] = _SYMBOL[raw[at]]
+        self.start, self.end = starts + count, np.append(starts[1:], n) + count
+        last = np.append(sentence[starts][1:] != sentence[starts][:-1], True)
+        self.end2 = np.where(last, self.end, np.append(self.end[1:], 0))
+        self.text = np.searchsorted(bounds, at[starts], "right")
+
+    def windows(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over each word's, and each word pair's, subsequences of decay times weight, over the string's norm."""
+        n = len(self.symbols)
+        code = np.append(self.symbols, np.full(SPAN, BLANK)).astype(np.int32)
+        left = np.diff(np.append(self.start, n))  # symbols of a word and its blank
+        one, two = np.repeat(self.end, left) - np.arange(n), np.repeat(self.end2, left) - np.arange(n)
+        heads = [code[:n] * (SYMBOLS * SYMBOLS) + code[j : n + j] * SYMBOLS for j in range(1, SPAN - 1)]
+        inner, both = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for k in range(2, SPAN):
+            tail = code[k : n + k]
+            part = weights.take(heads[0] + tail)
+            for j in range(1, k - 1):
+                part += weights.take(heads[j] + tail)
+            part *= np.float32(DECAY ** (k + 1))
+            inner += part * (one > k)
+            both += part * (two > k)
+        inner, both = np.append(0.0, np.cumsum(inner, dtype=np.float64)), np.append(0.0, np.cumsum(both, dtype=np.float64))
+        own = inner[self.end] - inner[self.start]
+        pair = both[np.append(self.start[1:], n)] - both[self.start] + np.append(own[1:], 0.0)
+        paired = self.end2 > self.end
+        return own * _SCALE[self.end - self.start], np.where(paired, pair * _SCALE[self.end2 - self.start], -np.inf)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of each word and of each word pair."""
+        power, inverse = powers(_BASE, len(self.symbols) + 1)
+        total = np.zeros(len(self.symbols) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_values[self.symbols] * power[: len(self.symbols)], out=total[1:])
+            return tuple(mix((total[end] - total[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64)) for end in (self.end, self.end2))
+
+    def string(self, word: int, pair: bool) -> bytes:
+        return self.symbols[self.start[word] : (self.end2 if pair else self.end)[word]].astype(np.uint8).tobytes()
+
+
+def string_of(text: str) -> bytes:
+    """The symbols of a text read as one string, blanks between its words."""
+    return Reading([text]).symbols[:-1].astype(np.uint8).tobytes()
 
 
-_SYMBOL = _symbols()
 _layouts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _layout(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all subsequences of n characters, and their weights."""
+    """Places of all subsequences of n symbols, and their weights scaled to norm one."""
     if n not in _layouts:
-        at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
-        _layouts[n] = at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+        at = np.array([(i, i + j, i + k) for i in range(n) for k in range(2, min(SPAN, n - i)) for j in range(1, k)], np.int64).reshape(-1, ORDER)
+        _layouts[n] = at, (DECAY ** (at[:, -1] - at[:, 0] + 1) * _SCALE[n]).astype(np.float32)
     return _layouts[n]
 
 
-def words_of(text: str) -> set[str]:
-    """Lower-cased words, and runs of spaced-out letters joined."""
-    text = text.lower()
-    out = set(text.split())
-    for run in _SPACED.findall(text):
-        out.add(re.sub(r"[\W_]+", "", run))
-    return out
-
-
-def trimmed(word: str) -> str:
-    """Without outer punctuation."""
-    return word if word.isalnum() else _TRIM.sub("", word)
-
-
-def readings_of(word: str) -> list[str]:
-    """Windows of the word without outer punctuation, and without inner punctuation too."""
-    word = trimmed(word)
-    inner = word if word.isalnum() else re.sub(r"[\W_]+", "", word)
-    return windows_of(word) + (windows_of(inner) if inner != word else [])
-
-
-def _gapped(word: str) -> list[str]:
-    """The word with a foreign and with a doubled character inside, at places that its hash picks."""
-    at = 1 + hash_of(word) % max(1, len(word) - 1)
-    return [(word[:at] + "xqzkjwvyuo"[hash_of(word[::-1]) % 10] + word[at:])[:WINDOW], (word[:at] + word[at - 1] + word[at:])[:WINDOW]]
-
-
-def windows_of(word: str) -> list[str]:
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[a : a + WINDOW] for a in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
-
-
-def _codes(strings: list[str], n: int) -> np.ndarray:
-    raw = np.minimum(np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
-    symbols = _SYMBOL[raw].reshape(len(strings), n)
-    at, _ = _layout(n)
-    a, b, c = (symbols[:, at[:, k]] for k in range(ORDER))
-    return ((a * SYMBOLS + b) * SYMBOLS + c).astype(np.int32)
-
-
-def features(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(indexes of strings, triple codes, weights scaled to norm one), by length; shorter than ORDER: left out."""
+def features(strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(indexes of strings, triple codes, weights), by length; shorter than ORDER: left out."""
     by_length: dict[int, list[int]] = {}
     for k, s in enumerate(strings):
         by_length.setdefault(len(s), []).append(k)
-    for n, all_ in by_length.items():
-        if n < ORDER:
-            continue
-        _, weights = _layout(n)
-        step = max(1, 1_000_000 // len(weights))
-        for at in range(0, len(all_), step):
-            own = all_[at : at + step]
-            codes = _codes([strings[k] for k in own], n)
-            order = np.argsort(codes, axis=1, kind="stable")
-            codes = np.take_along_axis(codes, order, 1)
-            value = weights[order].astype(np.float64)
-            new = np.ones(codes.shape, bool)
-            new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-            start = np.flatnonzero(new.ravel())
-            sums = np.add.reduceat(value.ravel(), start)
-            norm = np.sqrt(np.bincount(start // codes.shape[1], sums * sums, len(own)))
-            yield np.array(own), codes, (value / norm[:, None]).astype(np.float32)
+    for n, own in by_length.items():
+        if n >= ORDER:
+            at, weights = _layout(n)
+            symbols = np.frombuffer(b"".join(strings[k] for k in own), np.uint8).reshape(len(own), n).astype(np.int32)
+            a, b, c = (symbols[:, at[:, k]] for k in range(ORDER))
+            yield np.array(own), (a * SYMBOLS + b) * SYMBOLS + c, weights
 
 
 @dataclass
@@ -132,57 +187,58 @@ class Model:
     slope: float
     cut: float
 
-    def decide(self, strings: list[str]) -> np.ndarray:
+    def decide(self, strings: list[bytes]) -> np.ndarray:
         """The machine's decision for each string; one too short for the kernel gets the bias."""
         out = np.full(len(strings), self.bias)
         for own, codes, value in features(strings):
-            out[own] += (self.weights[codes] * value).sum(axis=1)
+            out[own] += self.weights[codes] @ value
         return out
 
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The largest decision of each text's windows; a text without words gets the bias."""
+        out = np.full(len(texts), -np.inf)
+        for a, b in chunks([len(t) for t in texts]):
+            reading = Reading(texts[a:b])
+            if len(reading.start):
+                np.maximum.at(out, a + reading.text, np.maximum(*reading.windows(self.weights)))
+        return np.where(np.isfinite(out), out, 0.0) + self.bias
+
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (decision - self.cut), -30, 30)))
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-
-    def worst(self, sets: list[set[str]]) -> np.ndarray:
-        """The largest decision of each set of words; an empty one gets the bias."""
-        new = list(set().union(*sets).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.memo = {}
-            new = list(set().union(*sets))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            parts = [readings_of(w) for w in some]
-            decisions = self.model.decide([p for ps in parts for p in ps])
-            start = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            self.memo.update(zip(some, np.maximum.reduceat(decisions, start).tolist()))
-        get = self.memo.__getitem__
-        return np.array([max(map(get, s)) if s else self.model.bias for s in sets])
+def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Slices of about CHUNK_CHARS; a longer text makes one of its own, whole."""
+    at = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > CHUNK_CHARS:
+            yield at, k
+            at, total = k, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 class Landmarks:
     """Feature vectors of the landmark strings, over the triples that occur in any of them."""
 
-    def __init__(self, strings: list[str]):
+    def __init__(self, strings: list[bytes]):
         found = list(features(strings))
         self.codes = np.unique(np.concatenate([codes.ravel() for _, codes, _ in found]))
         self.column = np.zeros(SYMBOLS**ORDER, np.int32)  # 0: in no landmark
         self.column[self.codes] = np.arange(1, len(self.codes) + 1)
         self.table = np.zeros((len(self.codes) + 1, len(strings)), np.float32)
         for own, codes, value in found:
-            np.add.at(self.table, (self.column[codes.ravel()], np.repeat(own, codes.shape[1])), value.ravel())
+            np.add.at(self.table, (self.column[codes], own[:, None]), value)
 
-    def kernel(self, strings: list[str]) -> np.ndarray:
+    def kernel(self, strings: list[bytes]) -> np.ndarray:
         """Kernel between strings and landmarks."""
         n = self.table.shape[1]
         out = np.zeros((len(strings), n), np.float32)
         for own, codes, value in features(strings):
             step = max(1, 2_000_000 // (codes.shape[1] * n))
             for at in range(0, len(own), step):
-                out[own[at : at + step]] = np.einsum("ncl,nc->nl", self.table[self.column[codes[at : at + step]]], value[at : at + step])
+                out[own[at : at + step]] = np.einsum("ncl,c->nl", self.table[self.column[codes[at : at + step]]], value)
         return out
 
     def fold(self, weights: np.ndarray) -> np.ndarray:
@@ -213,89 +269,186 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float
     return w
 
 
-def _first_of_copies(sets: list[set[str]], size: int = 16) -> list[int]:
-    """Indexes of texts that share less than half of their bottom sketch with an earlier one: counting words over
-    copies would take chance for evidence."""
+def _gapped(s: bytes) -> list[bytes]:
+    """The string with a foreign symbol, a blank and a doubled symbol inside, at places that its hash picks."""
+    seed = int(np.frombuffer(s.ljust(8, b"\0")[:8], np.uint64)[0]) * 0x9E3779B97F4A7C15 >> 20
+    at, then, last = (1 + (seed >> b) % max(1, len(s) - 1) for b in (0, 7, 14))
+    out = [s[:at] + bytes([b"\x17\x10\x19\x0a\x09\x15\x16"[seed % 7]]) + s[at:], s[:then] + bytes([BLANK]) + s[then:], s[:last] + s[last - 1 : last] + s[last:]]
+    return [x[: 2 * PIECE + 1] for x in out]
+
+
+class Windows:
+    """Distinct windows of the sample's texts: in how many texts of each label, where one stands, in which texts."""
+
+    def __init__(self, texts: list[str]):
+        slices = list(chunks([len(t) for t in texts]))
+        self.readings = [Reading(texts[a:b]) for a, b in slices]
+        parts = []
+        for r, (reading, (first, _)) in enumerate(zip(self.readings, slices)):
+            words, pairs = reading.hashes()
+            paired = np.flatnonzero(reading.end2 > reading.end)
+            every = np.arange(len(words))
+            for hashes, own, pair in ((words, every, 0), (pairs[paired], paired, 1)):
+                parts.append((hashes, first + reading.text[own], np.full(len(own), r), own, np.full(len(own), pair)))
+        hashes, text, self.r, self.word, self.pair = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((text, hashes))
+        hashes, text = hashes[order], text[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        self.of_text = new | np.append(True, text[1:] != text[:-1])
+        self.group = np.cumsum(new) - 1
+        self.text, self.order, self.keys = text, order, hashes[new]
+        self.example = order[new]
+        self.n = len(self.keys)
+        self.size = np.zeros(self.n, np.int64)
+        by = np.argsort(self.r[self.example], kind="stable")
+        cuts = np.searchsorted(self.r[self.example][by], np.arange(len(self.readings) + 1))
+        self.by_reading = [by[a:b] for a, b in zip(cuts, cuts[1:])]
+        for own, reading in zip(self.by_reading, self.readings):
+            w = self.word[self.example[own]]
+            self.size[own] = np.where(self.pair[self.example[own]] == 1, reading.end2[w], reading.end[w]) - reading.start[w]
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """Of the texts that are chosen, how many hold each window."""
+        return np.bincount(self.group[self.of_text], chosen[self.text[self.of_text]].astype(float), self.n)
+
+    def string(self, k: int) -> bytes:
+        e = self.example[k]
+        return self.readings[self.r[e]].string(self.word[e], self.pair[e] == 1)
+
+    def strings(self, ks: np.ndarray) -> list[bytes]:
+        return [self.string(k) for k in ks.tolist()]
+
+    def decisions(self, model: Model) -> np.ndarray:
+        """The decision of each distinct window."""
+        out = np.zeros(self.n)
+        for own, reading in zip(self.by_reading, self.readings):
+            if len(reading.start):
+                both = np.stack(reading.windows(model.weights))
+                out[own] = both[self.pair[self.example[own]], self.word[self.example[own]]]
+        return out + model.bias
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that are the first and the second word of each pair; those of other windows are themselves."""
+        by_place = np.empty(len(self.order), np.int64)
+        by_place[self.order] = self.group
+        base = np.searchsorted(self.r, np.arange(len(self.readings)))  # a reading's words come before its pairs
+        e = self.example
+        first = by_place[base[self.r[e]] + self.word[e]]
+        second = np.where(self.pair[e] == 1, by_place[np.minimum(base[self.r[e]] + self.word[e] + 1, len(by_place) - 1)], first)
+        return first, second
+
+
+def _first_of_copies(windows: Windows, n_texts: int, size: int = 16) -> np.ndarray:
+    """Texts that share less than half of their bottom sketch with an earlier one: counting windows over copies would
+    take chance for evidence."""
+    one = windows.of_text & (windows.pair[windows.order] == 0)
+    text, key = windows.text[one], windows.keys[windows.group[one]]
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    cuts = np.searchsorted(text, np.arange(n_texts + 1))
     seen: dict[int, list[int]] = {}
-    out = []
-    for k, words in enumerate(sets):
-        sketch = sorted(map(hash_of, words))[:size]
+    out = np.zeros(n_texts, bool)
+    for k in range(n_texts):
+        sketch = key[cuts[k] : min(cuts[k] + size, cuts[k + 1])].tolist()
         near = Counter(j for h in sketch for j in seen.get(h, ()))
         if sketch and near and max(near.values()) * 2 > len(sketch):
             continue
-        out.append(k)
+        out[k] = True
         for h in sketch:
             seen.setdefault(h, []).append(k)
     return out
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
+def _evidence(a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
+    """Twice the log likelihood ratio of a toxic and b clean texts, where these are mostly toxic ones."""
+    share = a / np.maximum(1, a + b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = 2 * (a * np.log(share / base) + np.where(b > 0, b * np.log((1 - share) / (1 - base)), 0.0))
+    return np.where(share > base, out, 0.0)
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = WITNESSES, negatives: int = NEGATIVES, hard: int = HARD, landmarks: int = LANDMARKS) -> Model:
     """Without both labels in the sample: a constant score, the share of label 1 (one half with no sample at all)."""
-    n_bad = sum(labels)
-    if not n_bad or n_bad == len(labels):
-        share = (n_bad + 0.5) / (len(labels) + 1) if labels else 0.5
+    truth = np.array(labels, bool)
+    if not truth.any() or truth.all():
+        share = (truth.sum() + 0.5) / (len(labels) + 1) if labels else 0.5
+        return Model(np.zeros(SYMBOLS**ORDER, np.float32), float(np.log(share / (1 - share))), 1.0, 0.0)
+    found = Windows(texts)
+    first = _first_of_copies(found, len(texts))
+    bad, good = found.counts(first & truth), found.counts(first & ~truth)
+    base = max(float((first & truth).sum()), 0.5) / first.sum()
+    evidence = np.where(found.size >= ORDER, _evidence(bad, good, base), 0.0)
+    often = (bad >= 3) & (found.size >= ORDER)
+    chance = 2 * np.log(often.sum() + 1)  # what the luckiest of so many windows reaches without meaning
+    left, right = found.halves()
+    pair = left != right
+    # a pair has to say more than its words do, and then speaks for them
+    more = evidence - np.where(pair, np.maximum(evidence[left], evidence[right]), 0.0)
+    strong = often & (evidence > chance) & (~pair | (more > chance))
+    spoken = np.zeros(found.n, bool)
+    for half in (left, right):
+        spoken[half[strong & pair]] = True
+    strong &= pair | ~spoken
+    if not strong.any():
+        strong = (bad > 0) & (found.size >= ORDER) & ~pair if not often.any() else often & ~pair
+        strong &= evidence >= np.sort(evidence[strong])[-min(10, strong.sum())] if strong.any() else strong
+    if not strong.any():
+        share = truth.mean()
         return Model(np.zeros(SYMBOLS**ORDER, np.float32), float(np.log(share / (1 - share))), 1.0, 0.0)
-    names: dict[str, str] = {}  # one string object per word, whatever the number of texts
-    sets = [{names.setdefault(w, w) for w in map(trimmed, words_of(t)) if w} for t in texts]
-    bad, good = Counter(), Counter()
-    first = _first_of_copies(sets)
-    n_bad, n_all = sum(labels[k] for k in first), len(first)
-    for words, label in ((sets[k], labels[k]) for k in first):
-        (bad if label else good).update(words)
-    base = max(n_bad, 0.5) / n_all
-
-    def evidence(word: str) -> float:
-        """Log likelihood ratio of the word's documents, if they are mostly bad ones."""
-        a, b = bad[word], good[word]
-        share = a / (a + b)
-        if share <= base:
-            return 0.0
-        return 2 * (a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0))
-
-    ranked = sorted(((evidence(w), w) for w in bad if bad[w] >= 3 and len(w) >= ORDER), reverse=True)
-    chance = 2 * np.log(len(ranked) + 1)  # what the luckiest of so many words reaches without meaning
-    strong = [(w, e) for e, w in ranked if e > chance][:400] or [(w, e + 1) for e, w in ranked[:10]] or [(w, 1.0) for w in sorted(bad)[:10]]
-    positive, strength = [w for w, _ in strong], np.array([e for _, e in strong])
-    negative = sorted((w for w in good if good[w] >= 2 and len(w) >= ORDER), key=lambda w: (-good[w], w))[:4000]
-    known = set(negative) | set(positive)
-    pool = sorted((w for w in good if w not in known), key=lambda w: hash_of(w))[:20_000]
-    negative = [w for w in negative if w not in set(positive)] + pool[:4000]
-    landmarks = [w[:WINDOW] for w in positive[: LANDMARKS[0]]] + negative[: LANDMARKS[1]]
-    space = Landmarks(landmarks)
+    key = found.keys
+    chosen = np.lexsort((key, -evidence))
+    positive = chosen[strong[chosen]][:witnesses]
+    strength = dict(zip(positive.tolist(), np.maximum(evidence[positive], 1.0).tolist()))
+    clean = np.flatnonzero((good > 0) & ~strong & (found.size >= ORDER))
+    common = clean[np.lexsort((key[clean], -good[clean]))][:negatives]
+    by_chance = clean[np.argsort(key[clean], kind="stable")][:negatives]
+    negative = dict.fromkeys(np.concatenate([common, by_chance]).tolist())
+    marks = found.strings(positive[:landmarks]) + found.strings(common[:landmarks])
+    space = Landmarks(marks)
     values, vectors = np.linalg.eigh((space.table.T @ space.table).astype(np.float64))
     fine = values > 1e-6
     root = vectors[:, fine] / np.sqrt(values[fine])
+    cache: dict[bytes, np.ndarray] = {}
+
+    def z_of(strings: list[bytes]) -> np.ndarray:
+        new = list(dict.fromkeys(s for s in strings if s not in cache))
+        cache.update(zip(new, space.kernel(new) @ root))
+        return np.stack([cache[s] for s in strings])
+
+    # every window of a text, to find the text's worst one
+    group, text = found.group[found.of_text], found.text[found.of_text]
     model = None
     for _ in range(rounds):
-        strings = [w[:WINDOW] for w in positive] + [g for w in positive for g in _gapped(w)] + [w[:WINDOW] for w in negative]
-        z = space.kernel(strings) @ root
+        plus, minus = found.strings(np.array(list(strength))), found.strings(np.array(list(negative)))
+        z = z_of(plus + [g for s in plus for g in _gapped(s)] + minus)
         z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-        y = np.repeat([1.0, -1.0], [3 * len(positive), len(negative)])
-        common = np.sqrt([good[w] for w in negative])
-        cost = np.concatenate([np.sqrt(strength) / np.sqrt(strength).sum(), np.repeat(np.sqrt(strength), 2) / 20 / np.sqrt(strength).sum(), common / max(1.0, common.sum())]) * 1000
+        y = np.repeat([1.0, -1.0], [4 * len(plus), len(minus)])
+        root_strength = np.sqrt(list(strength.values()))
+        weight = np.sqrt(good[list(negative)] + 1)
+        cost = np.concatenate([root_strength / root_strength.sum(), np.repeat(root_strength, 3) / 40 / root_strength.sum(), weight / weight.sum()]) * 1000
         w = _squared_hinge(z, y, cost)
         model = Model(space.fold(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        scores = model.decide([p[:WINDOW] for p in pool])
-        hard = [pool[k] for k in np.argsort(-scores, kind="stable")[:1000]]
-        negative = list(dict.fromkeys(negative + hard))
-    scorer = Scorer(model)
-    worst = np.concatenate([scorer.worst(sets[k : k + 200]) for k in range(0, len(sets), 200)])
-    truth = np.array(labels)
-    model.slope, model.cut = _calibrate(worst, truth)
-    # texts hold several bad strings, so the curve through whole texts would ask for more than one; where clean texts
-    # end below the mined strings, the cut goes between them, nearer to the bad side (two in a hundred clean labels may be wrong)
-    low, high = np.quantile(worst[truth == 0], 0.98), model.decide([w[:WINDOW] for w in positive[: max(1, len(positive) // 2)]]).min()
+        decision = found.decisions(model)
+        order = np.lexsort((key[group], -decision[group], text))
+        best = group[order][np.append(True, text[order][1:] != text[order][:-1])]
+        of = text[order][np.append(True, text[order][1:] != text[order][:-1])]
+        # witnesses: the worst windows of toxic texts that more toxic than clean texts hold
+        mine = Counter(best[truth[of] & (decision[best] > 0)].tolist())
+        for k, times in mine.items():
+            if found.size[k] >= ORDER and bad[k] >= 2 and bad[k] > 2 * good[k] and k not in negative:
+                strength.setdefault(k, float(times))
+        worst_clean = clean[np.argsort(-decision[clean], kind="stable")][:hard]
+        negative.update(dict.fromkeys(k for k in worst_clean.tolist() if k not in strength))
+    worst = model.worst(texts)
+    model.slope, model.cut = _calibrate(worst, truth.astype(float))
+    # texts hold several witnesses, so the curve through whole texts would ask for more than one; where clean texts end
+    # below the witnesses, the cut goes between them, nearer to the toxic side (two in a hundred clean labels may be wrong)
+    low, high = np.quantile(worst[~truth], 0.98), model.decide(found.strings(positive[: max(1, len(positive) // 2)])).min()
     if high > low:
-        model.cut, model.slope = float(low + 0.65 * (high - low)), max(model.slope, 4 / float(high - low))
+        model.cut, model.slope = float(low + 0.72 * (high - low)), max(model.slope, 4 / float(high - low))
     return model
 
 
-def hash_of(word: str) -> int:
-    import zlib
-
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic curve through (decision, label); its slope is positive."""
     z = np.stack([x, np.ones(len(x))], axis=1)
@@ -316,28 +469,23 @@ def held_out(column: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """text, toxic of at most about most labelled rows that are not held out, chosen by a hash of doc_id."""
+    """doc_id, text, toxic of at most most labelled rows that are not held out, chosen by a hash of id and text.
+
+    Rows that repeat both are one. A label other than 0 or 1 is none; of two labels of a document the larger counts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    share = min(1.0, most / max(1, n))
+    share = min(1.0, 2 * most / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    keyed = docs.join(some.hint("shuffle_hash") if share == 1.0 else F.broadcast(some), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
+    return keyed.dropDuplicates(["key"]).orderBy("key").limit(most).select("doc_id", "text", "toxic")
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def _probabilities(scorer: Scorer, column: pa.Array) -> np.ndarray:
-    at, size = 0, 0
-    texts = [t or "" for t in column.to_pylist()]
-    out = []
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size > 2_000_000 or k + 1 == len(texts):
-            out.append(scorer.worst([words_of(t) for t in texts[at : k + 1]]))
-            at, size = k + 1, 0
-    return scorer.model.probability(np.concatenate(out) if out else np.zeros(0))
+def _probabilities(model: Model, column: pa.Array) -> np.ndarray:
+    return model.probability(model.worst([t or "" for t in column.to_pylist()]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -345,9 +493,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte, for any input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probabilities(scorer, batch.column(1)))], schema=_SCORED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probabilities(shared.value, batch.column(1)))], schema=_SCORED)
 
     return docs.mapInArrow(run, "doc_id long, score double")
 
@@ -391,8 +538,7 @@ def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(_probabilities(scorer, batch.column(at).cast(pa.string())) < 0.5))
+            yield batch.filter(pa.array(_probabilities(shared.value, batch.column(at).cast(pa.string())) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
