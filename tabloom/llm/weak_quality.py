@@ -4,7 +4,9 @@ Eight heuristic labellers vote good, bad or abstain on every document. Their vot
 documents (a table of at most 3 ** 8 rows, pre-aggregated in Spark); expectation-maximisation over that table estimates
 each labeller's accuracy, how often it speaks, and the share of good documents, without any gold label. The posterior
 of a document's pattern is its training label: a logistic model over hashed word, word-shape and repetition features
-learns it from a bounded sample and scores every whole text, also where all labellers abstain.
+learns it from a bounded sample and scores every whole text, also where all labellers abstain; the score alone decides
+what is kept. Training is one executor task over hashed counts, of bounded size for each sampled document; the driver
+sees the vote table and the weights only.
 """
 
 from __future__ import annotations
@@ -22,8 +24,13 @@ LABELLERS = ("symbols", "shouting", "pipes", "repeats", "vocabulary", "sentences
 #: These only ever vote bad, so their silence counts as a vote; that of the others says nothing.
 ONE_SIDED = np.array([True, True, True, True, False, False, False, False])
 BITS = 16
-#: Documents that train the scorer at most, chosen by a hash of their id.
+#: Documents that train the scorer at most, chosen by a hash of id and text.
 TRAIN_DOCS = 5000
+#: Words among which distinct ones are counted: the share means the same for texts of any length.
+STRETCH = 100
+#: Documents that the beliefs about labellers weigh as much as, whatever the size of the corpus; share of good documents
+#: on which a labeller that watches for one defect may fire by mistake.
+BELIEF, MISTAKES = 20.0, 0.005
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -55,9 +62,10 @@ def measures(data: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str, n
     pipe = (data[words.starts] == 124) & (sizes == 1) if len(sizes) else odd
     stop = _STOP[data[words.ends - 1]] if len(sizes) else odd
     text_of = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((words.hashes, text_of))
+    stretch = (np.arange(len(sizes)) - words.first[:-1][text_of]) // STRETCH + text_of * (len(sizes) + 1)
+    order = np.lexsort((words.hashes, stretch))
     new = np.ones(len(order), bool)
-    new[1:] = (words.hashes[order][1:] != words.hashes[order][:-1]) | (text_of[order][1:] != text_of[order][:-1])
+    new[1:] = (words.hashes[order][1:] != words.hashes[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])
     distinct = np.bincount(text_of[order][new], minlength=len(n))
     upper, lower = _per_text(_UPPER[data], offsets), _per_text(_LOWER[data], offsets)
     by = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[words.first]) / some
@@ -78,7 +86,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
             vote((m["upper"] > 0.5) & (n > 3), none),
             vote(m["pipes"] > 0.15, none),
             vote(m["again"] > 0.2, none),
-            vote((m["distinct"] < 0.2) & (n >= 20) & (n < 2000), (m["distinct"] > 0.4) & (n >= 20)),
+            vote((m["distinct"] < 0.2) & (n >= 20), (m["distinct"] > 0.4) & (n >= 20)),
             vote((m["stops"] < 0.01) & (n >= 20), m["stops"] > 0.05),
             vote((m["word_length"] > 15) | ((m["word_length"] < 2.5) & (n > 3)), (m["word_length"] > 3.5) & (m["word_length"] < 9)),
             vote(n < 1, n >= 50),
@@ -103,12 +111,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
     """
     v = votes_of(patterns) + 1  # 0 abstain, 1 bad, 2 good
     m = v.shape[1]
-    # a bad document has one defect, so labellers that watch for another call it good as often as not, and a one-sided
-    # labeller hardly ever fires on good ones: beliefs that weigh as much as a twentieth
-    # (one-sided) or a five-hundredth of the documents
-    prior = np.repeat(np.array([[0.1, 0.5, 0.5], [0.1, 0.05, 0.95]])[None], m, axis=0)
-    prior[ONE_SIDED] = np.array([[0.7, 0.3, 1e-6], [0.997, 0.003, 1e-6]])
-    prior *= np.where(ONE_SIDED, max(10.0, counts.sum() / 20), max(10.0, counts.sum() / 500))[:, None, None]
+    # beliefs: a labeller that speaks is right more often than not; they weigh as much as BELIEF documents, so the corpus
+    # overrules them. A bad document has one defect, so without a bound on MISTAKES the classes could turn into one
+    # frequent defect against all the rest
+    prior = np.repeat(np.array([[0.2, 0.5, 0.3], [0.2, 0.1, 0.7]])[None], m, axis=0)
+    prior[ONE_SIDED] = np.array([[0.7, 0.3, 1e-6], [0.98, 0.02, 1e-6]])
+    prior *= BELIEF
     table = prior / prior.sum(axis=2, keepdims=True)
     heard = (v > 0) | ONE_SIDED
     share, posterior = 0.8, np.zeros(len(v))
@@ -122,6 +130,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
                 table[j, :, vote] = weight[(v[:, j] == vote) & heard[:, j]].sum(axis=0)
         table = table + prior
         table /= table.sum(axis=2, keepdims=True)
+        fired = np.minimum(table[ONE_SIDED, 1, 1], MISTAKES)
+        table[ONE_SIDED, 1, 1], table[ONE_SIDED, 1, 0] = fired, 1 - fired - table[ONE_SIDED, 1, 2]
         share = float(np.clip(weight[:, 1].sum() / max(1, counts.sum()), 0.01, 0.99))
         if np.abs(new - posterior).max(initial=0) < 1e-9:
             break
@@ -161,25 +171,23 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pattern, pa.int32())], schema=_VOTED)
 
 
-def train(texts: list[str], target: np.ndarray, epochs: int = 60, rate: float = 2.0) -> np.ndarray:
+def counted(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Feature codes of a text and their shares: at most twice 2 ** BITS of them, however long the text."""
+    a, b = hashed(data, words)
+    code, count = np.unique(np.concatenate([a, b + (1 << BITS)]), return_counts=True)
+    return code, count / max(1, len(a))
+
+
+def train(codes: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, epochs: int = 60, rate: float = 2.0) -> np.ndarray:
     """Logistic regression on mean feature values by full-batch Adam steps; weights of words, shapes and the constant."""
-    rows, codes, values = [], [], []
-    for k, text in enumerate(texts):
-        data = np.frombuffer(text.encode(), np.uint8)
-        words = Words(data, np.array([0, len(data)]), fold=True)
-        a, b = hashed(data, words)
-        code, count = np.unique(np.concatenate([a, b + (1 << BITS)]), return_counts=True)
-        rows.append(np.full(len(code), k, np.int32))
-        codes.append(code.astype(np.int32))
-        values.append(count / max(1, len(a)))
     weights = np.zeros((2 << BITS) + 1)
-    if not texts:
+    if not len(target):
         return weights
-    r, c, v = (np.concatenate(x) for x in (rows, codes, values))
+    r, c, v = np.repeat(np.arange(len(codes)), [len(x) for x in codes]), np.concatenate(codes), np.concatenate(values)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, epochs + 1):
-        margin = np.bincount(r, weights[c] * v, len(texts)) + weights[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target) / len(texts)
+        margin = np.bincount(r, weights[c] * v, len(codes)) + weights[-1]
+        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target) / len(codes)
         gradient = np.bincount(c, error[r] * v, len(weights)) + 1e-6 * weights
         gradient[-1] = error.sum()
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
@@ -187,14 +195,41 @@ def train(texts: list[str], target: np.ndarray, epochs: int = 60, rate: float =
     return weights
 
 
+_SAMPLED = pa.schema([("key", pa.int64()), ("pattern", pa.int32()), ("codes", pa.binary()), ("shares", pa.binary())])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns in: key, text."""
+    for batch in batches:
+        for a, b, data, offsets in text_chunks(batch.column(1)):
+            rows = []
+            for k in range(b - a):
+                own = data[offsets[k] : offsets[k + 1]]
+                bounds = np.array([0, len(own)])
+                words = Words(own, bounds, fold=True)
+                code, share = counted(own, words)
+                rows.append((int(pattern_of(votes(measures(own, bounds, words)))[0]), code.astype(np.int32).tobytes(), share.astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows), list(_SAMPLED)[1:]))], schema=_SAMPLED)
+
+
+def _fitted(known: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["key"], r["pattern"], r["codes"], r["shares"]) for b in batches for r in b.to_pylist())
+        codes, shares = ([np.frombuffer(r[k], t) for r in rows] for k, t in ((2, np.int32), (3, np.float32)))
+        weights = train(codes, shares, np.array([known.get(r[1], 0.5) for r in rows]))
+        yield pa.RecordBatch.from_pylist([{"weights": weights.astype(np.float32).tobytes()}])
+
+    return run
+
+
 def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
     """doc_id, pattern, n_votes, posterior, score, keep; one row per input row.
 
     pattern codes the votes (see votes_of), posterior is the label model's probability of a good document, score the
-    scorer's; keep is score >= threshold or, where at least three labellers spoke and the label model is sure (0.9),
-    its word. A null text counts as empty: its labellers mostly abstain or vote bad. A null doc_id stays null. Repeated
-    rows get equal results. An empty table gives an empty result; other columns play no part. The vote table covers all
-    documents; the scorer learns from about train_docs of them.
+    scorer's, and keep is score >= threshold. A null text counts as empty: its labellers mostly abstain or vote bad. A
+    null doc_id stays null. Repeated rows get equal results. An empty table gives an empty result; other columns play
+    no part. The vote table covers all documents; the scorer learns from train_docs of them at most, of which rows that
+    repeat id and text count once.
     """
     slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
     voted = slim.mapInArrow(_vote, "doc_id long, pattern int")
@@ -202,16 +237,12 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     patterns, counts = np.array([p for p, _ in table], np.int64), np.array([c for _, c in table], float)
     posterior, _, _ = expectation_maximisation(patterns, counts)
     known = dict(zip(patterns.tolist(), posterior.tolist()))
-    share = min(1.0, train_docs / max(1.0, counts.sum()))
-    some = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = sorted((r.doc_id or -1, r.text or "") for r in some.collect())
-    targets = []
-    for _, text in sample:
-        data = np.frombuffer(text.encode(), np.uint8)
-        offsets = np.array([0, len(data)])
-        targets.append(known.get(int(pattern_of(votes(measures(data, offsets, Words(data, offsets, fold=True))))[0]), 0.5))
-    weights = train([t for _, t in sample], np.array(targets))
-    shared = docs.sparkSession.sparkContext.broadcast((weights, known))  # two megabytes, for any input
+    share = min(1.0, 2 * train_docs / max(1.0, counts.sum()))
+    keyed = slim.select(F.xxhash64("doc_id", "text").alias("key"), "text").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = keyed.mapInArrow(_features, "key long, pattern int, codes binary, shares binary").dropDuplicates(["key"]).orderBy("key").limit(train_docs)
+    row = sample.repartition(1).mapInArrow(_fitted(known), "weights binary").first()
+    weights = np.frombuffer(row.weights, np.float32).astype(float) if row else train([], [], np.zeros(0))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, known))  # a megabyte, for any input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, by_pattern = shared.value
@@ -225,6 +256,4 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pattern, pa.int32()), pa.array(believed), pa.array(score), pa.array((v >= 0).sum(axis=1), pa.int32())], schema=_OUT)
 
     scored = slim.mapInArrow(run, "doc_id long, pattern int, posterior double, score double, n_votes int")
-    sure = (F.col("n_votes") >= 3) & ((F.col("posterior") >= 0.9) | (F.col("posterior") <= 0.1))
-    keep = F.when(sure, F.col("posterior") >= 0.5).otherwise(F.col("score") >= threshold)
-    return scored.select("doc_id", "pattern", "n_votes", "posterior", "score", keep.alias("keep"))
+    return scored.select("doc_id", "pattern", "n_votes", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
