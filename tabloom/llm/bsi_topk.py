@@ -1,11 +1,15 @@
 """Exact top-k inner products on a bit-sliced index (operator 4).
 
-Vectors are quantised and cut into blocks of BLOCK_ROWS candidates by range of vec_id. A block's index holds, for every
-attribute, one bitmap over its rows for each bit of the attribute's offset value. A query adds the slices of all
-attributes, each weighted by the bits of the query's own component, with carry-save adders on whole bitmaps; the
+Vectors are quantised and cut by a hash into blocks of about BLOCK_ROWS candidates of one length. A block's index holds,
+for every attribute, one bitmap over its rows for each bit of the attribute's offset value. A query adds the slices of
+all attributes, each weighted by the bits of the query's own component, with carry-save adders on whole bitmaps; the
 result is a bit-sliced score. The top rows are read off from the most significant slice downward; rows that tie at the
-boundary are settled exactly by vec_id. Each (query block, candidate block) cell is a task of bounded size, keeps at
-most k rows a query, and a second pass merges the cells.
+boundary are settled exactly by vec_id.
+
+Queries travel to candidates, not candidates to queries: blocks of BLOCK_QUERIES queries go to every candidate block,
+which is shuffled once for each TASK_QUERIES query blocks (its salts) and indexed once there. With n vectors of d
+components the shuffle is about n * n / (20 * BLOCK_ROWS) query vectors. A task keeps at most k rows a query and block, and
+a second pass merges them.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, parts
 
 SCALE, TOP_K, QUERY_EVERY = 64, 20, 20
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 128
+BLOCK_ROWS, BLOCK_QUERIES, TASK_QUERIES = 1 << 16, 128, 512
+#: Quantised components beyond this, either way, are taken as this; a score beyond a long as the nearest long.
+LIMIT, LONG = 1 << 61, (1 << 63) - 1
 
 
 class BitSlicedIndex:
@@ -29,7 +35,7 @@ class BitSlicedIndex:
     def __init__(self, values: np.ndarray):
         self.n, self.dims = values.shape
         self.low, self.high = values.min(axis=0), values.max(axis=0)
-        offset = (values - self.low).astype(np.uint64)
+        offset = (values - self.low).astype(np.uint64)  # at most 2 * LIMIT
         words = -(-self.n // 64)
         self.full = self._bitmap(np.ones(self.n, bool), words)
         self.slices = []
@@ -101,106 +107,125 @@ class BitSlicedIndex:
                 sure, n_sure = sure | high, n_sure + n
                 tied, n_tied = tied & ~bitmap, n_tied - n
         rows = np.concatenate([self._rows(sure), self._rows(tied)[: k - n_sure]])
-        score = np.full(len(rows), constant, np.int64)
+        wide = len(slices) > 61 or abs(constant) >= 1 << 61  # beyond machine integers: exact ones
+        score = np.full(len(rows), constant, object if wide else np.int64)
         at, bit = rows >> 6, (rows & 63).astype(np.uint64)
         for j, bitmap in enumerate(slices):
-            score += ((bitmap[at] >> bit) & np.uint64(1)).astype(np.int64) << j
-        order = np.lexsort((rows, -score))
+            own = ((bitmap[at] >> bit) & np.uint64(1)).astype(np.int64)
+            score += own.astype(object) * (1 << j) if wide else own << j
+        order = np.argsort(-score, kind="stable")
         return rows[order], score[order]
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.n])
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())])
-_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_BLOCK = pa.schema([("n", pa.int64()), ("rows", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary()), ("item", pa.int32())])
+BLOCK = "n long, rows binary, ids binary, vectors binary, item int"
+_HITS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("exact", pa.string())])
+
+
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    most = int(np.abs(matrix).max(initial=0))
+    return matrix.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, vec_id) become one row a block."""
-    block, ids, vectors = None, [], []
+    """Rows sorted by (dims, block, vec_id) become one row a block: dims, block, then BLOCK."""
+    key, held = None, []
+    schema = pa.schema([("dims", pa.int32()), ("block", pa.int64()), *_BLOCK])
 
     def close() -> pa.RecordBatch:
-        matrix = np.concatenate(vectors).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(matrix)], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], schema=_BLOCK)
+        rows, ids = (np.concatenate([h[k] for h in held]) for k in range(2))
+        matrix = _narrow(np.concatenate([h[2] for h in held]))
+        return pa.RecordBatch.from_pylist([{"dims": key[0], "block": key[1], "n": len(ids), "rows": rows.tobytes(), "ids": ids.tobytes(), "vectors": matrix.tobytes(), "item": matrix.itemsize}], schema=schema)
 
     for batch in batches:
-        numbers = batch.column(0).to_numpy(zero_copy_only=False)
-        own = batch.column(1).to_numpy(zero_copy_only=False)
-        flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-        cuts = np.flatnonzero(np.diff(numbers)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
+        dims, block, rows, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        flat = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(dims)
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(dims) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
             if b > a:
-                if ids and numbers[a] != block:
+                own = (int(dims[a]), int(block[a]))
+                if held and own != key:
                     yield close()
-                    ids, vectors = [], []
-                block = int(numbers[a])
-                ids.append(own[a:b])
-                vectors.append(flat[a:b])
-    if ids:
+                    held = []
+                key = own
+                held.append((rows[a:b], ids[a:b], flat[ends[a] - dims[a] : ends[b - 1]].reshape(b - a, -1)))
+    if held:
         yield close()
 
 
 def _cells(k: int):
-    """Columns: queries' n, ids, vectors, then candidates' block, n, ids, vectors."""
+    """Rows sorted by (dims, block, salt, is_query): dims, block, salt, is_query, then BLOCK. A block comes before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index, ids = None, None, None
+        key, index, rows, ids = None, None, None, None
         for batch in batches:
-            for q_n, q_ids, q_vectors, block, n, c_ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
-                if held != block:
-                    index = BitSlicedIndex(np.frombuffer(vectors, np.int32).reshape(n, -1))
-                    held, ids = block, np.frombuffer(c_ids, np.int64)
+            for row in batch.to_pylist():
+                own = (row["dims"], row["block"], row["salt"])
+                matrix = np.frombuffer(row["vectors"], f"i{row['item']}").astype(np.int64).reshape(row["n"], -1)
+                numbers, names = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64)
+                if not row["is_query"]:
+                    key, index, rows, ids = own, BitSlicedIndex(matrix), numbers, names
+                    place = dict(zip(rows.tolist(), range(len(rows))))
+                    continue
+                if own != key:
+                    raise RuntimeError("queries arrived before their block")
                 out = []
-                for query, weights in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_vectors, np.int32).reshape(q_n, -1)):
-                    place = int(np.searchsorted(ids, query))
-                    own = place if place < len(ids) and ids[place] == query else None
-                    rows, scores = index.top(weights, k, own)
-                    out.append((np.full(len(rows), query), ids[rows], scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], schema=_HITS)
+                for number, query, weights in zip(numbers.tolist(), names.tolist(), matrix):
+                    best, scores = index.top(weights, k, place.get(number))
+                    exact = [str(x) if abs(x) > LONG else None for x in scores.tolist()]
+                    short = [min(max(x, -LONG - 1), LONG) for x in scores.tolist()]
+                    out.append((np.full(len(best), number), np.full(len(best), query), ids[best], short, exact))
+                columns = [pa.array(np.concatenate([o[c] for o in out]).astype(np.int64)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([e for o in out for e in o[4]], pa.string())], schema=_HITS)
 
     return run
 
 
-def _as_blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of size rows or fewer, by order of vec_id; numbered with counts of bounded ranges, not one global sort."""
-    n = rows.count()
-    ranges = max(1, -(-n // size))
-    placed = rows.repartitionByRange(ranges, "vec_id").sortWithinPartitions("vec_id")
-    numbered = placed.withColumn("row", F.monotonically_increasing_id())
-    part, inside = F.shiftright("row", 33), F.col("row").bitwiseAND((1 << 33) - 1)
-    block = part * (1 << 20) + F.floor(inside / size)
-    return numbered.select(block.alias("block"), "vec_id", "value").mapInArrow(_blocks, "block long, n long, ids binary, vectors binary")
-
-
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, value array<int>: floor(scale * x) of rows whose id and components are all present and finite."""
+    """vec_id, value array<long>: floor(scale * x), within LIMIT, of rows whose id and components are all present and finite."""
     slim = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("x"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = slim.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(F.exists("x", bad), F.lit(True)))
-    return fine.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("int")).alias("value"))
+    bound = lambda x: F.greatest(F.least(F.floor(F.greatest(F.least(x * scale, F.lit(2.0**62)), F.lit(-(2.0**62)))), F.lit(LIMIT)), F.lit(-LIMIT))
+    return fine.select("vec_id", F.transform("x", lambda x: bound(x).cast("long")).alias("value"))
 
 
-def bsi_topk(vectors: DataFrame, k: int = TOP_K, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def bsi_topk(vectors: DataFrame, k: int = TOP_K, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, task_queries: int = TASK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by every; candidates are all rows but the query's own. Vectors that are
-    null, empty or hold null or non-finite components, and rows without an id, take no part; of rows with one id, the
-    one with the smallest values does. All vectors must have one length. Fewer than k candidates: all of them. An empty
-    table gives an empty result; other columns play no part.
+    Queries are the rows whose id is divisible by every; candidates are all rows but the query's own, also those that
+    repeat its id or another's. A query row that repeats an id has results of its own. Vectors that are null, empty or
+    hold null or non-finite components, and rows without an id, take no part; a vector meets those of its own length
+    only. Components are taken within LIMIT; ranks follow the exact score, which is shown as the nearest long. Fewer
+    than k candidates: all of them. An empty table gives an empty result; other columns play no part.
     """
-    quantised = quantise(vectors, id_col, vector_col).where(F.size("value") > 0)
-    rows = durable(quantised.groupBy("vec_id").agg(F.min("value").alias("value")))
-    candidates = durable(_as_blocks(rows, BLOCK_ROWS))
-    queries = _as_blocks(rows.where(F.pmod("vec_id", F.lit(every)) == 0), BLOCK_QUERIES)
-    queries = queries.select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    numbers = [r.block for r in candidates.select("block").collect()]  # one number per 65,536 rows
-    if not numbers:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    grid = queries.withColumn("block", F.explode(F.array(*map(F.lit, numbers))))
-    cells = grid.withColumn("salt", F.xxhash64("q_ids")).join(candidates.hint("shuffle_hash"), "block")
-    spread = max(1, min(len(numbers) * rows.where(F.pmod("vec_id", F.lit(every)) == 0).count() // BLOCK_QUERIES + 1, 10_000))
-    cells = cells.repartition(spread, "block", "salt").select("q_n", "q_ids", "q_vectors", "block", "n", "ids", "vectors")
-    hits = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    slim = quantise(vectors, id_col, vector_col).where(F.size("value") > 0).withColumn("dims", F.size("value"))
+    rows = durable(slim).withColumn("row", F.monotonically_increasing_id())  # of written rows: the same each time
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("long")
+    counts = rows.groupBy("dims").agg(blocks(F.count(F.lit(1)), block_rows).alias("n_blocks"), blocks(F.count_if(is_query), block_queries).alias("n_queries"))
+    # salts: a candidate block's queries spread over as many tasks as bound a task's work, or as keep the cores busy
+    least = F.least(F.col("n_queries"), F.ceil(F.lit(parts(vectors.sparkSession)) / F.col("n_blocks")))
+    counts = counts.withColumn("salts", F.greatest(F.ceil(F.col("n_queries") / task_queries), least).cast("int"))
+    spread = F.xxhash64("vec_id", "row")
+    sized = rows.join(counts, "dims")
+
+    def as_blocks(some: DataFrame, n_blocks: str) -> DataFrame:
+        keyed = some.withColumn("block", F.pmod(spread, F.col(n_blocks)))
+        placed = keyed.repartition("dims", "block").sortWithinPartitions("dims", "block", "vec_id", "row")
+        return placed.select("dims", "block", "row", "vec_id", "value").mapInArrow(_blocks, "dims int, block long, " + BLOCK)
+
+    candidates = as_blocks(sized, "n_blocks").join(counts, "dims").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    queries = as_blocks(sized.where(is_query), "n_queries").join(counts, "dims").withColumn("salt", F.pmod("block", F.col("salts")).cast("int"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    names = ["dims", "block", "salt", "is_query", *_BLOCK.names]
+    both = candidates.withColumn("is_query", F.lit(False)).select(names).unionByName(queries.withColumn("is_query", F.lit(True)).select(names))
+    tasks = both.repartition("dims", "block", "salt").sortWithinPartitions("dims", "block", "salt", "is_query")
+    hits = tasks.mapInArrow(_cells(k), "query_row long, query_id long, vec_id long, score long, exact string")
+    exact = F.coalesce(F.col("exact").cast("decimal(38,0)"), F.col("score").cast("decimal(38,0)"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc(exact), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
