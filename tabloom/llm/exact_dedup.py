@@ -5,8 +5,9 @@ that are left are shuffled by (length, content hash) and sorted inside their par
 holds what does not fit in memory; each partition inserts length, hash and the full bytes into one compressed radix
 trie whose terminal nodes hold the smallest identifier and the number of copies. Because keys arrive in order, every
 subtree left of the current path is complete; when the trie exceeds its byte budget, those subtrees are written out and
-cut off. The owners then join each document's own row; a text that a third of all rows share is one row per map task
-before the shuffle, and adaptive execution splits its join partition.
+cut off. The owners then join each document's own row. A text that a third of all rows share is one row per map task
+before the shuffle of texts; rows that repeat id and text are one counted row before the join, and as nothing after the
+join asks for its partitioning, adaptive execution splits a partition in which many ids share one text.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, SPACE_BYTES, id_key, identifier, ids_array
 
 #: Bytes of text in a trie before finished subtrees leave it.
 TRIE_BYTES = 16 << 20
+#: Rows that repeat id and text come back so many at a time.
+COPIES = 10_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -197,10 +200,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns of docs play no part, whatever their names.
     """
     slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
-    rows = slim.mapInArrow(_shas, "doc_id long, text_sha256 string")
-    found = owners(docs, id_col, text_col)
-    own = F.coalesce(F.col("keep_id"), id_key())
-    joined = rows.join(found, "text_sha256", "left").withColumn("keep_id", own).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
-    kept = (F.col("keep_id") == id_key()) & (first == 1)
-    return joined.withColumn("kept", kept).select("doc_id", F.nullif("keep_id", F.lit(NULL_ID)).alias("keep_id"), "group_size", "kept", "text_sha256")
+    rows = slim.mapInArrow(_shas, "doc_id long, text_sha256 string").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    joined = rows.join(owners(docs, id_col, text_col), "text_sha256", "left")
+    joined = joined.withColumns({"keep_id": F.coalesce(F.col("keep_id"), id_key()), "group_size": F.coalesce("group_size", F.lit(1))})
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("copy") * COPIES, F.least(F.col("n"), (F.col("copy") + 1) * COPIES) - 1)))
+    kept = (F.col("keep_id") == id_key()) & (F.col("copy") == 0)
+    return each.select("doc_id", F.nullif("keep_id", F.lit(NULL_ID)).alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
