@@ -1,8 +1,8 @@
 """Packing documents into fixed-length sequences (operator 6).
 
 A map task tokenises each text, appends the end id and cuts it at multiples of the sequence length; only lengths and
-checksums leave it, never ids. Documents fall into random groups by a hash of their id, of about GROUP_DOCS each, so
-no source or hot key decides a group's size. In a group, full pieces are sequences of their own, and the remainders are
+checksums leave it, never ids. Documents fall into random groups of about GROUP_DOCS by a hash of id, text and
+number among their repeats, so no source or hot key decides a group's size. In a group, full pieces are sequences of their own, and the remainders are
 packed first-fit decreasing: a tournament tree over the bins' free room finds the first bin that takes a piece in
 logarithmic time. Groups are independent, so a lost task is packed again alone with the same result.
 """
@@ -22,6 +22,8 @@ from .tokens import shared
 
 LENGTH, END_ID = 2048, 1
 GROUP_DOCS = 4000
+#: Rows that repeat id and text are numbered so many at a time.
+COPIES = 10_000
 
 
 class Tournament:
@@ -113,8 +115,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     cut = slim.mapInArrow(_tokenise(tokenizer, length), "doc_id long, doc_tokens long, body long, sums array<long>")
     n = docs.select(F.count(F.lit(1))).first()[0]
     groups = max(1, round(n / group_docs))
-    # the checksum is part of the key: rows that repeat one doc_id spread over groups as far as their texts differ
-    keyed = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "body"), F.lit(groups)))
-    placed = keyed.repartition("group").sortWithinPartitions("group", "doc_id", "doc_tokens", "body")
+    # rows that repeat id and text are counted first and numbered, so that they spread over groups as others do
+    counted = cut.groupBy("doc_id", "doc_tokens", "body", "sums").agg(F.count(F.lit(1)).alias("n"))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))
+    copy = F.explode(F.sequence(F.col("run") * COPIES, F.least(F.col("n"), (F.col("run") + 1) * COPIES) - 1))
+    keyed = counted.withColumn("run", run).withColumn("copy", copy).withColumn("group", F.pmod(F.xxhash64("doc_id", "body", "copy"), F.lit(groups)))
+    placed = keyed.repartition("group").sortWithinPartitions("group", "doc_id", "doc_tokens", "body", "copy")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.select("group", "doc_id", "doc_tokens", "sums").mapInArrow(_pack(length), schema)
