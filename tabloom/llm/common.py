@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -25,10 +26,13 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and Spark runs in one process."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir().get()
 
 
@@ -109,12 +113,12 @@ class Words:
             raw = (total[self.ends] - total[self.starts]) * inverse[self.starts]
             self.hashes = mix(raw + (self.ends - self.starts).astype(np.uint64))
 
-    def windows(self, width: int) -> np.ndarray:
+    def windows(self, width: int, base: np.uint64 = _WORD_PRIME) -> np.ndarray:
         """Rabin-Karp hash of the words [i, i + width) for every i at which they exist."""
         n = len(self.hashes)
         if n < width:
             return np.zeros(0, np.uint64)
-        power, inverse = powers(_WORD_PRIME, n + 1)
+        power, inverse = powers(base, n + 1)
         total = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(self.hashes * power[:n], out=total[1:])

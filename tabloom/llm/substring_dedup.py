@@ -1,10 +1,16 @@
 """Removal of repeated passages by Rabin-Karp windows (operator 8).
 
-Every window of WIDTH words gets a rolling 64-bit hash. A map task sorts FLUSH_WINDOWS windows at a time: of each hash only the smallest document goes on to the shuffle, as one entry of a bucket's compressed block; any
-other document of the flush with that window is decided on the spot. So a passage that a third of all rows share
-reaches its bucket as one entry per flush. Buckets (hash ranges) count each window's documents and report the hashes
-that a smaller document holds; decisions return to their documents as sets of hashes, and each document merges its
-flagged windows into maximal intervals and drops the words inside.
+Every window of WIDTH words gets a rolling 64-bit hash and, from a second base, 32 check bits. A map task sorts
+FLUSH_WINDOWS windows at a time: of each window only the smallest document goes on to the shuffle, as one entry of a
+bucket's compressed block; any other document of the flush with that window is decided on the spot. So a passage that a
+third of all rows share reaches its bucket as one entry per flush. Buckets are hash ranges; their number follows the
+corpus, so that each holds about BUCKET_WINDOWS windows; beyond 2 ** LEVEL_BITS buckets the blocks are split in two
+levels, as a flush would break up into crumbs. Buckets report the windows that a smaller document holds; these return to
+their documents as sets of hashes, and each document merges its flagged windows into maximal intervals and drops the
+words inside.
+
+Windows are compared by 96 bits: n windows meet a false match with a chance of n * n / 2 ** 97, some 1 in 700 for the
+1.5e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -18,11 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_key, identifier, ids_array, parts, text_chunks
+from .common import NULL_ID, Words, id_key, identifier, ids_array, parts, text_chunks
 
 WIDTH = 50
 #: Windows sorted at once in a map task; 16 bytes each, some four times over.
 FLUSH_WINDOWS = 2_000_000
+#: Windows that a bucket is meant to hold; bounds a reducer's memory. Buckets of one level as a power of two.
+BUCKET_WINDOWS, LEVEL_BITS = 1 << 21, 12
+_CHECK_BASE = np.uint64(0xA0761D6478BD642F)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -35,104 +44,152 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-_BLOCK = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("doc_ids", pa.binary()), ("doc_id", pa.int64()), ("width", pa.int32())])
-BLOCK = "bucket int, hashes binary, places binary, doc_ids binary, doc_id long, width int"
-FLAGS = "doc_id long, hashes binary"
-_FLAGS = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
-
-
-def _by_document(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(places, kind="stable")
-    places, hashes = places[order], hashes[order]
-    cuts = np.flatnonzero(np.diff(places)) + 1
-    for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(places)]]).tolist()):
-        if b > a:
-            yield int(ids[places[a]]), hashes[a:b].tobytes()
-
-
-def _scan(bits: int, width: int):
-    """Blocks for the buckets, and rows with a doc_id for what is decided already."""
-
-    def flush(ids: list, hashes: list, places: list) -> Iterator[pa.RecordBatch]:
-        ids = np.array(ids, np.int64)
-        h, p = np.concatenate(hashes), np.concatenate(places)
-        ids, rank = np.unique(ids, return_inverse=True)  # rows that share a doc_id are one document here
-        o = np.lexsort((rank[p], h))
-        h, p = h[o], rank[p][o].astype(np.uint32)
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        owner = ids[p[np.flatnonzero(first)]][np.cumsum(first) - 1]
-        decided = ids[p] > owner
-        rows = [(i % (1 << bits), hs, None, None, i, None) for i, hs in _by_document(ids, p[decided], h[decided])]
-        h, p = h[first], p[first]
-        cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-        for bucket, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)])):
+_BLOCK = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary()), ("doc_ids", pa.binary()), ("marks", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("width", pa.int32())])
+BLOCK = "bucket long, hashes binary, checks binary, places binary, doc_ids binary, marks binary, doc_id long, mark long, width int"
+FLAGS = "doc_id long, mark long, hashes binary"
+_FLAGS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("hashes", pa.binary())])
+
+
+class Entries:
+    """Windows sorted by hash, then by document: hash, check, place in ids and marks.
+
+    A document is a doc_id; rows without one are told apart by a mark of their text, lest each is sent what concerns any.
+    """
+
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, hashes: np.ndarray, checks: np.ndarray, places: np.ndarray):
+        own, rank = np.unique(np.stack([ids, marks], 1), axis=0, return_inverse=True)
+        rank = rank.ravel().astype(np.uint32)
+        self.ids, self.marks = own[:, 0], own[:, 1]
+        p = rank[places]
+        order = np.lexsort((p, hashes))
+        h, c = hashes[order], checks[order]
+        if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():
+            order = np.lexsort((p, checks, hashes))
+            h, c = hashes[order], checks[order]
+        p = p[order]
+        first = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+        new = first.copy()
+        new[1:] |= p[1:] != p[:-1]
+        start = np.flatnonzero(first)
+        least = self.ids[p[start]]  # documents stand in order
+        #: a smaller document holds the window
+        self.later = self.ids[p] > np.repeat(least, np.diff(np.append(start, len(h))))
+        self.hashes, self.checks, self.places, self.new = h, c, p, new
+
+    def flagged(self) -> Iterator[tuple[int, int, bytes]]:
+        """(doc_id, mark, hashes) of windows that a smaller document holds."""
+        some = self.later & self.new
+        places, hashes = self.places[some], self.hashes[some]
+        order = np.argsort(places, kind="stable")
+        places, hashes = places[order], hashes[order]
+        cuts = np.flatnonzero(np.diff(places)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
+            if b > a:
+                yield int(self.ids[places[a]]), int(self.marks[places[a]]), hashes[a:b].tobytes()
+
+    def blocks(self, bits: int) -> Iterator[pa.RecordBatch]:
+        """Blocks for 2 ** bits buckets, and rows with a doc_id for what is decided already."""
+        rows = [(i % (1 << bits), hs, None, None, None, None, i, m, None) for i, m, hs in self.flagged()]
+        some = self.new & ~self.later
+        h, c, p = self.hashes[some], self.checks[some], self.places[some]
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)]):
             if b > a:
                 used, local = np.unique(p[a:b], return_inverse=True)
                 small = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-                rows.append((bucket, _pack(np.diff(h[a:b], prepend=np.uint64(0))), _pack(small), _pack(np.diff(ids[used], prepend=0)), None, small.itemsize))
+                ids = self.ids[used]
+                rows.append((int(bucket[a]), _pack(np.diff(h[a:b], prepend=np.uint64(0))), c[a:b].tobytes(), _pack(small), _pack(np.diff(ids, prepend=0)), self.marks[used][ids == NULL_ID].tobytes(), None, None, small.itemsize))
         for at in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at : at + 2000]), _BLOCK)], schema=_BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*rows[at : at + 2000]), _BLOCK)], schema=_BLOCK)
+
+
+class _Held:
+    """Blocks or documents that wait to be sorted."""
+
+    def __init__(self):
+        self.ids, self.marks, self.hashes, self.checks, self.places, self.n, self.documents = [], [], [], [], [], 0, 0
+
+    def add(self, ids: np.ndarray, marks: np.ndarray, hashes: np.ndarray, checks: np.ndarray, places: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.marks.append(marks)
+        self.hashes.append(hashes)
+        self.checks.append(checks)
+        self.places.append(places + np.uint32(self.documents))
+        self.n += len(hashes)
+        self.documents += len(ids)
+
+    def entries(self) -> Entries:
+        out = Entries(*(np.concatenate(x) for x in (self.ids, self.marks, self.hashes, self.checks, self.places)))
+        self.__init__()
+        return out
+
 
+def _scan(bits: int, width: int, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, places, n = [], [], [], 0
+        held = _Held()
         for batch in batches:
+            ids, marks = ids_array(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 words = Words(data, offsets)
-                grams, own = words.windows(width), ids_array(batch.column(0))[a:b].tolist()
+                grams = words.windows(width)
                 if not len(grams):
                     continue
+                checks = (words.windows(width, _CHECK_BASE) >> np.uint64(32)).astype(np.uint32)
                 count = np.diff(words.first) - width + 1
                 for k in np.flatnonzero(count > 0).tolist():
-                    at = int(words.first[k])
-                    hashes.append(grams[at : at + int(count[k])])
-                    places.append(np.full(int(count[k]), len(ids), np.uint32))
-                    ids.append(own[k])
-                    n += int(count[k])
-                    if n >= FLUSH_WINDOWS:
-                        yield from flush(ids, hashes, places)
-                        ids, hashes, places, n = [], [], [], 0
-        if n:
-            yield from flush(ids, hashes, places)
+                    at, n = int(words.first[k]), int(count[k])
+                    for low in range(at, at + n, flush):
+                        high = min(low + flush, at + n)
+                        held.add(ids[a + k : a + k + 1], marks[a + k : a + k + 1], grams[low:high], checks[low:high], np.zeros(high - low, np.uint32))
+                        if held.n >= flush:
+                            yield from held.entries().blocks(bits)
+        if held.n:
+            yield from held.entries().blocks(bits)
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a bucket stand together; which of its documents hold a window that a smaller one holds too."""
-
-    def close(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hs, ps, ids, n = [], [], [], 0
-        for hashes, places, doc_ids, width in blocks:
-            hs.append(np.cumsum(_unpack(hashes, np.uint64), dtype=np.uint64))
-            ps.append(_unpack(places, np.uint16 if width == 2 else np.uint32).astype(np.uint32) + np.uint32(n))
-            ids.append(np.cumsum(_unpack(doc_ids, np.int64)))
-            n += len(ids[-1])
-        h, p, ids = np.concatenate(hs), np.concatenate(ps), np.concatenate(ids)
-        o = np.argsort(h, kind="stable")
-        h, p = h[o], p[o]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        own = ids[p]
-        least = np.minimum.reduceat(own, start)
-        flagged = own > np.repeat(least, np.diff(np.append(start, len(h))))
-        rows = list(_by_document(ids, p[flagged], h[flagged]))
-        for at in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at : at + 5000]), _FLAGS)], schema=_FLAGS)
-
-    bucket, blocks = None, []
-    for batch in batches:
-        decided = batch.filter(batch.column(4).is_valid())
-        if len(decided):
-            yield pa.RecordBatch.from_arrays([decided.column(k) for k in (4, 1)], schema=_FLAGS)
-        batch = batch.filter(batch.column(4).is_null())
-        for b, *block in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5))):
-            if b != bucket and blocks:
-                yield from close(blocks)
-                blocks = []
-            bucket = b
-            blocks.append(block)
-    if blocks:
-        yield from close(blocks)
+def _over_blocks(close, flush: int | None):
+    """Rows sorted by bucket: what is decided passes on; close gets the entries of a bucket, or of flush of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, _Held()
+        for batch in batches:
+            decided = batch.filter(batch.column(6).is_valid())
+            if len(decided):
+                yield close(None, decided)
+            batch = batch.filter(batch.column(6).is_null())
+            for b, hashes, checks, places, doc_ids, marks, width in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 8))):
+                if held.n and (b != bucket or (flush and held.n >= flush)):
+                    yield from close(held.entries(), None)
+                bucket = b
+                ids = np.cumsum(_unpack(doc_ids, np.int64))
+                named = np.zeros(len(ids), np.int64)
+                named[ids == NULL_ID] = np.frombuffer(marks, np.int64)
+                places = _unpack(places, np.uint16 if width == 2 else np.uint32).astype(np.uint32)
+                held.add(ids, named, np.cumsum(_unpack(hashes, np.uint64), dtype=np.uint64), np.frombuffer(checks, np.uint32), places)
+        if held.n:
+            yield from close(held.entries(), None)
+
+    return run
+
+
+def _split(bits: int, flush: int):
+    """Blocks of coarse buckets become blocks of 2 ** bits fine ones."""
+    return _over_blocks(lambda entries, decided: decided if entries is None else entries.blocks(bits), flush)
+
+
+def _count():
+    """Which of a bucket's documents hold a window that a smaller one holds too."""
+
+    def flags(entries: Entries | None, decided: pa.RecordBatch | None):
+        if entries is None:
+            return pa.RecordBatch.from_arrays([decided.column(k) for k in (6, 7, 1)], schema=_FLAGS)
+        rows = list(entries.flagged())
+        return (pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*rows[at : at + 5000]), _FLAGS)], schema=_FLAGS) for at in range(0, len(rows), 5000))
+
+    return _over_blocks(flags, None)
 
 
 _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
@@ -172,21 +229,24 @@ def _remove(width: int, digest: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, digest: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, digest: bool = False, flush: int = FLUSH_WINDOWS, bucket_windows: int = BUCKET_WINDOWS, level_bits: int = LEVEL_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (with digest: kept_sha256); one row per input row.
 
     A window is width consecutive words of one document; each word of it goes if the same words also start in a document
     with a smaller doc_id, judged on the input. A null or empty text has no words and comes back empty. Fewer words
     than width: nothing goes. A null doc_id is larger than any other and equal to other null ones. Rows that share a
-    doc_id never remove each other's words. An empty table gives an empty result; other columns play no part. Words
-    are compared by 64-bit hashes of whole windows: n windows meet a false match with a chance of n * n / 2**65.
+    doc_id never remove each other's words. An empty table gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
-    slim = docs.select(identifier(docs, id_col), docs[text_col].cast("string").alias("text"))
-    bits = max(4, (2 * parts(spark) - 1).bit_length())
-    blocks = slim.mapInArrow(_scan(bits, width), BLOCK)
-    counted = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, FLAGS)
-    flags = counted.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("hashes").alias("hashes"))
-    rows = slim.select(id_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(flags, "key", "left")
+    slim = docs.select(identifier(docs, id_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    marked = slim.withColumn("mark", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+    n_windows = (slim.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # a word and its blank take some six bytes
+    bits = max(4, (2 * parts(spark) - 1).bit_length(), (n_windows // bucket_windows).bit_length())
+    levels = [bits] if bits <= level_bits else [bits // 2, bits]
+    blocks = marked.mapInArrow(_scan(levels[0], width, flush), BLOCK)
+    for fine in levels[1:]:
+        blocks = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_split(fine, flush), BLOCK)
+    counted = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(), FLAGS)
+    flags = counted.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("hashes").alias("hashes"))
+    joined = marked.withColumn("key", id_key()).join(flags, ["key", "mark"], "left")
     return joined.select("doc_id", "text", "hashes").mapInArrow(_remove(width, digest), "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept_text string"))
