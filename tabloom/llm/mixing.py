@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, identifier
+from .common import WORD_RE, durable, identifier
 
 REPEATS = 3
 BUCKETS = 4096
@@ -61,7 +61,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     key = F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col].cast("string")))
     slim = docs.select(identifier(docs, id_col), word_count(docs[text_col].cast("string")).alias("size"), key.alias("source_key"), order_key(docs[id_col].cast("long")).alias("place"))
-    slim = slim.withColumn("bucket", F.shiftright("place", 48))
+    slim = durable(slim.withColumn("bucket", F.shiftright("place", 48)))  # words are counted once
     buckets = slim.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size"))
     targets = source_targets(sizes)
@@ -86,10 +86,17 @@ def position_at(place: Column, demand: Column, slope: Column) -> Column:
     return F.coalesce(F.try_divide(2 * u, (1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u)), F.lit(0.0))
 
 
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """mixture(), range-sorted by training position, then by doc_id."""
+    return mixture(docs, id_col, text_col, source_col).orderBy("position", "doc_id")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix: each row as often as it is taken, all columns, range-sorted by training position.
 
-    Rows are matched to their decision by (id, source, size), so that rows repeating an id keep their own.
+    Rows are matched to their decision by (id, source, size), so that rows repeating an id keep their own; of rows equal
+    in all three the first by the columns that have an order get what does not divide. Nulls, empty texts and empty
+    tables are as in mixture(); columns may have any type.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     taken = mixture(docs, id_col, text_col, source_col)
@@ -100,7 +107,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # rows equal in all three have one decision each; spread the copies over them as one total
     totals = taken.groupBy("doc_id", "source_key", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("slope").alias("slope"), F.min("before").alias("before"))
     joined = keyed.join(totals, keyed["_id"].eqNullSafe(totals["doc_id"]) & (keyed["_source"] == totals["source_key"]) & (keyed["_size"] == totals["size"]))
-    twin = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("before", *names))
+    ordered = [n for n, field in zip(names, docs.schema) if not any(t in field.dataType.simpleString() for t in ("map<", "variant"))]
+    twin = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("before", *ordered))
     own = F.floor(F.col("copies") / F.col("rows")) + F.when(F.when(F.col("rows") > 1, twin).otherwise(1) <= F.col("copies") % F.col("rows"), 1).otherwise(0)
     repeated = joined.withColumn("own", own.cast("int")).where("own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
     place = F.col("before") + F.col("_size") / 2 + F.col("_copy") * F.col("source_size")

@@ -12,7 +12,7 @@ from .common import table
 from .edit_counts import edit_counts
 from .exact_dedup import exact_dedup
 from .minhash import near_dedup
-from .mixing import mixture
+from .mixing import curriculum
 from .packing import pack
 from .pseudonyms import pseudonymise
 from .substring_dedup import substring_dedup
@@ -59,7 +59,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,12 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 _OP4 = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT a.row, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.row <> b.row AND len(a.q) = len(b.q)
+), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
@@ -110,12 +110,17 @@ w AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS weight, 3 * sour
 l AS (
     SELECT *, most / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY most / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
-), t AS (SELECT k, source_size, least(CAST(most AS DOUBLE), coalesce((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), 0.0) * weight) AS target FROM l),
+), t AS (SELECT k, source_size, (row_number() OVER (ORDER BY k) - 1) % 3 * 0.5::DOUBLE - 0.5::DOUBLE AS slope, least(CAST(most AS DOUBLE), coalesce((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), 0.0) * weight) AS target FROM l),
 b AS (
-    SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY k ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    SELECT d.*, source_size, target, slope, coalesce(sum(size) OVER (PARTITION BY k ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM d JOIN t USING (k)
+), m AS (
+    SELECT *, CAST(whole + CASE WHEN whole < 3 AND before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies,
+        least(1.0::DOUBLE, CASE WHEN target = 0 THEN 0.0::DOUBLE ELSE CAST(before + size / 2 AS DOUBLE) / target END) AS u FROM b
 )
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN whole < 3 AND before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies,
+    CASE WHEN 1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * u) = 0 THEN 0.0::DOUBLE ELSE 2 * u / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) END AS position
+FROM m
 """
 
 _OP10 = f"""
