@@ -1,8 +1,8 @@
 """Near duplicates by circulant MinHash (operator 10).
 
-Two permutations give every signature coordinate: the first permutes (hashes) the shingles onto a ring of RING places,
+Two permutations give every signature coordinate: the first permutes (hashes) the shingles onto a ring of 2 ** 32 places,
 coordinate k is the smallest value of the second permutation, shifted by k places round the ring, over a document's
-places. Bands of ROWS coordinates propose candidates; a Jaccard similarity over full shingle sets confirms each link.
+places. The second one is computed, not stored, so the ring is wide enough for texts of any length. Bands of ROWS coordinates propose candidates; a Jaccard similarity over full shingle sets confirms each link.
 
 Documents with the same shingle set form one class, and only its smallest id goes on. In each band bucket every member
 is compared with the bucket's smallest id, its hub (a star, not all pairs). Jaccard distance is a metric, so with the
@@ -27,7 +27,6 @@ from .common import NULL_ID, Words, durable, id_key, identifier, ids_array, mix,
 #: Shingle width; percent of op10.
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
-RING = 1 << 18
 #: Members that are compared with one copy of a hub.
 SALT_ROWS = 500
 
@@ -49,19 +48,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
 
 
 class Circulant:
-    """C-MinHash signatures: RING places, second permutation laid out twice so that a shift is a slice."""
+    """C-MinHash signatures on a ring of 2 ** 32 places."""
 
-    def __init__(self, size: int = BANDS * ROWS, ring: int = RING, seed: int = 1):
-        order = np.random.default_rng(seed).permutation(ring).astype(np.uint32)
-        laid = np.concatenate([order, order[:size]])
-        self.size, self.ring = size, ring
-        self.rows = np.lib.stride_tricks.sliding_window_view(laid, size)
+    def __init__(self, size: int = BANDS * ROWS):
+        self.shifts = np.arange(size, dtype=np.uint32)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        places = np.unique(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(self.ring - 1)).astype(np.int64)
-        best = np.full(self.size, np.iinfo(np.uint32).max, np.uint32)
-        for at in range(0, len(places), 4096):
-            np.minimum(best, self.rows[places[at : at + 4096]].min(axis=0), out=best)
+        places = (mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
+        best = np.full(len(self.shifts), np.iinfo(np.uint32).max, np.uint32)
+        for at in range(0, len(places), 512):
+            x = places[at : at + 512, None] + self.shifts  # round the ring
+            x *= np.uint32(0x9E3779B1)  # the second permutation: odd factors and a shifted sum are bijections
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA77)
+            x ^= x >> np.uint32(13)
+            x *= np.uint32(0xC2B2AE3D)
+            np.minimum(best, x.min(axis=0), out=best)
         return best
 
 
@@ -100,7 +102,7 @@ def class_key(shingles: np.ndarray) -> int:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, salt, is_member): the hub's text comes before those it is compared with.
 
-    A row whose text is not that of its class (a doc_id that several texts share) is passed over.
+    A row whose text is not that of its class is passed over.
     """
     group, base = None, np.zeros(0, np.uint64)
     for batch in batches:
@@ -127,9 +129,10 @@ def _compare(pairs: DataFrame, slim: DataFrame, leaders: DataFrame) -> DataFrame
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(sizes, "hub").select("hub", "member", salt.cast("int").alias("salt"))
     rows = salted.unionByName(salted.select("hub", F.col("hub").alias("member"), "salt").distinct())
-    rows = rows.join(leaders.select(F.col("key").alias("member"), "doc_id"), "member")
-    texts = slim.select(id_key().alias("doc_id"), "text").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    with_text = rows.join(texts, "doc_id").select("hub", "salt", "member", "text")
+    rows = rows.join(leaders.select(F.col("key").alias("member"), "doc_id", "mark"), "member")
+    texts = slim.select(id_key().alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text").join(rows.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_semi")
+    # rows that repeat id and text are one here
+    with_text = rows.join(texts.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("hub", "salt", "member", "text")
     placed = with_text.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("hub") != F.col("member"))
     return placed.mapInArrow(_verify, "hub long, member long, shared long, total long").distinct()
 
@@ -155,16 +158,17 @@ def _rest(held: DataFrame, checked: DataFrame, roots: DataFrame, percent: int) -
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """key, root: the smallest key reachable; edges has columns a, b. Large-star and small-star contraction."""
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        new = durable(small)
-        change = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not change:
+        edges, before = durable(small), now
+        now = state(edges)
+        if now == before:  # the same edges, by count and checksum
             return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
 
@@ -184,7 +188,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     signed = durable(marked.mapInArrow(_sign, "doc_id long, mark long, n_shingles long, key long, bands array<long>"))
     keyed = signed.select("doc_id", "mark", "n_shingles", "key")
     some = signed.where("key is not null")
-    leaders = durable(some.groupBy("key").agg(F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("key", "doc_id", "s.*"))
+    leaders = durable(some.groupBy("key").agg(F.min_by(F.struct("doc_id", "mark", "n_shingles", "bands"), F.struct("doc_id", "mark")).alias("s")).select("key", "s.*"))
     members = leaders.select("key", "n_shingles", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     held = durable(members.join(hubs, "bucket"))
