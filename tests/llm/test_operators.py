@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tabloom.llm import bsi_topk, edit_counts, exact_dedup, minhash, mixing, packing, pseudonyms, substring_dedup, tokens, toxicity, weak_quality
 
@@ -64,6 +66,25 @@ def test_trie_spills_finished_subtrees(monkeypatch, docs):
     assert sorted(gone + [k for k, _, _ in trie.items()]) == [b"", b"ab", b"abc", b"abd", b"ac"] and b"abd" not in gone
 
 
+def test_owners_spill(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 10)
+    bodies = sorted({f"text {k % 7}" + "x" * (k % 3) for k in range(40)}, key=lambda b: (len(b), xxhash.xxh64_intdigest(b.encode())))
+    data = [(len(b), xxhash.xxh64_intdigest(b.encode()) - (1 << 63), b.encode(), k, 1) for b in bodies for k in (5, 3)]
+    batches = [exact_dedup._batch(data[k : k + 3], exact_dedup._LOCAL) for k in range(0, len(data), 3)]
+    got = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for b in exact_dedup._owners(iter(batches)) for r in b.to_pylist()}
+    assert got == {hashlib.sha256(b.encode()).hexdigest(): (3, 2) for b in bodies}
+
+
+def test_substring_dedup_in_small_flushes_and_two_levels(spark, docs):
+    want = Counter(map(tuple, substring_dedup.substring_dedup(docs).collect()))
+    got = substring_dedup.substring_dedup(docs, flush=60, bucket_windows=4, level_bits=3)
+    assert Counter(map(tuple, got.collect())) == want
+    passage = " ".join(f"w{k}" for k in range(60))
+    nulls = spark.createDataFrame([(None, f"{k} {passage}") for k in range(5)] + [(9, passage), (4, passage + " end")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(nulls, flush=30).collect())
+    assert got == Counter({(None, 61, 60): 5, (9, 60, 60): 1, (4, 61, 0): 1})
+
+
 def test_substring_dedup(docs, empty):
     data = [(as_id(r[0]), re.findall(WORD, r[1] or "")) for r in rows()]
     first = {}
@@ -134,6 +155,15 @@ def test_mixing(docs, empty):
     for own in by.values():
         assert own[0].target <= 3 * own[0].source_size + 1e-9
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1
+        for a, b in zip(sorted(own, key=lambda r: r.position), sorted(own, key=lambda r: r.before)):
+            assert a.position == b.position  # within a source, positions follow the order of places
+    for r in got:  # the inverse of t + slope * (t * t - t), the source's share of its demand by time t
+        demand = min(1.0, (r.before + r.size / 2) / r.target) if r.target else 0.0
+        assert abs(r.position + r.slope * (r.position**2 - r.position) - demand) < 1e-9
+    sorted_ = [r.position for r in mixing.curriculum(docs).collect()]
+    assert sorted_ == sorted(sorted_)
+    odd = docs.select("doc_id", "text", "source").selectExpr("*", "map('a', 1) AS m", "1 AS size", "2 AS bucket")
+    assert mixing.mix(odd).count() == sum(r.copies for r in got)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
@@ -154,9 +184,33 @@ def test_packing(docs, empty):
             assert offset == at
             at += length
         assert at <= 2048
+    for own in sequences.values():
+        assert sum(n for _, n in own) <= 2048
+    ids = {}
+    for r in rows():
+        ids.setdefault(as_id(r[0]), []).append(pieces.full.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    for r in got:
+        assert any(r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) for x in ids[as_id(r.doc_id)])
+    covered = sum(r.length for r in got)
+    assert covered == sum(len(x) for own in ids.values() for x in own) and sum(r.start == 0 for r in got) == len(rows())
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_is_first_fit_decreasing(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 3, 50, 333):
+        sizes, bins, want = [rng.randint(1, 2048) for _ in range(n)], [], {}
+        for k in sorted(range(n), key=lambda k: (-sizes[k], k)):
+            at = next((b for b, used in enumerate(bins) if used + sizes[k] <= 2048), len(bins))
+            bins += [0] * (at == len(bins))
+            want[k] = (at, bins[at])
+            bins[at] += sizes[k]
+        assert packing.first_fit_decreasing(sizes, 2048) == [want[k] for k in range(n)]
+    same = spark.range(300).selectExpr("cast(null as long) AS doc_id", "'equal rows' AS text", "1 AS n", "2 AS copy")
+    got = packing.pack(same, group_docs=20).collect()
+    assert len(got) == 300 and len({r.sequence_id >> 32 for r in got}) > 8 and packing.pack(same, group_docs=20, length=2).count() > 300
+
+
 def test_encoding_round_trip():
     pieces = tokens.Pieces()
     for text in ["a b  c", " lead", "tail ", "it's\n\nfine 3.5", "ünï 漢字", "x<|endoftext|>y", "", "\t"]:
@@ -185,14 +239,22 @@ def test_edit_counts(spark, docs, empty):
 
 def test_bsi_topk(spark):
     rng = np.random.default_rng(1)
-    data = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(1, 300)]
-    data += [(400, data[0][1]), (420, data[0][1]), (500, None), (520, [None] * 8), (540, [float("nan")] * 8), (560, [float("inf")] * 8), (None, data[0][1]), (1, data[0][1])]
-    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in data if i is not None and x is not None and None not in x and np.isfinite(x).all()}
-    want = {q: sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:20] for q in v if q % 20 == 0}
-    got = defaultdict(list)
-    for r in bsi_topk.bsi_topk(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((-r.score, r.vec_id))
-    assert got == want
+    vector = lambda n: [float(x) for x in rng.normal(0, 0.2, n)]
+    data = [(int(i), vector(8)) for i in range(1, 300)]
+    data += [(400, data[0][1]), (420, data[0][1]), (500, None), (520, [None] * 8), (540, [float("nan")] * 8), (560, [float("inf")] * 8), (580, []), (None, data[0][1])]
+    data += [(1, data[0][1]), (7, vector(8)), (20, vector(8)), (20, data[19][1])]  # ids that repeat, with other and with equal vectors
+    data += [(int(i), vector(3)) for i in range(600, 650)]  # another length
+    data += [(int(i), [1e9 * x for x in vector(2)] + [1e300 if i % 2 else -1e300] * (i % 3 == 0)) for i in range(700, 730)]
+    limit, end = 1 << 61, (1 << 63) - 1
+    fine = [(i, [max(-limit, min(limit, int(np.floor(64 * c) if abs(c) < 1e200 else c))) for c in x]) for i, x in data if i is not None and x and None not in x and np.isfinite(x).all()]
+    want = Counter()
+    for q, (i, x) in enumerate(fine):
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for k, (c, y) in enumerate(fine) if k != q and len(x) == len(y))[:20]
+            want.update((i, n, c, max(-end - 1, min(end, -score))) for n, (score, c) in enumerate(scored, 1))
+    df = spark.createDataFrame([(*r, "clash", 1) for r in data], "vec_id long, embedding array<double>, block string, salt int").repartition(3)
+    for sizes in ({}, {"block_rows": 40, "block_queries": 3, "task_queries": 2}):
+        assert Counter(map(tuple, bsi_topk.bsi_topk(df, **sizes).collect())) == want
     assert bsi_topk.bsi_topk(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
@@ -211,6 +273,28 @@ def test_pseudonyms(spark, empty):
     assert pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
+def test_pseudonyms_by_kind(spark):
+    texts = [
+        "4111 1111 1111 1111 12/26", "4111111111111111 123", "42 4111111111111111", "4111 1111 1111 1111 123", "born 03/25/1984, 02/29/2004.", "25/03/1984",
+        "+44 20 7946 0958", "+33 1 23 45 67 89", "+1 310-555-4510; 310-555-4510; 310.555.4510; 310 555 4510; (310) 555-4510; +13105554510",
+        "John.Smith@x.org john.smith@x.org", "abcdefghijklmnopqrstuvwxyzsecretsurname12345678901234567890123@x.org", "x" * 30_000 + " 1.2.3.4 " + "7" * 500, "13/13/1984 00/00/2000 30/02/2001",
+    ]
+    df = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], "doc_id long, text string, _matches string, kind int")
+    out = pseudonyms.pseudonymise(df, "a secret key")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    card = digits(got[0])[:16]
+    assert card != "4" + "1" * 15 and got[0].endswith(" 12/26") and got[1] == f"{card} 123" and got[2] == f"42 {card}" and digits(got[3]) == card + "123"
+    assert re.fullmatch(r"born \d\d/(1[3-9]|2\d|3[01])/\d{4}, 02/29/\d{4}\.", got[4]) and got[4] != texts[4] and got[5] != texts[5]
+    assert got[6].startswith("+44 ") and got[6] != texts[6] and got[7].startswith("+33 ") and digits(got[7])[2:] != digits(texts[7])[2:]
+    assert len({digits(x)[-10:] for x in got[8].split(";")}) == 1 and "555" not in got[8][:8] and got[8].startswith("+1 ")
+    one, two = got[9].split()
+    assert one.lower() == two and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}@x\.org", one) and "secret" not in got[10] and "mno" not in got[10] and digits(texts[10])[-5:] != digits(got[10])[-5:]
+    assert " 1.2.3.4 " not in got[11] and got[11].endswith("7" * 500) and got[12] == texts[12]
+    plan = out._jdf.queryExecution().toString()
+    assert "secret" not in plan and b"a secret".hex() not in plan.lower() and "Python" not in plan
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = spark.range(0, 3000).selectExpr("id AS doc_id", "date_format(date_add(date'1900-01-01', cast(id * 24 AS int)), 'yyyy-MM-dd') AS text")
     assert pseudonyms.pseudonymise(days, "k").select("text").distinct().count() == 3000
@@ -242,24 +326,70 @@ def test_toxicity_held_out(spark, empty):
 def test_toxicity_tolerates_inserted_characters(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, labels)
-    score = lambda t: model.probability(toxicity.Scorer(model).worst([toxicity.words_of(t)]))[0]
-    assert min(score(t) for t in ("a zorgul b", "z o r g u l", "zor.gul", "zorrgul")) >= 0.5 > score("plain")
-
-
-def test_subsequence_kernel_is_exact():
-    def brute(s, t):
-        subs = lambda x: [((x[i], x[j], x[k]), toxicity.DECAY ** (k - i + 1)) for i in range(len(x)) for j in range(i + 1, len(x)) for k in range(j + 1, len(x))]
-        a, b = Counter(), Counter()
-        for u, w in subs(s):
-            a[u] += w
-        for u, w in subs(t):
-            b[u] += w
-        dot = lambda x, y: sum(x[u] * y[u] for u in x)
-        return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
-
-    space = toxicity.Landmarks(["banana", "cabin"])
-    got = space.kernel(["bandana", "cab"])
-    assert np.allclose(got, [[brute("bandana", "banana"), brute("bandana", "cabin")], [brute("cab", "banana"), brute("cab", "cabin")]], atol=1e-5)
+    score = lambda t: model.probability(model.worst([t]))[0]
+    assert min(score(t) for t in ("a zorgul b", "z o r g u l", "zor.gul", "zorrgul", "ZÖRGUL!", "x" * 30_000 + " wubbex")) >= 0.5 > max(score(t) for t in ("plain", "", " ", "zo. rgul zorn"))
+
+
+def test_toxicity_of_two_words_that_are_harmless_alone(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 7))) for _ in range(200)]
+    docs, labels = [], []
+    for k in range(600):
+        text = rng.choices(words, k=25) + rng.choices(["soft", "potato", "old", "lantern"], k=2)
+        rng.shuffle(text)
+        text = [w for n, w in enumerate(text) if (text[n - 1], w) not in {("soft", "potato"), ("old", "lantern")}]
+        if k % 4 == 0:
+            at = rng.randint(0, 20)
+            text[at:at] = rng.choice([["soft", "potato"], ["old", "lantern"]])
+        docs.append((k, " ".join(text)))
+        labels.append((k, int(k % 4 == 0)))
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    toxic = [r.predicted for r in got if r.doc_id % 4 == 0]
+    assert len(toxic) > 20 and np.mean(toxic) > 0.9 and np.mean([r.predicted for r in got if r.doc_id % 4]) < 0.1
+
+
+def brute_strings(text):
+    """Words, and pairs of neighbours in a sentence, as strings of symbols."""
+    out = []
+    for sentence in re.split(r"[.!?](?=\s|$)|\n", text.lower()):
+        words = [w for w in (re.sub(r"[^a-z0-9]", "", x) for x in sentence.split()) if w]
+        out += [w[k : k + toxicity.PIECE] for w in words for k in range(0, len(w), toxicity.PIECE)] + [f"{a} {b}" for a, b in zip(words, words[1:]) if max(len(a), len(b)) <= toxicity.PIECE]
+    return out
+
+
+def brute_features(s):
+    out, total = Counter(), 0.0
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                out[s[i], s[j], s[k]] += toxicity.DECAY ** (k - i + 1)
+                total += toxicity.DECAY ** (2 * (k - i + 1))
+    return out, total**0.5
+
+
+def test_subsequence_kernel_and_scores_are_exact():
+    def kernel(s, t):
+        (a, x), (b, y) = brute_features(s), brute_features(t)
+        return sum(a[u] * b[u] for u in a) / x / y
+
+    space = toxicity.Landmarks([toxicity.string_of(t) for t in ("banana", "cabin")])
+    names = ["bandana", "cab", "wor thless", "aaaaaaaaaaaaaa"]
+    got = space.kernel([toxicity.string_of(t) for t in names])
+    assert np.allclose(got, [[kernel(t, "banana"), kernel(t, "cabin")] for t in names], atol=1e-5)
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=64**3).astype(np.float32), 0.3, 1.0, 0.0)
+    code = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")} | {" ": 63}
+
+    def worst(text):
+        scores = [0.0]
+        for n, s in enumerate(brute_strings(text)):
+            f, norm = brute_features(s)
+            value = sum(v * model.weights[(code[a] * 64 + code[b]) * 64 + code[c]] for (a, b, c), v in f.items()) / norm if norm else 0.0
+            scores = [value] if not n else [*scores, value]
+        return max(scores) + 0.3
+
+    texts = ["One two-three, four. Five six", "", "a", "ab cd. ef", "no\nline breaks!Here", "w" * 20 + "x1", "the end ."]
+    assert np.allclose(model.worst(texts), [worst(t) for t in texts], atol=1e-4)
 
 
 def test_weak_quality(spark, empty):
