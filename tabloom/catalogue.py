@@ -139,7 +139,7 @@ _add("totals_row", lambda s, d: totals.with_totals(_t(s, d, "supplier").select("
 for _fn in ("average", "count", "count_numbers", "max", "min", "stddev", "stddevp", "sum", "var", "varp"):
     _q = _SQL_AGG[_fn].format("l_quantity")
     _add(f"pivot_{_fn}", lambda s, d, f=_fn: pivots.evaluate(_t(s, d, "lineitem"), pivots.Pivot(("l_returnflag",), (), (pivots.DataField("l_quantity", f, "v"),))).withColumn("v", F.round("v", 4)), f"SELECT l_returnflag, round({_q}, 4) AS v FROM lineitem GROUP BY 1" if not _fn.startswith("count") else f"SELECT l_returnflag, {_q} AS v FROM lineitem GROUP BY 1")
-_add("pivot_product", lambda s, d: pivots.evaluate(_t(s, d, "lineitem").where("l_orderkey <= 200").withColumn("f", 1 + F.col("l_discount")), pivots.Pivot(("l_orderkey",), (), (pivots.DataField("f", "product", "v"),))).withColumn("v", F.round("v", 6)), "SELECT l_orderkey, round(product(1 + l_discount), 6) AS v FROM lineitem WHERE l_orderkey <= 200 GROUP BY 1")
+_add("pivot_product", lambda s, d: pivots.evaluate(_t(s, d, "lineitem").withColumn("f", 1 + F.col("l_discount")), pivots.Pivot(("l_orderkey",), (), (pivots.DataField("f", "product", "v"),))).withColumn("v", F.round("v", 6)), "SELECT l_orderkey, round(product(1 + l_discount), 6) AS v FROM lineitem GROUP BY 1")
 _add("pivot_row_col", lambda s, d: pivots.evaluate(_t(s, d, "lineitem"), pivots.Pivot(("l_returnflag",), ("l_linestatus",), (pivots.DataField("l_quantity", "sum"),)), ["F", "O"]), "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS F, sum(l_quantity) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
 _add("pivot_two_data_fields", lambda s, d: pivots.evaluate(_t(s, d, "lineitem"), pivots.Pivot(("l_returnflag",), ("l_linestatus",), (pivots.DataField("l_quantity", "sum", "q"), pivots.DataField("l_quantity", "count", "n"))), ["F", "O"]), "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS \"F_q\", count(l_quantity) FILTER (l_linestatus = 'F') AS \"F_n\", sum(l_quantity) FILTER (l_linestatus = 'O') AS \"O_q\", count(l_quantity) FILTER (l_linestatus = 'O') AS \"O_n\" FROM lineitem GROUP BY 1")
 

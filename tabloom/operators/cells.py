@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import number_text
+from .filters import free_name
 
 CELLS = T.StructType(
     [
@@ -21,6 +22,8 @@ CELLS = T.StructType(
         T.StructField("xf", T.IntegerType()),
     ]
 )
+#: Row numbers that one array holds at most.
+RUN = 10_000
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -50,7 +53,9 @@ def to_wide(cells: DataFrame, n_columns: int, sheet: str | None = None) -> DataF
     """Rows of text c0, c1, ... with blanks as null; every row up to the last used one, blank rows included."""
     own = cells if sheet is None else cells.where(F.col("sheet") == sheet)
     wide = own.groupBy("row").agg(*(F.max(F.when(F.col("col") == k, F.col("value"))).alias(f"c{k}") for k in range(n_columns)))
-    spine = own.agg(F.max("row").alias("last")).where("last is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("row"))
+    last = own.agg(F.max("row").alias("last")).where("last is not null")  # one row; blank rows come RUN at a time
+    runs = last.select("last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / RUN))).alias("run"))
+    spine = runs.select(F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("last"), (F.col("run") + 1) * RUN - 1))).alias("row"))
     return spine.join(wide, "row", "left")
 
 
@@ -110,20 +115,39 @@ def split_sheets(df: DataFrame, row: str, sheet_rows: int, header_rows: int = 0,
     is_header = F.col(row) < header_rows
     number = F.when(is_header, 0).otherwise(F.floor(at / body)).cast("long")
     place_ = F.when(is_header, F.col(row)).otherwise(header_rows + F.pmod(at, F.lit(body))).cast("long")
-    out = df.withColumns({"_n": number, "row_in_sheet": place_})
+    n = free_name(df, "sheet_number")
+    out = df.withColumns({n: number, "row_in_sheet": place_})
     if not split:
-        return out.where("_n = 0").withColumn("sheet", F.lit(name)).drop("_n")
+        return out.where(F.col(n) == 0).withColumn("sheet", F.lit(name)).drop(n)
     if header_rows:
-        last = df.agg(F.greatest(F.lit(0), F.floor((F.max(row) - header_rows) / body)).cast("long").alias("_last"))
-        heads = out.where(is_header).crossJoin(F.broadcast(last)).withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
+        last = df.agg(F.greatest(F.lit(0), F.floor((F.max(row) - header_rows) / body)).cast("long")).scalar()
+        heads = out.where(is_header).withColumn(n, last).withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), n)))
         out = out.where(~is_header).unionByName(heads)
-    return out.withColumn("sheet", F.when(F.col("_n") == 0, F.lit(name)).otherwise(F.concat(F.lit(name + "_"), F.col("_n").cast("string")))).drop("_n")
+    return out.withColumn("sheet", F.when(F.col(n) == 0, F.lit(name)).otherwise(F.concat(F.lit(name + "_"), F.col(n).cast("string")))).drop(n)
 
 
-def shared_strings(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The pool of distinct strings with dense ids in code-point order. The pool, not the data, is numbered globally."""
+def shared_strings(df: DataFrame, columns: list[str], prefix: int = 2) -> DataFrame:
+    """The pool of distinct strings with dense ids in code-point order.
+
+    Strings are numbered within their first characters, and the counts of those, a small table, give each start.
+    """
     long = df.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns))).alias("text")).where("text is not null").distinct()
-    return long.select("text", (F.row_number().over(Window.orderBy("text")) - 1).cast("long").alias("sid"))
+    keyed = long.withColumn("head", F.substring("text", 1, prefix))
+    heads = keyed.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    starts = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    own = keyed.join(starts, "head")
+    place_ = F.row_number().over(Window.partitionBy("head").orderBy("text")) - 1
+    return own.select("text", (F.col("start") + place_).cast("long").alias("sid"))
+
+
+def sheets(cells: DataFrame) -> DataFrame:
+    """The sheet catalogue: name, number of cells, used rows and columns."""
+    return cells.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_cells"), (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+
+
+def find_table(tables: DataFrame, sheet: str, row: int, col: int) -> DataFrame:
+    """The tables(sheet, name, first_row, first_col, last_row, last_col) that hold a cell."""
+    return tables.where((F.col("sheet") == sheet) & F.lit(row).between(F.col("first_row"), F.col("last_row")) & F.lit(col).between(F.col("first_col"), F.col("last_col")))
 
 
 def render(type_: Column, value: Column, err: Column | None = None) -> Column:

@@ -11,16 +11,12 @@ _COMPARE = {"equal": "equal", "not_equal": "not_equal", "less": "less", "less_eq
 DATE_RULES = ("yesterday", "today", "tomorrow", "last_7_days", "last_week", "this_week", "next_week", "last_month", "this_month", "next_month", "last_year", "this_year", "next_year")
 
 
-def _all() -> Window:
-    return Window.partitionBy()
-
-
 def simple_rule(c: Column, rule: str, value=None, numeric: bool = True) -> Column:
-    return filters.item_predicate(c, filters.Item(0, _COMPARE[rule], value), numeric)
+    return filters.flag(filters.item_predicate(c, filters.Item(0, _COMPARE[rule], value), "double" if numeric else "string"))
 
 
 def between(c: Column, low, high, negate: bool = False) -> Column:
-    test = F.coalesce(c.between(low, high), F.lit(False))
+    test = filters.flag(c.between(low, high))
     return ~test if negate else test
 
 
@@ -32,16 +28,15 @@ def duplicate(df: DataFrame, column: str, name: str = "flag", unique: bool = Fal
 
 def top_bottom(df: DataFrame, column: str, n: float, bottom: bool = False, percent: bool = False, name: str = "flag") -> DataFrame:
     op = ("bottom" if bottom else "top") + ("_percent" if percent else "")
-    helpers, test = filters.compile_tree(df, filters.Item(df.columns.index(column), op, n))
-    return df.withColumns(helpers).withColumn(name, test).drop(*helpers)
+    return df.withColumn(name, filters.flag(filters.compile_tree(df, filters.Item(df.columns.index(column), op, n))))
 
 
 def average(df: DataFrame, column: str, above: bool = True, equal: bool = False, deviations: float = 0.0, name: str = "flag") -> DataFrame:
-    c = F.col(column)
-    stats = df.agg(F.avg(c).alias("_avg"), F.stddev_pop(c).alias("_dev"))  # one row
-    edge = F.col("_avg") + (F.col("_dev") if above else -F.col("_dev")) * deviations if deviations else F.col("_avg")
+    c, kind = F.col(column), dict(df.dtypes)[column]
+    own = F.when(~F.isnan(c), c) if kind in filters.FRACTIONAL else c
+    edge = df.agg(F.avg(own) + (F.stddev_pop(own) * (deviations if above else -deviations) if deviations else 0)).scalar()
     test = (c >= edge if equal else c > edge) if above else (c <= edge if equal else c < edge)
-    return df.crossJoin(F.broadcast(stats)).withColumn(name, F.coalesce(test, F.lit(False))).drop("_avg", "_dev")
+    return df.withColumn(name, filters.flag(test & filters.is_present(c, kind)))
 
 
 def contains_error(err: Column, negate: bool = False) -> Column:
@@ -54,46 +49,54 @@ def expression(formula: str) -> Column:
 
 
 def date_rule(c: Column, rule: str, as_of) -> Column:
-    return filters.date_predicate(c, filters.DateFilter(0, rule, as_of))
+    return filters.flag(filters.date_predicate(c, filters.DateFilter(0, rule, as_of), "any"))
 
 
-def _limits(df: DataFrame, column: str, points: list[tuple[str, float | None]]) -> DataFrame:
-    """One row of thresholds _p0, _p1, ...: min, max, value, percent or percentile."""
+def _limits(df: DataFrame, column: str, points: list[tuple[str, float | None]]) -> Column:
+    """Thresholds p0, p1, ... as one struct: min, max, value, percent or percentile; a scalar subquery finds them."""
     c = F.col(column)
     low, high = F.min(c), F.max(c)
     make = {"min": lambda v: low, "max": lambda v: high, "value": lambda v: F.lit(float(v)), "percent": lambda v: low + (high - low) * (v / 100), "percentile": lambda v: F.percentile(c, F.lit(v / 100))}
-    return df.agg(*(make[kind](v).cast("double").alias(f"_p{k}") for k, (kind, v) in enumerate(points)))
+    return df.agg(F.struct(*(make[kind](v).cast("double").alias(f"p{k}") for k, (kind, v) in enumerate(points)))).scalar()
+
+
+def _with_limits(df: DataFrame, column: str, points: list[tuple[str, float | None]], name: str, rule) -> DataFrame:
+    """Adds rule(value, thresholds); the thresholds stand in a column of a free name meanwhile."""
+    helper = filters.free_name(df, "limits")
+    out = df.withColumn(helper, _limits(df, column, points))
+    limits = [F.col(helper)[f"p{k}"] for k in range(len(points))]
+    return out.withColumn(name, rule(F.col(column).cast("double"), limits)).drop(helper)
 
 
 def colour_scale(df: DataFrame, column: str, points: list[tuple[str, float | None]], colours: list[tuple[int, int, int]], name: str = "colour") -> DataFrame:
     """rrggbb between the colours of neighbouring points, clamped at the ends."""
-    c = F.col(column).cast("double")
-    out = df.crossJoin(F.broadcast(_limits(df, column, points)))
-    n = len(points)
 
-    def channel(k: int) -> Column:
-        value = F.lit(float(colours[-1][k]))
-        for j in reversed(range(n - 1)):
-            a, b = F.col(f"_p{j}"), F.col(f"_p{j + 1}")
-            share = F.when(b > a, F.greatest(F.lit(0.0), (c - a) / (b - a))).otherwise(0.0)
-            value = F.when(c < b, colours[j][k] + (colours[j + 1][k] - colours[j][k]) * share).otherwise(value)
-        return F.lpad(F.lower(F.hex(F.floor(value + 0.5).cast("long"))), 2, "0")
+    def rule(c: Column, p: list[Column]) -> Column:
+        def channel(k: int) -> Column:
+            value = F.lit(float(colours[-1][k]))
+            for j in reversed(range(len(points) - 1)):
+                share = F.when(p[j + 1] > p[j], F.greatest(F.lit(0.0), (c - p[j]) / (p[j + 1] - p[j]))).otherwise(0.0)
+                value = F.when(c < p[j + 1], colours[j][k] + (colours[j + 1][k] - colours[j][k]) * share).otherwise(value)
+            return F.lpad(F.lower(F.hex(F.floor(value + 0.5).cast("long"))), 2, "0")
 
-    code = F.when(c.isNotNull(), F.concat(channel(0), channel(1), channel(2)))
-    return out.withColumn(name, code).drop(*(f"_p{k}" for k in range(n)))
+        return F.when(c.isNotNull(), F.concat(channel(0), channel(1), channel(2)))
+
+    return _with_limits(df, column, points, name, rule)
 
 
 def data_bar(df: DataFrame, column: str, min_length: float = 10.0, max_length: float = 90.0, name: str = "bar") -> DataFrame:
-    c = F.col(column).cast("double")
-    out = df.crossJoin(F.broadcast(_limits(df, column, [("min", None), ("max", None)])))
-    share = F.when(F.col("_p1") > F.col("_p0"), (c - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))).otherwise(F.lit(0.0))
-    return out.withColumn(name, min_length + (max_length - min_length) * share).drop("_p0", "_p1")
+    def rule(c: Column, p: list[Column]) -> Column:
+        share = F.when(p[1] > p[0], (c - p[0]) / (p[1] - p[0])).otherwise(F.lit(0.0))
+        return min_length + (max_length - min_length) * share
+
+    return _with_limits(df, column, [("min", None), ("max", None)], name, rule)
 
 
 def icon_set(df: DataFrame, column: str, points: list[tuple[str, float | None]], reverse: bool = False, name: str = "icon") -> DataFrame:
     """Number of thresholds reached, from 0; points are the lower bounds of icons 1, 2, ..."""
-    c = F.col(column).cast("double")
-    out = df.crossJoin(F.broadcast(_limits(df, column, points)))
-    icon = sum((F.when(c >= F.col(f"_p{k}"), 1).otherwise(0) for k in range(1, len(points))), F.when(c >= F.col("_p0"), 1).otherwise(0))
-    icon = F.lit(len(points)) - icon if reverse else icon
-    return out.withColumn(name, F.when(c.isNotNull(), icon)).drop(*(f"_p{k}" for k in range(len(points))))
+
+    def rule(c: Column, p: list[Column]) -> Column:
+        icon = sum((F.when(c >= x, 1).otherwise(0) for x in p[1:]), F.when(c >= p[0], 1).otherwise(0))
+        return F.when(c.isNotNull(), F.lit(len(points)) - icon if reverse else icon)
+
+    return _with_limits(df, column, points, name, rule)

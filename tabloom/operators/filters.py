@@ -1,8 +1,11 @@
-"""Filter trees over the columns of a range, compiled to native predicates.
+"""Filter trees over the columns of a range, compiled to native predicates that reach the scan.
 
-A tree is made of Item, ItemSet and Node; a field is the 0-based place of a column. Blank cells are null or empty text:
-positive text and number tests fail on them, negative ones pass. Top and bottom rules keep ties. compile_tree() gives
-the predicate and the helper columns (windows over the whole range) that it needs; apply() puts both on a DataFrame.
+A tree is made of Item, ItemSet, DateFilter and Node; a field is the 0-based place of a column. Blank cells are null or
+empty text: positive text and number tests fail on them, negative ones pass. Not-a-number counts as blank for number
+tests, ranks and averages. Top and bottom rules keep ties. Ranked rules compare with a threshold that a scalar subquery
+finds, so no window spans the range.
+
+Predicates may be null where a test fails on a blank; a filter drops such rows, and flag() turns them into false.
 """
 
 from __future__ import annotations
@@ -76,60 +79,108 @@ def rewrite_wildcard(op: str, pattern: str) -> tuple[str, str, bool]:
     return op, body, True
 
 
-def is_blank(c: Column) -> Column:
-    return c.isNull() | (c.cast("string") == "")
+FRACTIONAL = ("float", "double")
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def is_number_type(kind: str) -> bool:
+    return kind.split("(")[0] in _NUMBERS
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (base, *(f"{base}_{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
+def flag(test: Column) -> Column:
+    return F.coalesce(test, F.lit(False))
+
+
+def is_blank(c: Column, kind: str = "string") -> Column:
+    return c.isNull() | (c == "") if kind == "string" else c.isNull()
+
+
+def is_present(c: Column, kind: str) -> Column:
+    """Neither null nor not-a-number."""
+    return c.isNotNull() & ~F.isnan(c) if kind in FRACTIONAL else c.isNotNull()
+
+
+def _unless(c: Column, test: Column) -> Column:
+    """A negative test: blanks pass it."""
+    return c.isNull() | ~test
 
 
-def item_predicate(c: Column, item: Item, numeric: bool = False) -> Column:
-    """Predicate of one item without a window; numeric: the column's own type is a number."""
-    op, value = item.op, item.value
+def item_predicate(c: Column, item: Item, kind: str = "string") -> Column:
+    """Predicate of one item without a rank; kind is the column's type."""
+    op, value, number_type = item.op, item.value, is_number_type(kind)
     if op == "empty":
-        return is_blank(c)
+        return is_blank(c, kind)
     if op == "not_empty":
-        return ~is_blank(c)
+        return c.isNotNull() & (c != "") if kind == "string" else c.isNotNull()
+    number = c if number_type else c.try_cast("double")
     if op in COMPARISONS:
         if isinstance(value, str):
             raise ValueError(f"{op} takes a number")
-        number = c if numeric else c.try_cast("double")
         test = {"greater": number > value, "greater_equal": number >= value, "less": number < value, "less_equal": number <= value}[op]
-        return F.coalesce(test, F.lit(False))
+        fractional = kind in FRACTIONAL or not number_type
+        return test & ~F.isnan(number) if fractional and op.startswith("greater") else test
+    text = c if kind == "string" else c.cast("string")
     if op in ("equal", "not_equal"):
         if item.regex:
-            test = c.cast("string").rlike(f"^(?:{value})$")
+            test = text.rlike(f"^(?:{value})$")
         elif isinstance(value, bool):
             test = c == F.lit(value)
         elif isinstance(value, (int, float)):
-            test = (c if numeric else c.try_cast("double")) == value
+            test = number == value
+            return number.isNull() | (number != value) if op == "not_equal" else test
         else:
-            test = c.cast("string") == value
-        test = F.coalesce(test, F.lit(False))
-        return ~test if op == "not_equal" else test
+            test = text == value
+        return _unless(c, test) if op == "not_equal" else test
     if op in TEXT:
-        text, plain = c.cast("string"), op.removeprefix("not_")
+        plain = op.removeprefix("not_")
         if item.regex:
-            form = {"contain": "{}", "begin_with": "^(?:{})", "end_with": "(?:{})$"}[plain].format(value)
-            test = text.rlike(form)
+            test = text.rlike({"contain": "{}", "begin_with": "^(?:{})", "end_with": "(?:{})$"}[plain].format(value))
         else:
             test = {"contain": text.contains, "begin_with": text.startswith, "end_with": text.endswith}[plain](F.lit(str(value)))
-        test = F.coalesce(test, F.lit(False))
-        return ~test if op.startswith("not_") else test
+        return _unless(c, test) if op.startswith("not_") else test
     raise ValueError(f"unknown operator {op}")
 
 
-def date_predicate(c: Column, rule: DateFilter) -> Column:
-    """Today and its neighbours, this, last and next week, month, quarter and year, year to date, Q1-4, M1-12, null."""
-    day, name = c.cast("date"), rule.name
+def set_predicate(c: Column, x: ItemSet, kind: str = "string") -> Column:
+    """A number column is compared with numbers, a text one with texts; values of the other kind match nothing."""
+    if is_number_type(kind):
+        values = []
+        for v in x.values:
+            try:
+                values.append(float(v))
+            except (TypeError, ValueError):
+                continue
+        values = [int(v) if v.is_integer() and kind not in FRACTIONAL else v for v in values]
+    else:
+        values = [str(v) for v in x.values if v is not None]
+    text = c if kind == "string" or is_number_type(kind) else c.cast("string")
+    test = text.isin(*values) if values else F.lit(False)
+    return is_blank(c, kind) | test if x.blank else test
+
+
+def date_predicate(c: Column, rule: DateFilter, kind: str = "timestamp") -> Column:
+    """Today and its neighbours, this, last and next week, month, quarter and year, year to date, Q1-4, M1-12, null.
+
+    A period is a half-open range in the column's own type, so that it reaches the scan.
+    """
+    name = rule.name
     if name == "null":
         return c.isNull()
     if re.fullmatch(r"Q[1-4]", name):
-        return F.coalesce(F.quarter(day) == int(name[1:]), F.lit(False))
+        return F.quarter(c.cast("date")) == int(name[1:])
     if re.fullmatch(r"M([1-9]|1[0-2])", name):
-        return F.coalesce(F.month(day) == int(name[1:]), F.lit(False))
-    now = rule.as_of
-    if now is None:
+        return F.month(c.cast("date")) == int(name[1:])
+    if rule.as_of is None:
         raise ValueError("this rule needs as_of")
-    first, last = period(name, now)
-    return F.coalesce((day >= F.lit(first)) & (day < F.lit(last)), F.lit(False))
+    own, kind = (c, kind) if kind in ("date", "timestamp", "timestamp_ntz") else (c.try_cast("timestamp_ntz"), "timestamp_ntz")
+    first, last = (F.lit(day).cast(kind) for day in period(name, rule.as_of))
+    return (own >= first) & (own < last)
 
 
 def period(name: str, now: date) -> tuple[date, date]:
@@ -151,100 +202,90 @@ def period(name: str, now: date) -> tuple[date, date]:
     return begin(at), begin(at + 1)
 
 
-class _Compiler:
-    """Collects window columns; every ranked rule is one shared window over the range."""
-
-    def __init__(self, columns: list[str], types: dict[str, str]):
-        self.columns, self.types, self.helpers = columns, types, {}
-
-    def _helper(self, name: str, make: Column) -> Column:
-        self.helpers.setdefault(name, make)
-        return F.col(name)
-
-    def __call__(self, x) -> Column:
+#: Cuts of the value range between which the value of a given rank is searched.
+CUTS = 1000
+
+
+def top_threshold(df: DataFrame, c: Column, n: int, low: bool, kind: str) -> Column:
+    """The n-th best value, or the worst of fewer: a distributed partial top-n."""
+    own = df.where(is_present(c, kind)).select(c.alias("v"))
+    best = own.orderBy(F.col("v").asc() if low else F.col("v").desc()).limit(n)
+    return best.agg((F.max if low else F.min)("v")).scalar()
+
+
+def percent_threshold(df: DataFrame, c: Column, percent: float, low: bool, kind: str) -> Column:
+    """The value of rank ceil(count * percent / 100).
+
+    Counts between CUTS approximate quantiles tell where it lies, and only the distinct values there, about one in CUTS,
+    are ordered.
+    """
+    own = df.where(is_present(c, kind)).select(c.alias("v"))
+    cuts = own.agg(F.percentile_approx("v", [k / CUTS for k in range(1, CUTS)], 10 * CUTS)).scalar()
+    counts = own.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("cuts", cuts)
+    part = F.size(F.filter("cuts", lambda x: x < F.col("v")))
+    parts = counts.withColumn("part", -part if low else part).groupBy("part").agg(F.sum("n").alias("n"))  # CUTS rows at most
+    parts = parts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("part")))).withColumn("most", F.ceil(F.sum("n").over(Window.partitionBy()) * (percent / 100)))
+    found = parts.where("most > 0 AND upto >= most AND upto - n < most").select(F.struct("part", (F.col("most") - F.col("upto") + F.col("n")).alias("rest")).alias("s"))
+    at = found.agg(F.max("s")).scalar()
+    inside = counts.withColumn("part", -part if low else part).withColumn("at", at).where("part = at.part")
+    run = F.sum("n").over(Window.orderBy(F.asc("v") if low else F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
+    reached = inside.withColumn("before", F.coalesce(run, F.lit(0))).where("before < at.rest")
+    return reached.agg((F.max if low else F.min)("v")).scalar()
+
+
+def ranked_predicate(df: DataFrame, x: Item, name: str, kind: str) -> Column:
+    """A rule about the whole column as a comparison with one value."""
+    c, low = F.col(f"`{name}`"), x.op.startswith("bottom")
+    present = F.when(~F.isnan(c), c) if kind in FRACTIONAL else c
+    if x.op in DYNAMIC:
+        mean = F.lit(x.value) if x.value is not None else df.agg(F.avg(present)).scalar()
+        return (c > mean) & is_present(c, kind) if x.op == "above_average" else c < mean
+    if x.op.endswith("percent_range"):
+        span = (F.max(present) - F.min(present)) * (x.value / 100)
+        edge = df.agg(F.min(present) + span if low else F.max(present) - span).scalar()
+    elif x.op.endswith("percent"):
+        edge = percent_threshold(df, c, x.value, low, kind)
+    else:
+        if math.floor(x.value) < 1:
+            return F.lit(False)
+        edge = top_threshold(df, c, math.floor(x.value), low, kind)
+    return c <= edge if low else (c >= edge) & is_present(c, kind)
+
+
+def compile_tree(df: DataFrame, tree, columns: list[str] | None = None) -> Column:
+    """The predicate of a tree over df; columns names the range's fields in order."""
+    names, types = columns or df.columns, dict(df.dtypes)
+
+    def visit(x) -> Column:
         if isinstance(x, Node):
-            parts = [self(child) for child in x.children]
+            parts = [visit(child) for child in x.children]
             if not parts:
                 return F.lit(x.op == "and")
             out = parts[0]
             for p in parts[1:]:
                 out = out & p if x.op == "and" else out | p
             return out
-        name = self.columns[x.field]
-        c = F.col(f"`{name}`")
+        name = names[x.field]
+        c, kind = F.col(f"`{name}`"), types[name]
         if isinstance(x, ItemSet):
-            test = F.coalesce(c.cast("string").isin(*map(str, x.values)), F.lit(False)) if x.values else F.lit(False)
-            return test | is_blank(c) if x.blank else test
+            return set_predicate(c, x, kind)
         if isinstance(x, DateFilter):
-            return date_predicate(c, x)
+            return date_predicate(c, x, kind)
         if x.op in RANKED or x.op in DYNAMIC:
-            return self.ranked(x, name, c)
-        return item_predicate(c, x, self.types[name] not in ("string", "boolean", "date", "timestamp"))
-
-    def ranked(self, x: Item, name: str, c: Column) -> Column:
-        whole = Window.partitionBy()
-        if x.op in DYNAMIC:
-            mean = F.lit(x.value) if x.value is not None else self._helper(f"_avg_{name}", F.avg(c).over(whole))
-            return F.coalesce(c > mean if x.op == "above_average" else c < mean, F.lit(False))
-        low = x.op.startswith("bottom")
-        if x.op.endswith("percent_range"):
-            most, least = self._helper(f"_max_{name}", F.max(c).over(whole)), self._helper(f"_min_{name}", F.min(c).over(whole))
-            test = c <= least + (most - least) * (x.value / 100) if low else c >= most - (most - least) * (x.value / 100)
-            return F.coalesce(test, F.lit(False))
-        order = c.asc_nulls_last() if low else c.desc_nulls_last()
-        rank = self._helper(f"_rank_{'low' if low else 'high'}_{name}", F.rank().over(Window.orderBy(order)))
-        if x.op.endswith("percent"):
-            n = F.ceil(self._helper(f"_count_{name}", F.count(c).over(whole)) * (x.value / 100))
-        else:
-            n = F.lit(math.floor(x.value))
-        return c.isNotNull() & (rank <= n)
-
+            return ranked_predicate(df, x, name, kind)
+        return item_predicate(c, x, kind)
 
-def compile_tree(df: DataFrame, tree, columns: list[str] | None = None) -> tuple[dict[str, Column], Column]:
-    compiler = _Compiler(columns or df.columns, dict(df.dtypes))
-    predicate = compiler(tree)
-    return compiler.helpers, predicate
+    return visit(tree)
 
 
 def apply(df: DataFrame, tree, columns: list[str] | None = None) -> DataFrame:
-    """The rows of df that pass. A single top or bottom rule is a plain order-and-limit threshold, without a window."""
-    if isinstance(tree, Item) and tree.op in ("top", "bottom") and tree.value is not None:
-        return _top_n(df, tree, (columns or df.columns)[tree.field])
-    if isinstance(tree, Item) and (tree.op in RANKED or (tree.op in DYNAMIC and tree.value is None)):
-        return _threshold(df, tree, (columns or df.columns)[tree.field])
-    helpers, predicate = compile_tree(df, tree, columns)
-    out = df.withColumns(helpers) if helpers else df
-    return out.where(predicate).select(*(f"`{c}`" for c in df.columns))
-
-
-def _top_n(df: DataFrame, item: Item, name: str) -> DataFrame:
-    """Distributed: the n-th best value is a partial top-n, then every row that reaches it passes (ties kept)."""
-    c, n = F.col(f"`{name}`"), math.floor(item.value)
-    best = df.where(c.isNotNull()).select(c.alias("_v")).orderBy(F.col("_v").asc() if item.op == "bottom" else F.col("_v").desc()).limit(n)
-    edge = best.agg((F.max if item.op == "bottom" else F.min)("_v").alias("_edge"))
-    test = c <= F.col("_edge") if item.op == "bottom" else c >= F.col("_edge")
-    return df.join(F.broadcast(edge), test).select(*(df[x] for x in df.columns))  # edge is one row
-
-
-def _threshold(df: DataFrame, item: Item, name: str) -> DataFrame:
-    """Rules that one aggregate of the column decides: the aggregate is one row, joined by broadcast."""
-    c, low = F.col(f"`{name}`"), item.op.startswith("bottom")
-    if item.op in DYNAMIC:
-        edge = df.agg(F.avg(c).alias("_edge"))
-        test = c > F.col("_edge") if item.op == "above_average" else c < F.col("_edge")
-    elif item.op.endswith("percent_range"):
-        span = (F.max(c) - F.min(c)) * (item.value / 100)
-        edge = df.agg((F.min(c) + span if low else F.max(c) - span).alias("_edge"))
-        test = c <= F.col("_edge") if low else c >= F.col("_edge")
-    else:  # percent of the count: counts per value, cumulated over distinct values only
-        counts = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        total = counts.agg(F.ceil(F.sum("_n") * (item.value / 100)).alias("_most"))
-        order = F.col("_v").asc() if low else F.col("_v").desc()
-        before = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-        ranked = counts.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(total), F.col("_before") < F.col("_most"))
-        edge = ranked.agg((F.max if low else F.min)("_v").alias("_edge"))
-        test = c <= F.col("_edge") if low else c >= F.col("_edge")
-    return df.join(F.broadcast(edge), test).select(*(df[x] for x in df.columns))
+    """The rows of df that pass."""
+    return df.where(compile_tree(df, tree, columns))
+
+
+def hidden_rows(df: DataFrame, tree, columns: list[str] | None = None, name: str = "hidden") -> DataFrame:
+    """Adds whether the filter hides the row."""
+    return df.withColumn(name, ~flag(compile_tree(df, tree, columns)))
 
 
 _ODF = {"=": "equal", "!=": "not_equal", "<": "less", ">": "greater", "<=": "less_equal", ">=": "greater_equal", "empty": "empty", "!empty": "not_empty", "contains": "contain", "!contains": "not_contain", "begins-with": "begin_with", "!begins-with": "not_begin_with", "ends-with": "end_with", "!ends-with": "not_end_with", "top values": "top", "bottom values": "bottom", "top percent": "top_percent", "bottom percent": "bottom_percent", "match": "equal", "!match": "not_equal"}
@@ -270,6 +311,27 @@ def imported_item(vocabulary: str, field_: int, name: str, value: str | None = N
     return Item(field_, op, value)
 
 
+_PERIODS = {"yearToDate": "year_to_date", "aboveAverage": "above_average", "belowAverage": "below_average"} | {f"{w}{u}": f"{w}_{u.lower()}" for w in ("this", "last", "next") for u in ("Week", "Month", "Quarter", "Year")}
+
+
+def from_plain(plain: list, as_of: date | None = None):
+    """A tree from the plain lists that file parsers give.
+
+    ["and" | "or", [child, ...]], ["set", field, values, blank], ["date", field, name] and ["item", vocabulary, field, name,
+    value]; what is no filter (All, a comparison with text) is dropped, and None is left if nothing remains.
+    """
+    kind = plain[0]
+    if kind in ("and", "or"):
+        children = tuple(x for x in (from_plain(p, as_of) for p in plain[1]) if x is not None)
+        return children[0] if len(children) == 1 else Node(kind, children) if children else None
+    if kind == "set":
+        return ItemSet(plain[1], tuple(plain[2]), bool(plain[3]))
+    if kind == "date":
+        name = _PERIODS.get(plain[2], plain[2])
+        return Item(plain[1], name) if name in DYNAMIC else DateFilter(plain[1], name, as_of)
+    return imported_item(plain[1], plain[2], plain[3], plain[4])
+
+
 def value_order(c_type: Column, num: Column, text: Column) -> list[Column]:
     """Sort key of filter values: empty, then numbers, then text."""
     rank = F.when(c_type == "empty", 0).when(c_type == "numeric", 1).otherwise(2)

@@ -34,9 +34,16 @@ FUNCTIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def aggregate(function: str | Column, column: str) -> Column:
-    """A named function of a column, or a custom aggregate as it is."""
-    return function if isinstance(function, Column) else FUNCTIONS[function](F.col(column))
+#: These take the numbers among text, and leave the rest out.
+NUMERIC = ("sum", "average", "product", "standard_deviation", "stddev", "stddevp", "variance", "var", "varp", "unknown")
+
+
+def aggregate(function: str | Column, column: str, kind: str | None = None) -> Column:
+    """A named function of a column, or a custom aggregate as it is; kind is the column's type, where it is known."""
+    if isinstance(function, Column):
+        return function
+    c = F.col(f"`{column}`")
+    return FUNCTIONS[function](c.try_cast("double") if kind == "string" and function in NUMERIC else c)
 
 
 def totals(df: DataFrame, functions: dict[str, str | Column], labels: dict[str, str] | None = None) -> DataFrame:
@@ -46,7 +53,7 @@ def totals(df: DataFrame, functions: dict[str, str | Column], labels: dict[str,
     out = []
     for c in df.columns:
         if c in functions and (isinstance(functions[c], Column) or functions[c] != "none"):
-            out.append(aggregate(functions[c], c).alias(c))
+            out.append(aggregate(functions[c], c, types[c]).alias(c))
         else:
             out.append(F.first(F.lit(labels.get(c))).cast("string" if c in labels else types[c]).alias(c))
     return df.agg(*out)
