@@ -35,6 +35,8 @@ def labels(paths: list[str]) -> list[Field]:
 
 
 def _step(c: Column, step: str | int) -> Column:
+    if step == WILD:  # an array that is no row group
+        return F.get(c, F.lit(0))
     return F.get(c, F.lit(step)) if isinstance(step, int) else c.getField(step)
 
 
