@@ -106,6 +106,28 @@ def r1c1_address(c: Column) -> Column:
     return F.when(row != "", F.struct((row.cast("int") - 1).alias("row"), (col.cast("int") - 1).alias("col")))
 
 
+def odf_address(c: Column) -> Column:
+    """struct<sheet, row, col> of an address such as $'My sheet'.$C$7 or .C7."""
+    form = r"^\$?(?:'([^']*)'|([^'.$]*))\.\$?([A-Za-z]{1,3})\$?(\d+)$"
+    part = lambda k: F.regexp_extract(c, form, k)
+    sheet = F.nullif(F.concat(part(1), part(2)), F.lit(""))
+    return F.when(part(4) != "", F.struct(sheet.alias("sheet"), (part(4).cast("int") - 1).alias("row"), letters_column(part(3)).alias("col")))
+
+
+def locate(text: Column, offset: Column) -> Column:
+    """struct<line, column> from 1 of a character offset, for messages about errors in a text."""
+    before = F.substring(text, F.lit(1), offset)
+    return F.struct(
+        (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line"),
+        (F.length(F.substring_index(before, "\n", -1)) + 1).cast("int").alias("column"),
+    )
+
+
+def uuid4() -> Column:
+    """A random identifier of version 4."""
+    return F.expr("uuid()")
+
+
 def clamp_range(first: Column, last: Column, limit: int) -> tuple[Column, Column]:
     low, high = F.lit(0), F.lit(limit - 1)
     return F.least(F.greatest(first, low), high), F.least(F.greatest(last, low), high)

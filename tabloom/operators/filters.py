@@ -292,7 +292,8 @@ _ODF = {"=": "equal", "!=": "not_equal", "<": "less", ">": "greater", "<=": "les
 _GNUMERIC = {"eq": "equal", "gt": "greater", "gte": "greater_equal", "lt": "less", "lte": "less_equal", "ne": "not_equal", "blanks": "empty", "noblanks": "not_empty"}
 _XLSX = {"equal": "equal", "greaterThan": "greater", "greaterThanOrEqual": "greater_equal", "lessThan": "less", "lessThanOrEqual": "less_equal", "notEqual": "not_equal"}
 _XLS_XML = {"Equals": "equal", "DoesNotEqual": "not_equal", "GreaterThan": "greater", "GreaterThanOrEqual": "greater_equal", "LessThan": "less", "LessThanOrEqual": "less_equal", "Blanks": "empty", "NonBlanks": "not_empty", "Top": "top", "Bottom": "bottom", "TopPercent": "top_percent", "BottomPercent": "bottom_percent"}
-VOCABULARIES = {"odf": _ODF, "gnumeric": _GNUMERIC, "xlsx": _XLSX, "xls_xml": _XLS_XML}
+_GNUMERIC["nonblanks"] = "not_empty"
+VOCABULARIES = {"own": {op: op for op in RANKED}, "odf": _ODF, "gnumeric": _GNUMERIC, "xlsx": _XLSX, "xls_xml": _XLS_XML}
 
 
 def imported_item(vocabulary: str, field_: int, name: str, value: str | None = None) -> Item | None:

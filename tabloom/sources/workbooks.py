@@ -6,14 +6,19 @@ Parsers are plain functions of a file's bytes; read_workbooks() runs them one fi
 from __future__ import annotations
 
 import gzip
+import json
 import re
 import xml.etree.ElementTree as ET
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import package
 
@@ -112,7 +117,10 @@ def parse_xlsx(data: bytes) -> Workbook:
         elif kind == "styles" and target in parts:
             out.styles = _xlsx_styles(xml(target))
         elif kind == "pivotCacheDefinition" and target in parts:
-            out.pivots.append(_xlsx_pivot_cache(xml(target), target))
+            out.pivots.append(cache := _xlsx_pivot_cache(xml(target), target))
+            for own, records in relations(target).values():
+                if own == "pivotCacheRecords" and records in parts:
+                    cache["records"] = [[(_local(v.tag), v.attrib.get("v")) for v in r] for r in _kids(xml(records), "r")]
     root = xml(book)
     if (pr := _first(root, "workbookPr")) is not None and pr.attrib.get("date1904") in ("1", "true"):
         out.origin = "1904-01-01"
@@ -168,7 +176,7 @@ def _xlsx_sheet(out: Workbook, sheet: str, root: ET.Element) -> None:
     for c in _all(root, "col"):
         out.sizes.append({"sheet": sheet, "axis": "col", "first": int(c.attrib["min"]) - 1, "last": int(c.attrib["max"]) - 1, "size": c.attrib.get("width"), "hidden": c.attrib.get("hidden") in ("1", "true")})
     for f in _kids(root, "autoFilter"):
-        out.filters.append(_area(sheet, f.attrib["ref"]) | {"items": _xlsx_filter(f)})
+        out.filters.append(_area(sheet, f.attrib["ref"]) | {"items": (items := _xlsx_filter(f)), "tree": _xlsx_tree(items)})
     for cf in _all(root, "conditionalFormatting"):
         for rule in _kids(cf, "cfRule"):
             out.conditions.append({"sheet": sheet, "ref": cf.attrib.get("sqref"), "type": rule.attrib.get("type"), "operator": rule.attrib.get("operator"), "priority": rule.attrib.get("priority"), "formulas": [x.text for x in _kids(rule, "formula")]} | {k: v for k, v in rule.attrib.items() if k in ("rank", "percent", "bottom", "aboveAverage", "equalAverage", "stdDev", "text", "timePeriod")})
@@ -194,21 +202,44 @@ def _xlsx_filter(f: ET.Element) -> list[dict]:
     return out
 
 
+def _xlsx_tree(items: list[dict]) -> list:
+    """Filter columns as the plain tree that operators.filters reads; all of them have to pass."""
+    out = []
+    for i in items:
+        if i["op"] == "set":
+            out.append(["set", i["field"], i["values"], i["blank"]])
+        elif "items" in i:
+            out.append([i["op"], [["item", "xlsx", i["field"], op, value] for op, value in i["items"]]])
+        elif isinstance(i["value"], float):
+            out.append(["item", "own", i["field"], i["op"], i["value"]])
+        else:
+            out.append(["date", i["field"], i["op"]])
+    return ["and", out]
+
+
 def _xlsx_table(x: ET.Element, sheet: str, out: Workbook) -> dict:
     columns = [{"name": c.attrib["name"], "label": c.attrib.get("totalsRowLabel"), "function": c.attrib.get("totalsRowFunction", "none")} for c in _all(x, "tableColumn")]
     for f in _kids(x, "autoFilter"):
-        out.filters.append(_area(sheet, f.attrib["ref"]) | {"items": _xlsx_filter(f), "table": x.attrib.get("name")})
+        out.filters.append(_area(sheet, f.attrib["ref"]) | {"items": (items := _xlsx_filter(f)), "tree": _xlsx_tree(items), "table": x.attrib.get("name")})
     return _area(sheet, x.attrib["ref"]) | {"name": x.attrib.get("name"), "display_name": x.attrib.get("displayName"), "totals_rows": int(x.attrib.get("totalsRowCount", 0)), "columns": columns}
 
 
 def _xlsx_styles(x: ET.Element) -> list[dict]:
     formats = {n.attrib["numFmtId"]: n.attrib["formatCode"] for n in _all(x, "numFmt")}
     fonts = [{_local(p.tag): p.attrib.get("val", "1") for p in f} for fs in _kids(x, "fonts") for f in _kids(fs, "font")]
+    fills = [{"pattern": p.attrib.get("patternType")} | {_local(c.tag): c.attrib.get("rgb") or c.attrib.get("theme") or c.attrib.get("indexed") for c in p} for fs in _kids(x, "fills") for f in _kids(fs, "fill") for p in f]
+    borders = [{_local(side.tag): side.attrib["style"] for side in b if "style" in side.attrib} for bs in _kids(x, "borders") for b in _kids(bs, "border")]
+    named = {c.attrib.get("xfId"): c.attrib.get("name") for cs in _kids(x, "cellStyles") for c in _kids(cs, "cellStyle")}
+    at = lambda own, k: own[int(k or 0)] if int(k or 0) < len(own) else {}
     out = []
     for xfs in _kids(x, "cellXfs"):
         for k, xf in enumerate(_kids(xfs, "xf")):
-            font = int(xf.attrib.get("fontId", 0))
-            out.append({"xf": k, "number_format": formats.get(xf.attrib.get("numFmtId", "0"), xf.attrib.get("numFmtId", "0")), "font": fonts[font] if font < len(fonts) else {}, "fill": xf.attrib.get("fillId"), "border": xf.attrib.get("borderId")})
+            a = xf.attrib
+            inner = {_local(c.tag): dict(c.attrib) for c in xf}
+            out.append({
+                "xf": k, "number_format": formats.get(a.get("numFmtId", "0"), a.get("numFmtId", "0")), "font": at(fonts, a.get("fontId")), "fill": at(fills, a.get("fillId")), "border": at(borders, a.get("borderId")),
+                "style": named.get(a.get("xfId")), "alignment": inner.get("alignment", {}), "protection": inner.get("protection", {}),
+            })
     return out
 
 
@@ -230,6 +261,20 @@ def _xlsx_pivot_table(x: ET.Element, sheet: str) -> dict:
     return {"kind": "table", "sheet": sheet, "name": x.attrib.get("name"), "cache": x.attrib.get("cacheId"), "rows": axis("rowFields"), "columns": axis("colFields"), "data": data, "page": page, "hidden": hidden}
 
 
+def _ods_area(address: str) -> dict:
+    """Sheet and corners of an address such as Sheet1.A1:Sheet1.C9."""
+    m = re.fullmatch(r"\$?'?([^'.]*)'?\.(\$?[A-Z]+\$?\d+)(?::(?:\$?'?[^'.]*'?)?\.?(\$?[A-Z]+\$?\d+))?", address)
+    return _area(m[1], f"{m[2]}:{m[3] or m[2]}") if m else {"sheet": None}
+
+
+def _ods_tree(x: ET.Element) -> list:
+    kind = _local(x.tag)
+    if kind == "filter-condition":
+        at, values = int(_attr(x, "field-number", "0")), [_attr(i, "value") for i in _kids(x, "filter-set-item")]
+        return ["set", at, values, "" in values] if values else ["item", "odf", at, _attr(x, "operator"), _attr(x, "value")]
+    return ["or" if kind == "filter-or" else "and", [_ods_tree(c) for c in x if _local(c.tag).startswith("filter-") and _local(c.tag) != "filter-set-item"]]
+
+
 def parse_ods(data: bytes) -> Workbook:
     root, out = ET.fromstring(package.open_package(data)["content.xml"]), Workbook()
     if (null := _first(root, "null-date")) is not None:
@@ -267,10 +312,22 @@ def parse_ods(data: bytes) -> Workbook:
         out.names.append({"name": _attr(n, "name"), "expression": _attr(n, "expression"), "sheet": None})
     for d in _all(root, "database-range"):
         items = [{"field": int(_attr(f, "field-number", "0")), "op": _attr(f, "operator"), "value": _attr(f, "value"), "any": False} for f in _all(d, "filter-condition")]
-        out.filters.append({"sheet": None, "name": _attr(d, "name"), "target": _attr(d, "target-range-address"), "items": items})
+        own = next(_kids(d, "filter"), None)
+        out.filters.append(_ods_area(_attr(d, "target-range-address") or "") | {"name": _attr(d, "name"), "target": _attr(d, "target-range-address"), "items": items, "tree": _ods_tree(own) if own is not None else ["and", []]})
     return out
 
 
+def _gnumeric_tree(x: ET.Element) -> list:
+    at, kind, a = int(x.attrib.get("Index", 0)), x.attrib.get("Type"), x.attrib
+    if kind == "bucket":
+        op = ("top" if a.get("top", "1") in ("1", "true", "True") else "bottom") + ("" if a.get("items", "1") in ("1", "true", "True") else "_percent")
+        return ["item", "own", at, op, float(a.get("count", 10))]
+    if kind in ("blanks", "nonblanks"):
+        return ["item", "gnumeric", at, kind, None]
+    tests = [["item", "gnumeric", at, a[f"Op{k}"], a.get(f"Value{k}", a.get(f"ValueType{k}"))] for k in (0, 1) if f"Op{k}" in a]
+    return ["and" if a.get("IsAnd") in ("1", "true", "True") else "or", tests] if tests else ["and", []]
+
+
 def parse_gnumeric(data: bytes) -> Workbook:
     root, out = ET.fromstring(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), Workbook()
     kinds = {"20": "boolean", "30": "numeric", "40": "numeric", "50": "error", "60": "string", "80": "array"}
@@ -292,13 +349,21 @@ def parse_gnumeric(data: bytes) -> Workbook:
             out.merges.append(_area(name, m.text))
         for f in _all(s, "Filter"):
             items = [{"field": int(x.attrib.get("Index", 0)), "op": x.attrib.get("Op0", x.attrib.get("Type")), "value": x.attrib.get("ValueType0"), "op2": x.attrib.get("Op1"), "value2": x.attrib.get("ValueType1"), "type": x.attrib.get("Type"), "count": x.attrib.get("count")} for x in _kids(f, "Field")]
-            out.filters.append(_area(name, f.attrib["Area"]) | {"items": items})
+            out.filters.append(_area(name, f.attrib["Area"]) | {"items": items, "tree": ["and", [_gnumeric_tree(x) for x in _kids(f, "Field")]]})
     for n in _all(root, "Name"):
         if any(_local(k.tag) == "value" for k in n):
             out.names.append({"name": next((k.text for k in _kids(n, "name")), None), "expression": next((k.text for k in _kids(n, "value")), None), "sheet": None})
     return out
 
 
+def _r1c1_area(sheet: str, ref: str) -> dict:
+    m = re.fullmatch(r"R(\d+)C(\d+)(?::R(\d+)C(\d+))?", ref)
+    if not m:
+        return {"sheet": sheet}
+    r1, c1, r2, c2 = (int(x) - 1 for x in (m[1], m[2], m[3] or m[1], m[4] or m[2]))
+    return {"sheet": sheet, "first_row": r1, "first_col": c1, "last_row": r2, "last_col": c2}
+
+
 def parse_xls_xml(data: bytes) -> Workbook:
     root, out = ET.fromstring(package.decode(data).encode()), Workbook()
     for w in _all(root, "Worksheet"):
@@ -332,27 +397,98 @@ def parse_xls_xml(data: bytes) -> Workbook:
                 at = int(_attr(x, "Index", str(k + 1))) - 1
                 conditions = [(_attr(y, "Operator"), _attr(y, "Value")) for y in _all(x, "AutoFilterCondition")]
                 items.append({"field": at, "op": _attr(x, "Type", "All"), "value": _attr(x, "Value"), "items": conditions, "or": _first(x, "AutoFilterOr") is not None})
-            out.filters.append({"sheet": name, "ref": _attr(f, "Range"), "items": items})
+            tests = [[("or" if i["or"] else "and"), [["item", "xls_xml", i["field"], *c] for c in i["items"]]] if i["items"] else ["item", "xls_xml", i["field"], i["op"], i["value"]] for i in items]
+            out.filters.append(_r1c1_area(name, _attr(f, "Range") or "") | {"ref": _attr(f, "Range"), "items": items, "tree": ["and", tests]})
     for n in _all(root, "NamedRange"):
         out.names.append({"name": _attr(n, "Name"), "expression": _attr(n, "RefersTo"), "sheet": None})
     return out
 
 
 PARSERS = {"xlsx": parse_xlsx, "ods": parse_ods, "gnumeric": parse_gnumeric, "xls_xml": parse_xls_xml}
-_SCHEMA = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("col", pa.int32()), ("type", pa.string()), ("value", pa.string()), ("formula", pa.string()), ("xf", pa.int32())])
 
 
-def read_workbooks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """path, sheet, row, col, type, value, formula, xf of every cell of every file that path matches."""
+def _plain(x) -> str | None:
+    return None if x is None else json.dumps(x, ensure_ascii=False, sort_keys=True, default=str)
+
+
+def _number(x) -> float | None:
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+_AREA = "first_row long, first_col int, last_row long, last_col int"
+_corners = lambda x: (x.get("first_row"), x.get("first_col"), x.get("last_row"), x.get("last_col"))
+#: Side tables of a workbook: columns after path, and the rows of one workbook.
+TABLES = {
+    "cells": ("sheet string, row long, col int, type string, value string, formula string, xf int", lambda b: ((c.sheet, c.row, c.col, c.type, c.value, c.formula, c.xf) for c in b.cells)),
+    "sheets": ("sheet string, position int", lambda b: ((n, k) for k, n in enumerate(b.sheets))),
+    "strings": ("position int, text string", lambda b: ((k, t) for k, t in enumerate(b.strings))),
+    "names": ("name string, expression string, sheet string", lambda b: ((n["name"], n["expression"], n["sheet"]) for n in b.names)),
+    "merges": (f"sheet string, {_AREA}", lambda b: ((m["sheet"], *_corners(m)) for m in b.merges)),
+    "sizes": ("sheet string, axis string, first long, last long, size double, hidden boolean", lambda b: ((x["sheet"], x["axis"], x["first"], x["last"], _number(x["size"]), bool(x["hidden"])) for x in b.sizes)),
+    "tables": (f"sheet string, name string, {_AREA}, totals_rows int, position int, column string, label string, function string", lambda b: ((t["sheet"], t["name"], *_corners(t), t["totals_rows"], k, c["name"], c["label"], c["function"]) for t in b.tables for k, c in enumerate(t["columns"]))),
+    "filters": (f"sheet string, name string, {_AREA}, tree string", lambda b: ((f.get("sheet"), f.get("table") or f.get("name"), *_corners(f), _plain(f.get("tree"))) for f in b.filters)),
+    "conditions": ("sheet string, ref string, type string, operator string, priority int, formulas array<string>, detail string", lambda b: ((c["sheet"], c["ref"], c["type"], c["operator"], int(c["priority"] or 0), c["formulas"], _plain({k: v for k, v in c.items() if k not in ("sheet", "ref", "type", "operator", "priority", "formulas")})) for c in b.conditions)),
+    "styles": ("xf int, number_format string, font string, fill string, border string, style string, alignment string, protection string", lambda b: ((x["xf"], x["number_format"], *(_plain(x.get(k)) for k in ("font", "fill", "border")), x.get("style"), _plain(x.get("alignment")), _plain(x.get("protection"))) for x in b.styles)),
+    "views": ("sheet string, detail string", lambda b: ((v["sheet"], _plain({k: x for k, x in v.items() if k != "sheet"})) for v in b.views)),
+    "pivot_tables": ("sheet string, name string, cache string, axis string, position int, field int, function string, show_as string", lambda b: _pivot_axes(b)),
+    "pivot_fields": ("part string, source_sheet string, source_ref string, field int, name string, position int, kind string, item string", lambda b: ((p["part"], p["sheet"], p["ref"], f, x["name"], k, *item) for p in b.pivots if p["kind"] == "cache" for f, x in enumerate(p["fields"]) for k, item in enumerate(x["items"] or [(None, None)]))),
+    "pivot_records": ("part string, record long, field int, index int, value string", lambda b: ((p["part"], r, f, int(v) if kind == "x" else None, None if kind == "x" else v) for p in b.pivots if p["kind"] == "cache" for r, row in enumerate(p.get("records", ())) for f, (kind, v) in enumerate(row))),
+    "settings": ("origin string, n_sheets int", lambda b: ((b.origin, len(b.sheets)),)),
+}
+
+
+def _pivot_axes(book: Workbook) -> Iterator[tuple]:
+    for p in book.pivots:
+        if p["kind"] == "table":
+            own = (p["sheet"], p["name"], p["cache"])
+            for axis in ("rows", "columns"):
+                yield from ((*own, axis, k, f, None, None) for k, f in enumerate(p[axis]))
+            yield from ((*own, "data", k, x["field"], x["function"], x["show_as"]) for k, x in enumerate(p["data"]))
+            yield from ((*own, "page", k, x["field"], None, x["item"]) for k, x in enumerate(p["page"]))
+
+
+def workbook_table(files: DataFrame, kind: str, table: str = "cells") -> DataFrame:
+    """One side table of every workbook: files has path and content. A malformed file gives no row; see workbook_errors()."""
+    parse, (columns, rows_of) = PARSERS[kind], TABLES[table]
+    schema = f"path string, {columns}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = iter(rows_of(parse(content)))
+                except MALFORMED:
+                    continue
+                while rows := [(name, *r) for r in islice(found, 20_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+MALFORMED = (ValueError, KeyError, ET.ParseError, OSError, EOFError, package.PackageError, zipfile.BadZipFile)
+
+
+def workbook_errors(files: DataFrame, kind: str) -> DataFrame:
+    """path and error of the files that cannot be read."""
     parse = PARSERS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = parse(content).cells
-                for at in range(0, len(cells), 20_000):
-                    rows = [(name, c.sheet, c.row, c.col, c.type, c.value, c.formula, c.xf) for c in cells[at : at + 20_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+                try:
+                    parse(content)
+                except MALFORMED as error:
+                    rows.append({"path": name, "error": f"{type(error).__name__}: {error}"[:300]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, error string")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, sheet string, row long, col int, type string, value string, formula string, xf int")
+def read_workbooks(spark: SparkSession, path: str, kind: str, table: str = "cells") -> DataFrame:
+    """A side table of every file that path matches; cells: path, sheet, row, col, type, value, formula, xf."""
+    return workbook_table(spark.read.format("binaryFile").load(path), kind, table)
