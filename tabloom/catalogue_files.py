@@ -16,6 +16,7 @@ from .functions.scalars import xml_escape
 from .operators import cells, conditions, filters, pivots
 from .plans import execute
 from .plans.mapdef import CellLink, MapDefinition, RangeLink
+from .sources import csv as csv_source
 from .sources import workbooks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,6 +285,31 @@ _add("find_table", lambda s, d: cells.find_table(workbooks.workbook_table(_xlsx(
 _add("cell_render", lambda s, d: _t(s, d, "part").select("p_partkey", cells.render(F.when(F.col("p_size") % 3 == 0, "formula").when(F.col("p_size") % 3 == 1, "boolean").otherwise("string"), F.when(F.col("p_size") % 3 == 1, "TRUE").when(F.col("p_size") % 3 == 2, F.col("p_name")), F.when(F.col("p_size") == 5, "#REF!")).alias("v")), "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '#RES!' WHEN p_size = 5 THEN '#ERR!' WHEN p_size % 3 = 1 THEN 'true' ELSE p_name END AS v FROM part")
 _add("cond_average_nan", lambda s, d: conditions.average(_t(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 100 == 0, F.lit(float("nan"))).otherwise(F.col("p_size").cast("double")).alias("v")), "v").select("p_partkey", "flag"), "SELECT p_partkey, p_partkey % 100 <> 0 AND p_size > (SELECT avg(p_size) FROM part WHERE p_partkey % 100 <> 0) AS flag FROM part")
 
+# csv files: one for every customer segment and nation
+
+
+def _csv_files(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("rows"))
+    line = lambda x: F.concat(x["c_custkey"].cast("string"), F.lit(';"'), x["c_name"], F.lit(' ""q"""'), F.lit(","), x["c_mktsegment"], F.lit("\n"))
+    text = F.concat(F.lit("key;name,segment\n\n"), F.array_join(F.transform("rows", line), ""))
+    return rows.select(F.col("c_nationkey").cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+_CSV = """
+WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS path, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, c_name, c_mktsegment) - 1 AS k FROM customer),
+p AS (SELECT path, CAST(max(k) // 19 AS BIGINT) AS last FROM (SELECT path, k + 1 AS k FROM c) GROUP BY 1),
+x AS (SELECT path, (k + 1) // 19 AS number, 1 + (k + 1) % 19 AS row, c_custkey, c_name, c_mktsegment FROM c)
+SELECT path, CASE WHEN number = 0 THEN 'data' ELSE 'data_' || number END AS sheet, row, 0 AS col, 'numeric' AS type, CAST(c_custkey AS DOUBLE) AS num, NULL AS str FROM x
+UNION ALL SELECT path, CASE WHEN number = 0 THEN 'data' ELSE 'data_' || number END, row, 1, 'string', NULL, c_name || ' "q"' FROM x
+UNION ALL SELECT path, CASE WHEN number = 0 THEN 'data' ELSE 'data_' || number END, row, 2, 'string', NULL, c_mktsegment FROM x
+UNION ALL SELECT path, CASE WHEN n = 0 THEN 'data' ELSE 'data_' || n END, 0, c, 'string', NULL, v FROM (SELECT path, unnest(range(0, last + 1)) AS n FROM p), (VALUES (0, 'key'), (1, 'name'), (2, 'segment')) h(c, v)
+"""
+_CONFIG = csv_source.CsvConfig(";,", header_rows=1, sheet_rows=20, split=True)
+_add("csv_read", lambda s, d: csv_source.on_sheets(csv_source.csv_cells(_csv_files(s, d), _CONFIG), _CONFIG), _CSV)
+_add("csv_read_truncated", lambda s, d: csv_source.on_sheets(csv_source.csv_cells(_csv_files(s, d), _CONFIG), csv_source.CsvConfig(";,", header_rows=1, sheet_rows=20)), f"SELECT * FROM ({_CSV}) WHERE sheet = 'data'")
+_add("csv_errors", lambda s, d: csv_source.csv_errors(_csv_files(s, d).withColumn("content", F.when(F.col("path") == "3", F.encode(F.lit('a,"b"x'), "UTF-8")).otherwise(F.col("content"))), _CONFIG), "SELECT '3' AS path, 'expected a delimiter, not ' || chr(39) || 'x' || chr(39) AS error")
+
+
 # scalars
 _part = lambda s, d: _t(s, d, "part")
 _add("length_parts", lambda s, d: _part(s, d).select("p_partkey", scalars.to_length(F.concat(F.col("p_size").cast("string"), F.lit(".5cm"))).alias("x")).select("p_partkey", "x.*"), "SELECT p_partkey, 'cm' AS unit, p_size + 0.5::DOUBLE AS value FROM part")

@@ -7,6 +7,8 @@ import os
 import xml.etree.ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
+from .paths import WILD, parse_jsonpath
+
 
 def load_json(text: str, folder: str | None = None):
     """A parsed document; with a folder, objects that hold only $ref to a file inside it are replaced by that file."""
@@ -14,17 +16,19 @@ def load_json(text: str, folder: str | None = None):
     return _resolve(document, os.path.realpath(folder)) if folder else document
 
 
-def _resolve(node, folder: str):
+def _resolve(node, folder: str, within: tuple[str, ...] = ()):
     if isinstance(node, dict):
         if set(node) == {"$ref"} and isinstance(node["$ref"], str) and not node["$ref"].startswith("#"):
             path = os.path.realpath(os.path.join(folder, node["$ref"]))
             if os.path.commonpath([path, folder]) != folder:
                 raise ValueError(f"{node['$ref']} is outside the document's folder")
+            if path in within:
+                raise ValueError(f"{node['$ref']} refers to itself")
             with open(path, encoding="utf-8") as f:
-                return _resolve(json.load(f), os.path.dirname(path))
-        return {k: _resolve(v, folder) for k, v in node.items()}
+                return _resolve(json.load(f), os.path.dirname(path), (*within, path))
+        return {k: _resolve(v, folder, within) for k, v in node.items()}
     if isinstance(node, list):
-        return [_resolve(v, folder) for v in node]
+        return [_resolve(v, folder, within) for v in node]
     return node
 
 
@@ -40,6 +44,56 @@ def child_count(node) -> int:
     return len(node) if isinstance(node, (list, dict)) else 0
 
 
+def keys(node) -> list[str]:
+    """The keys of an object in order."""
+    if not isinstance(node, dict):
+        raise ValueError("only an object has keys")
+    return list(node)
+
+
+def child(node, at: str | int):
+    """An element by place or a member by key; one that is missing is an error."""
+    if isinstance(node, list) and isinstance(at, int) and 0 <= at < len(node) or isinstance(node, dict) and at in node:
+        return node[at]
+    raise ValueError(f"no child {at!r}")
+
+
+def with_value(node, path: str, value):
+    """A document with the value at a path replaced or added (at the end of an array); the given one stays as it is."""
+
+    def put(at, steps: list):
+        if not steps:
+            return value
+        step, rest = steps[0], steps[1:]
+        if isinstance(step, int):
+            if at is None:
+                at = []
+            if not isinstance(at, list) or step > len(at):
+                raise ValueError(f"no element {step}")
+            return [*at[:step], put(at[step] if step < len(at) else None, rest), *at[step + 1 :]]
+        if step == WILD or not isinstance(at, dict | None):
+            raise ValueError(f"no key {step}")
+        return (at or {}) | {step: put((at or {}).get(step), rest)}
+
+    return put(node, parse_jsonpath(path))
+
+
+def without(node, path: str):
+    """A document without the element or member at a path."""
+    steps = parse_jsonpath(path)
+    if not steps:
+        raise ValueError("the root stays")
+
+    def drop(at, own: list):
+        child(at, own[0])
+        if len(own) == 1:
+            return at[: own[0]] + at[own[0] + 1 :] if isinstance(at, list) else {k: v for k, v in at.items() if k != own[0]}
+        new = drop(at[own[0]], own[1:])
+        return [*at[: own[0]], new, *at[own[0] + 1 :]] if isinstance(at, list) else at | {own[0]: new}
+
+    return drop(node, steps)
+
+
 def dump_json(node, indent: int | None = None) -> str:
     return json.dumps(node, indent=indent, ensure_ascii=False)
 

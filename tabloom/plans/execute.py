@@ -34,7 +34,10 @@ def strict_json(text: str):
     def refuse(name: str):
         raise ValueError(f"{name} is no JSON")
 
-    return json.loads(text.removeprefix("﻿"), parse_constant=refuse)
+    try:
+        return json.loads(text.removeprefix("﻿"), parse_constant=refuse, parse_int=lambda x: int(x) if len(x) < 400 else float(x))
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
 
 
 # JSON by a native plan

@@ -47,6 +47,20 @@ def parse(text: str) -> list[dict]:
     out, at = [], 0
     while at < len(text) and text[at:].strip():
         begin = text.find("{", at)
+        if text[at:].lstrip().startswith("@"):
+            end = text.find(";", at)
+            if 0 <= end and (begin < 0 or end < begin):  # a statement such as @charset
+                at = end + 1
+                continue
+            depth, end = 1, begin + 1
+            while begin >= 0 and depth and end < len(text):
+                depth, end = depth + (text[end] == "{") - (text[end] == "}"), end + 1
+            if begin < 0 or depth:
+                raise CssError("at-rule without an end")
+            if "{" in text[begin + 1 : end - 1]:  # its rules hold under a condition
+                out += [rule | {"at": text[at:begin].strip()} for rule in parse(text[begin + 1 : end - 1])]
+            at = end
+            continue
         end = text.find("}", begin)
         if begin < 0 or end < 0:
             raise CssError("rule without a body")
@@ -61,6 +75,6 @@ def parse(text: str) -> list[dict]:
 
 
 def properties(rules: list[dict], selector: str) -> dict:
-    """What a selector sets; later rules win."""
+    """What a selector sets without a condition; later rules win."""
     chain = parse_selector(selector)
-    return {r["property"]: r["values"] for r in rules if r["chain"] == chain}
+    return {r["property"]: r["values"] for r in rules if r["chain"] == chain and "at" not in r}

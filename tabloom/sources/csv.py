@@ -10,6 +10,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.autotype import auto_cell
 
 
 class CsvError(ValueError):
@@ -79,8 +82,8 @@ def tokenize(text: str, config: CsvConfig = CsvConfig()) -> Iterator[list[str]]:
 _SCHEMA = pa.schema([("path", pa.string()), ("row", pa.int64()), ("col", pa.int32()), ("text", pa.string())])
 
 
-def read_csv_cells(spark: SparkSession, path: str, config: CsvConfig = CsvConfig(), encoding: str = "utf-8") -> DataFrame:
-    """path, row, col, text of every cell; a file with an error keeps the rows before it."""
+def csv_cells(files: DataFrame, config: CsvConfig = CsvConfig(), encoding: str = "utf-8") -> DataFrame:
+    """path, row, col, text of every cell of files (path, content); a file with an error keeps the rows before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,13 +96,57 @@ def read_csv_cells(spark: SparkSession, path: str, config: CsvConfig = CsvConfig
                         if len(cells) > 50_000:
                             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*cells), _SCHEMA)], schema=_SCHEMA)
                             cells = []
-                except CsvError:
-                    pass  # rows so far stay
+                except (CsvError, UnicodeDecodeError):
+                    pass  # rows so far stay; csv_errors() names the file
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*cells), _SCHEMA)], schema=_SCHEMA)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, row long, col int, text string")
+    return files.select("path", "content").mapInArrow(run, "path string, row long, col int, text string")
+
+
+def csv_errors(files: DataFrame, config: CsvConfig = CsvConfig(), encoding: str = "utf-8") -> DataFrame:
+    """path and error of the files that are not read to their end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    for _ in tokenize(content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else encoding), config):
+                        pass
+                except (CsvError, UnicodeDecodeError) as error:
+                    rows.append({"path": name, "error": str(error)[:300]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, error string")
+
+
+def on_sheets(cells: DataFrame, config: CsvConfig, name: str = "data") -> DataFrame:
+    """path, sheet, row, col, type, num, str: cells typed and placed on sheets of config.sheet_rows rows.
+
+    With split, further rows go to name_1, name_2, ... and header rows stand on each; without, they go.
+    """
+    header, body = config.header_rows, config.sheet_rows - config.header_rows
+    if body < 1:
+        raise ValueError("a sheet has room for its header rows alone")
+    typed = cells.select("path", "row", "col", auto_cell(F.col("text")).alias("x")).select("path", "row", "col", "x.*").where("type <> 'empty'")
+    is_header = F.col("row") < header
+    number = F.when(is_header, 0).otherwise(F.floor((F.col("row") - header) / body)).cast("long")
+    place = F.when(is_header, F.col("row")).otherwise(header + F.pmod(F.col("row") - header, F.lit(body))).cast("long")
+    placed = typed.withColumns({"number": number, "place": place})
+    if not config.split:
+        placed = placed.where("number = 0")
+    elif header:
+        last = cells.groupBy("path").agg(F.greatest(F.lit(0), F.floor((F.max("row") - header) / body)).cast("long").alias("last"))
+        heads = placed.where(is_header).join(last, "path").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+        placed = placed.where(~is_header).unionByName(heads)
+    sheet = F.when(F.col("number") == 0, F.lit(name)).otherwise(F.concat(F.lit(name + "_"), F.col("number").cast("string")))
+    return placed.select("path", sheet.alias("sheet"), F.col("place").alias("row"), "col", "type", "num", "str")
+
+
+def read_csv(spark: SparkSession, path: str, config: CsvConfig = CsvConfig(), encoding: str = "utf-8") -> DataFrame:
+    """The typed cells of every file that path matches, on sheets."""
+    return on_sheets(csv_cells(spark.read.format("binaryFile").load(path), config, encoding), config)
 
 
 def read_csv_fast(spark: SparkSession, path: str, config: CsvConfig = CsvConfig()) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .package import PackageError, open_package
+from .package import PackageError, decode, open_package
 
 FORMATS = ("ods", "xlsx", "gnumeric", "xls_xml", "parquet", "xml", "json", "csv", "unknown")
 _ODS = b"application/vnd.oasis.opendocument.spreadsheet"
@@ -31,23 +31,22 @@ def is_format(data: bytes, kind: str) -> bool:
         if kind == "csv":
             return True
         if kind == "ods":
-            return data[:2] == b"PK" and open_package(data).get("mimetype", b"").strip() == _ODS
+            return data[:2] == b"PK" and open_package(data, {"mimetype"}).get("mimetype", b"").strip() == _ODS
         if kind == "xlsx":
-            return data[:2] == b"PK" and b"/xl/workbook.xml" in open_package(data).get("[Content_Types].xml", b"")
+            return data[:2] == b"PK" and b"/xl/workbook.xml" in open_package(data, {"[Content_Types].xml"}).get("[Content_Types].xml", b"")
         if kind == "gnumeric":
-            head = gzip.decompress(data)[:4000] if data[:2] == b"\x1f\x8b" else data[:4000]
+            head = zlib.decompressobj(31).decompress(data, 4000) if data[:2] == b"\x1f\x8b" else data[:4000]
             return b"gnumeric" in head and b"Workbook" in head
         if kind == "xls_xml":
-            return b"urn:schemas-microsoft-com:office:spreadsheet" in data[:4000]
+            return b"urn:schemas-microsoft-com:office:spreadsheet" in data[:8000].replace(b"\0", b"")
         if kind == "parquet":
             return is_parquet(data)
-        text = data.decode("utf-8-sig")
         if kind == "xml":
-            return _is_xml(text[:1000])
+            return _is_xml(decode(data[:1000] if data[:2] in (b"\xff\xfe", b"\xfe\xff") else data)[:1000])
         if kind == "json":
-            json.loads(text)
+            json.loads(decode(data))
             return True
-    except (PackageError, zipfile.BadZipFile, OSError, EOFError, ValueError):
+    except (PackageError, zipfile.BadZipFile, zlib.error, RecursionError, OSError, EOFError, ValueError):
         return False
     return False
 

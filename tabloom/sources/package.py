@@ -8,14 +8,15 @@ import zipfile
 
 MAX_ENTRIES = 65_535
 MAX_RATIO = 1024
+MAX_TOTAL = 2 << 30
 
 
 class PackageError(ValueError):
     pass
 
 
-def open_package(data: bytes) -> dict[str, bytes]:
-    """name -> content. Unsafe names, encryption, too many entries and bombs are refused."""
+def open_package(data: bytes, only: set[str] | None = None) -> dict[str, bytes]:
+    """name -> content, of all entries or some. Unsafe names, encryption, too many entries and bombs are refused."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
@@ -23,6 +24,8 @@ def open_package(data: bytes) -> dict[str, bytes]:
     entries = archive.infolist()
     if len(entries) > MAX_ENTRIES:
         raise PackageError("too many entries")
+    if sum(e.file_size for e in entries) > MAX_TOTAL:
+        raise PackageError("expands too far")
     out = {}
     for e in entries:
         name = e.filename
@@ -32,7 +35,7 @@ def open_package(data: bytes) -> dict[str, bytes]:
             raise PackageError(f"{name} is encrypted")
         if e.file_size > max(1 << 20, e.compress_size * MAX_RATIO):
             raise PackageError(f"{name} expands too far")
-        if not e.is_dir():
+        if not e.is_dir() and (only is None or name in only):
             try:
                 out[name] = archive.read(e)
             except (zipfile.BadZipFile, EOFError, OSError, ValueError) as x:

@@ -89,6 +89,26 @@ def a1_range(text: str) -> tuple[int, int, int, int]:
     return *a1(first), *a1(last or first)
 
 
+def _letters(col: int) -> str:
+    out = ""
+    while col >= 0:
+        out, col = chr(65 + col % 26) + out, col // 26 - 1
+    return out
+
+
+def shift_formula(text: str, rows: int, columns: int) -> str:
+    """A formula as it reads so many cells further: relative references move, absolute ones and strings stay."""
+
+    def move(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        row, col = a1(m[2] + m[4])
+        col, row = col if m[1] else col + columns, row if m[3] else row + rows
+        return f"{m[1]}{_letters(col)}{m[3]}{row + 1}" if row >= 0 and col >= 0 else "#REF!"
+
+    return re.sub(r"\"[^\"]*\"|'[^']*'!?|(?<![A-Za-z0-9_.$])(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(.])", move, text)
+
+
 def _area(sheet: str, ref: str) -> dict:
     r1, c1, r2, c2 = a1_range(ref)
     return {"sheet": sheet, "first_row": r1, "first_col": c1, "last_row": r2, "last_col": c2}
@@ -160,7 +180,8 @@ def _xlsx_sheet(out: Workbook, sheet: str, root: ET.Element) -> None:
             if f is not None:
                 formula = f.text
                 if f.attrib.get("t") == "shared":
-                    formula = shared.setdefault(f.attrib.get("si"), formula) if formula is None else shared.setdefault(f.attrib.get("si"), formula)
+                    text0, r0, c0 = shared.setdefault(f.attrib.get("si"), (formula, row_at, col_at))
+                    formula = formula or (shift_formula(text0, row_at - r0, col_at - c0) if text0 else None)
             type_ = {"s": "string", "n": "numeric", "b": "boolean", "inlineStr": "string", "str": "string", "e": "error", "d": "string"}[kind]
             if kind == "s" and text is not None:
                 text = out.strings[int(text)]

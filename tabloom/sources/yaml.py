@@ -1,4 +1,8 @@
-"""A YAML subset: documents, block and flow sequences and maps, literal and folded blocks, typed plain scalars."""
+"""YAML: documents, block and flow sequences and maps, literal and folded blocks, scalars over several lines, anchors.
+
+Plain scalars are typed. Tags, merge keys and complex keys are not supported and raise YamlError, as does anything that
+is left over; nothing is lost silently.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +16,24 @@ class YamlError(ValueError):
     pass
 
 
+_ESCAPE = re.compile(r"\\(x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
+_NAMED = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r", "e": "\x1b", " ": " ", '"': '"', "/": "/", "\\": "\\", "N": "\x85", "_": "\xa0"}
+
+
+def _unescape(m: re.Match) -> str:
+    code = m[1]
+    if code[0] in "xuU" and len(code) > 1:
+        return chr(int(code[1:], 16))
+    if code not in _NAMED:
+        raise YamlError(f"unknown escape \\{code}")
+    return _NAMED[code]
+
+
 def scalar(text: str):
     """Number, then keyword, else text."""
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] == '"':
-        return text[1:-1].encode().decode("unicode_escape").encode("latin-1", "replace").decode("utf-8", "replace") if "\\" in text else text[1:-1]
+        return _ESCAPE.sub(_unescape, text[1:-1])
     if len(text) > 1 and text[0] == text[-1] == "'":
         return text[1:-1].replace("''", "'")
     if _NUMBER.fullmatch(text):
@@ -93,12 +110,20 @@ def _strip_comment(line: str) -> str:
 
 class _Parser:
     def __init__(self, lines: list[str]):
-        self.lines, self.at = lines, 0
+        self.lines, self.at, self.anchors = lines, 0, {}
+
+    def document(self):
+        out = self.block(0)
+        if self.peek() is not None:
+            raise YamlError(f"unexpected line: {self.peek()[1]}")
+        return out
 
     def peek(self) -> tuple[int, str] | None:
         while self.at < len(self.lines):
             line = _strip_comment(self.lines[self.at])
             if line.strip():
+                if line.lstrip(" ").startswith("\t"):
+                    raise YamlError("a tab indents a line")
                 return len(line) - len(line.lstrip(" ")), line.strip()
             self.at += 1
         return None
@@ -113,16 +138,47 @@ class _Parser:
         if _key(text):
             return self.mapping(depth)
         self.at += 1
-        return self.inline(text, depth)
+        return self.inline(text, depth - 1)
 
     def inline(self, text: str, depth: int):
+        """A value that begins on a line of a block at depth; what is indented further belongs to it."""
+        if m := re.match(r"&(\S+)(?:\s+(.*))?$", text, re.S):
+            value = self.inline(m[2], depth) if m[2] else self.block(depth + 1)
+            self.anchors[m[1]] = value
+            return value
+        if m := re.fullmatch(r"\*(\S+)", text):
+            if m[1] not in self.anchors:
+                raise YamlError(f"unknown anchor {m[1]}")
+            return self.anchors[m[1]]
+        if text[:1] in ("!", "@", "`", "%") or text.startswith("? "):
+            raise YamlError(f"not supported: {text}")
         if text[:1] in ("|", ">"):
             return self.literal(text, depth)
         if text[:1] in ("[", "{"):
-            while text.count("[") + text.count("{") > text.count("]") + text.count("}") and self.at < len(self.lines):
+            while _open(text) and self.at < len(self.lines):
                 text += " " + _strip_comment(self.lines[self.at]).strip()
                 self.at += 1
             return _flow(text)
+        quote = text[:1] if text[:1] in ("'", '"') else None
+        ended = (lambda t: re.fullmatch(r"'(?:[^']|'')*'" if quote == "'" else r'"(?:[^"\\]|\\.)*"', t, re.S)) if quote else (lambda t: False)
+        blank = 0
+        while self.at < len(self.lines) and not ended(text):
+            raw = self.lines[self.at]
+            line = raw.rstrip() if quote else _strip_comment(raw)
+            if not line.strip():
+                if not raw.strip():
+                    blank += 1
+                self.at += 1
+                continue
+            if len(line) - len(line.lstrip(" ")) <= depth:
+                break
+            if not quote and _key(line.strip()):
+                raise YamlError(f"a key inside a scalar: {line.strip()}")
+            text += ("\n" * blank or " ") + line.strip()
+            blank = 0
+            self.at += 1
+        if quote and not ended(text):
+            raise YamlError(f"quoted scalar without an end: {text}")
         return scalar(text)
 
     def literal(self, mark: str, depth: int) -> str:
@@ -135,9 +191,12 @@ class _Parser:
             base = own if base is None and line.strip() else base
             out.append(line[base or 0 :].rstrip("\n"))
             self.at += 1
+        tail = 0
         while out and not out[-1].strip():
             out.pop()
-        return ("\n" if mark[0] == "|" else " ").join(out) + ("" if "-" in mark else "\n")
+            tail += 1
+        body = "\n".join(out) if mark[0] == "|" else _fold(out)
+        return body + ("" if "-" in mark or not out else "\n" * (1 + tail) if "+" in mark else "\n")
 
     def sequence(self, depth: int) -> list:
         out = []
@@ -167,10 +226,33 @@ class _Parser:
                 nxt = self.peek()
                 same = nxt is not None and nxt[0] == depth and nxt[1].startswith("-")
                 value = self.block(depth if same else depth + 1)
+            if key == "<<":
+                raise YamlError("merge keys are not supported")
             out[key] = value
         return out
 
 
+def _open(text: str) -> bool:
+    plain = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"", "", text)
+    return plain.count("[") + plain.count("{") > plain.count("]") + plain.count("}")
+
+
+def _fold(lines: list[str]) -> str:
+    """Lines joined by blanks; empty lines are line breaks, and further indented ones keep theirs."""
+    out, breaks = "", 0
+    for k, line in enumerate(lines):
+        if not line.strip():
+            breaks += 1
+            continue
+        if k and out:
+            kept = line.startswith(" ") or lines[k - 1 - breaks].startswith(" ")
+            out += "\n" * (breaks + kept) if breaks or kept else " "
+        else:
+            out += "\n" * breaks
+        out, breaks = out + line, 0
+    return out
+
+
 def _key(text: str) -> tuple[object, str] | None:
     m = re.match(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s\[\]{}#&*!|>'"%@`][^#]*?)\s*:(?:\s+(.*))?$""", text)
     return (scalar(m[1]), (m[2] or "").strip()) if m else None
@@ -184,10 +266,10 @@ def parse(text: str) -> list:
             continue
         if line.startswith("---") or line.startswith("..."):
             if any(x.strip() for x in lines):
-                out.append(_Parser(lines).block(0))
+                out.append(_Parser(lines).document())
             lines = [line[3:]] if line[3:].strip() else []
         else:
             lines.append(line)
     if any(x.strip() for x in lines):
-        out.append(_Parser(lines).block(0))
+        out.append(_Parser(lines).document())
     return out
