@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalars
+from .functions import formulas, scalars
 from .functions.scalars import xml_escape
 from .operators import cells, conditions, filters, pivots
 from .plans import execute
@@ -310,6 +310,14 @@ _add("csv_read_truncated", lambda s, d: csv_source.on_sheets(csv_source.csv_cell
 _add("csv_errors", lambda s, d: csv_source.csv_errors(_csv_files(s, d).withColumn("content", F.when(F.col("path") == "3", F.encode(F.lit('a,"b"x'), "UTF-8")).otherwise(F.col("content"))), _CONFIG), "SELECT '3' AS path, 'expected a delimiter, not ' || chr(39) || 'x' || chr(39) AS error")
 
 
+# formulas
+_line = lambda s, d: _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+_add("formula_arithmetic", lambda s, d: _line(s, d).select("l_orderkey", "l_linenumber", formulas.formula("=D2*(1-E2)*(1+[l_tax])+2^2-10%", _COLUMNS).alias("v")), "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) + 4::DOUBLE - 0.1::DOUBLE AS v FROM lineitem")
+_add("formula_functions", lambda s, d: _line(s, d).select("l_orderkey", "l_linenumber", formulas.formula('=IF(AND(C2>10,G2="r"),"big "&LOWER(G2)&C2,IF(MOD(B2,2)=0,LEFT("even",2),""))', _COLUMNS).alias("v"), formulas.formula("=SUM(B2:C2)+MAX(B2,C2)", _COLUMNS).alias("n"), formulas.formula("=IFERROR(1/(B2-1),-1)", _COLUMNS).alias("e")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 AND l_returnflag = 'R' THEN 'big r' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN l_linenumber % 2 = 0 THEN 'ev' ELSE '' END AS v, l_linenumber + l_quantity + greatest(l_linenumber, l_quantity) AS n, CASE WHEN l_linenumber = 1 THEN -1.0::DOUBLE ELSE 1 / (l_linenumber - 1)::DOUBLE END AS e FROM lineitem")
+_add("cond_formula", lambda s, d: _line(s, d).select("l_orderkey", "l_linenumber", conditions.expression("=OR([l_quantity]<5, AND(E2>=0.05, NOT(ISBLANK(G2)), LEN(G2)=1))", _COLUMNS).alias("flag")), "SELECT l_orderkey, l_linenumber, l_quantity < 5 OR l_discount >= 0.05 AS flag FROM lineitem")
+
+
 # scalars
 _part = lambda s, d: _t(s, d, "part")
 _add("length_parts", lambda s, d: _part(s, d).select("p_partkey", scalars.to_length(F.concat(F.col("p_size").cast("string"), F.lit(".5cm"))).alias("x")).select("p_partkey", "x.*"), "SELECT p_partkey, 'cm' AS unit, p_size + 0.5::DOUBLE AS value FROM part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formulas
 from . import filters
 
 _COMPARE = {"equal": "equal", "not_equal": "not_equal", "less": "less", "less_equal": "less_equal", "greater": "greater", "greater_equal": "greater_equal", "begins_with": "begin_with", "ends_with": "end_with", "contains": "contain", "not_contains": "not_contain", "contains_blanks": "empty"}
@@ -43,9 +44,9 @@ def contains_error(err: Column, negate: bool = False) -> Column:
     return err.isNull() if negate else err.isNotNull()
 
 
-def expression(formula: str) -> Column:
-    """A formula in the subset that SQL shares."""
-    return F.coalesce(F.expr(formula), F.lit(False))
+def expression(formula: str, columns: list[str] | None = None) -> Column:
+    """A spreadsheet formula over a range's columns; without columns, an expression of SQL."""
+    return filters.flag(F.expr(formula) if columns is None else formulas.formula(formula, columns).cast("boolean"))
 
 
 def date_rule(c: Column, rule: str, as_of) -> Column:
