@@ -192,3 +192,52 @@ def xml_ranges(root: ET.Element) -> list[RangeSpec]:
 def xml_structure_lines(node: _Element, path: str = "") -> list[str]:
     own = f"{path}/{node.name}" + ("[*]" if node.repeat else "")
     return [own, *(f"{own}/@{a}" for a in node.attributes), *(line for c in node.children.values() for line in xml_structure_lines(c, own))]
+
+
+class Walker:
+    """Steps through an inferred structure: root(), descend(step), ascend(), with the kind, repeat and children here."""
+
+    def __init__(self, structure: _Node | _Element):
+        self._root, self._path = structure, []
+
+    @property
+    def _at(self) -> _Node | _Element:
+        return self._path[-1][1] if self._path else self._root
+
+    def root(self) -> Walker:
+        self._path = []
+        return self
+
+    def descend(self, step: str) -> Walker:
+        children = self._at.children
+        if step not in children:
+            raise ValueError(f"no child {step!r}")
+        self._path.append((step, children[step]))
+        return self
+
+    def ascend(self) -> Walker:
+        if not self._path:
+            raise ValueError("already at the root")
+        self._path.pop()
+        return self
+
+    @property
+    def children(self) -> list[str]:
+        """Keys of an object, shapes (array, object) inside an array, names of elements."""
+        return list(self._at.children)
+
+    @property
+    def attributes(self) -> list[str]:
+        return list(getattr(self._at, "attributes", []))
+
+    @property
+    def kind(self) -> str:
+        return getattr(self._at, "kind", "element")
+
+    @property
+    def repeat(self) -> bool:
+        return self._at.repeat
+
+    @property
+    def path(self) -> list[str]:
+        return [step for step, _ in self._path]

@@ -48,6 +48,8 @@ class Workbook:
     styles: list[dict] = field(default_factory=list)
     conditions: list[dict] = field(default_factory=list)
     views: list[dict] = field(default_factory=list)
+    what_if: list[dict] = field(default_factory=list)
+    revisions: list[dict] = field(default_factory=list)
     origin: str = "1899-12-30"
 
 
@@ -141,6 +143,8 @@ def parse_xlsx(data: bytes) -> Workbook:
             for own, records in relations(target).values():
                 if own == "pivotCacheRecords" and records in parts:
                     cache["records"] = [[(_local(v.tag), v.attrib.get("v")) for v in r] for r in _kids(xml(records), "r")]
+        elif kind == "revisionHeaders" and target in parts:
+            out.revisions += _xlsx_revisions(xml(target), {k: xml(t) for k, (_, t) in relations(target).items() if t in parts})
     root = xml(book)
     if (pr := _first(root, "workbookPr")) is not None and pr.attrib.get("date1904") in ("1", "true"):
         out.origin = "1904-01-01"
@@ -160,6 +164,67 @@ def parse_xlsx(data: bytes) -> Workbook:
     return out
 
 
+def _xlsx_revisions(headers: ET.Element, logs: dict[str, ET.Element]) -> list[dict]:
+    """Every change of the revision log in order: who, when, what kind, and the cell with its old and new value."""
+    out = []
+    for h in _all(headers, "header"):
+        log = logs.get(_attr(h, "id", ""))
+        for x in log if log is not None else ():
+            old, new = _first(x, "oc"), _first(x, "nc")
+            shown = lambda c: None if c is None else _rich(c) or next((v.text for v in _all(c, "v")), None)
+            out.append({"user": h.attrib.get("userName"), "at": h.attrib.get("dateTime"), "number": x.attrib.get("rId"), "kind": _local(x.tag), "sheet_id": x.attrib.get("sId") or x.attrib.get("sheetId"), "ref": new.attrib.get("r") if new is not None else x.attrib.get("ref"), "old": shown(old), "new": shown(new)})
+    return out
+
+
+def parse_part(kind: str, data: bytes, strings: list[str] | None = None) -> Workbook:
+    """One part of an xlsx package by itself: sheet (with the shared strings that it refers to), strings, styles or table."""
+    root, out = ET.fromstring(data), Workbook(strings=list(strings or []))
+    if kind == "sheet":
+        out.sheets.append("sheet")
+        _xlsx_sheet(out, "sheet", root)
+    elif kind == "strings":
+        out.strings = [_rich(si) for si in _kids(root, "si")]
+    elif kind == "styles":
+        out.styles = _xlsx_styles(root)
+    elif kind == "table":
+        out.tables.append(_xlsx_table(root, "sheet", out))
+    else:
+        raise ValueError(f"no part {kind}")
+    return out
+
+
+def formula_order(cells: list[Cell]) -> list[Cell]:
+    """The formula cells of a sheet so that each comes after those it refers to; a cycle is an error."""
+    own = {(c.row, c.col): c for c in cells if c.formula}
+
+    def needs(c: Cell) -> Iterator[tuple[int, int]]:
+        for m in re.finditer(r"\"[^\"]*\"|(\$?[A-Za-z]{1,3}\$?\d+)(?::(\$?[A-Za-z]{1,3}\$?\d+))?", c.formula):
+            if m[1]:
+                (r1, c1), (r2, c2) = a1(m[1]), a1(m[2] or m[1])
+                yield from ((r, k) for r, k in own if min(r1, r2) <= r <= max(r1, r2) and min(c1, c2) <= k <= max(c1, c2))
+
+    out, state = [], dict.fromkeys(own, 0)
+    for first in own:
+        stack = [(first, None)]
+        while stack:
+            at, todo = stack.pop()
+            if todo is None:
+                if state[at] == 2:
+                    continue
+                if state[at] == 1:
+                    raise ValueError(f"a circle of formulas at row {at[0]}, column {at[1]}")
+                state[at], todo = 1, iter(sorted(set(needs(own[at]))))
+            nxt = next(todo, None)
+            if nxt is None:
+                state[at] = 2
+                out.append(own[at])
+                continue
+            stack.append((at, todo))
+            if state[nxt] != 2:
+                stack.append((nxt, None))
+    return out
+
+
 def _xlsx_sheet(out: Workbook, sheet: str, root: ET.Element) -> None:
     row_at, shared = -1, {}
     for row in _all(root, "row"):
@@ -182,6 +247,8 @@ def _xlsx_sheet(out: Workbook, sheet: str, root: ET.Element) -> None:
                 if f.attrib.get("t") == "shared":
                     text0, r0, c0 = shared.setdefault(f.attrib.get("si"), (formula, row_at, col_at))
                     formula = formula or (shift_formula(text0, row_at - r0, col_at - c0) if text0 else None)
+                elif f.attrib.get("t") == "dataTable":
+                    out.what_if.append(_area(sheet, f.attrib["ref"]) | {"row_input": f.attrib.get("r1") if f.attrib.get("dtr") == "1" or f.attrib.get("dt2D") == "1" else None, "column_input": f.attrib.get("r2") if f.attrib.get("dt2D") == "1" else None if f.attrib.get("dtr") == "1" else f.attrib.get("r1")})
             type_ = {"s": "string", "n": "numeric", "b": "boolean", "inlineStr": "string", "str": "string", "e": "error", "d": "string"}[kind]
             if kind == "s" and text is not None:
                 text = out.strings[int(text)]
@@ -317,6 +384,10 @@ def parse_ods(data: bytes) -> Workbook:
                 elif kind == "date":
                     day = datetime.fromisoformat(_attr(c, "date-value")) - datetime.fromisoformat(out.origin)
                     type_, value = "numeric", repr(day.total_seconds() / 86400)
+                elif kind == "time":  # a duration such as PT12H30M00S, as a part of a day
+                    m = re.fullmatch(r"-?P(?:(\d+)D)?T?(?:(\d+)H)?(?:(\d+)M)?(?:([\d.]+)S)?", _attr(c, "time-value") or "P")
+                    d, h, mi, sec = (float(x or 0) for x in m.groups()) if m else (0.0,) * 4
+                    type_, value = "numeric", repr(d + (h * 3600 + mi * 60 + sec) / 86400)
                 elif kind == "boolean":
                     type_, value = "boolean", _attr(c, "boolean-value")
                 if kind is not None or formula is not None:
@@ -327,6 +398,10 @@ def parse_ods(data: bytes) -> Workbook:
                     out.merges.append({"sheet": sheet, "first_row": row_at, "first_col": col_at, "last_row": row_at + down - 1, "last_col": col_at + right - 1})
                 col_at += repeat
             row_at += int(_attr(row, "number-rows-repeated", "1"))
+    for x in _all(root, "style"):
+        if _attr(x, "family") == "table-cell":
+            props = {_local(p.tag): {_local(k): v for k, v in p.attrib.items()} for p in x}
+            out.styles.append({"xf": len(out.styles), "number_format": _attr(x, "data-style-name"), "font": props.get("text-properties", {}), "fill": {k: v for k, v in props.get("table-cell-properties", {}).items() if k == "background-color"}, "border": {k: v for k, v in props.get("table-cell-properties", {}).items() if k.startswith("border")}, "style": _attr(x, "name"), "alignment": props.get("paragraph-properties", {}), "protection": {k: v for k, v in props.get("table-cell-properties", {}).items() if k == "cell-protect"}})
     for n in _all(root, "named-range"):
         out.names.append({"name": _attr(n, "name"), "expression": _attr(n, "cell-range-address"), "sheet": None})
     for n in _all(root, "named-expression"):
@@ -368,6 +443,13 @@ def parse_gnumeric(data: bytes) -> Workbook:
                 out.cells.append(Cell(name, int(c.attrib["Row"]), int(c.attrib["Col"]), kind, value))
         for m in _all(s, "Merge"):
             out.merges.append(_area(name, m.text))
+        for region in _all(s, "StyleRegion"):
+            style = next(_kids(region, "Style"), None)
+            font = next(_kids(style, "Font"), None) if style is not None else None
+            a = dict(style.attrib) if style is not None else {}
+            out.styles.append({"xf": len(out.styles), "number_format": a.get("Format"), "font": (dict(font.attrib) | {"name": font.text}) if font is not None else {}, "fill": {k: a[k] for k in ("Back", "PatternColor", "Shade") if k in a}, "border": {_local(b.tag): b.attrib.get("Style") for x in (_kids(style, "StyleBorder") if style is not None else ()) for b in x}, "style": None, "alignment": {k: a[k] for k in ("HAlign", "VAlign", "WrapText") if k in a}, "protection": {k: a[k] for k in ("Locked", "Hidden") if k in a}, "area": {"sheet": name, "first_col": int(region.attrib["startCol"]), "first_row": int(region.attrib["startRow"]), "last_col": int(region.attrib["endCol"]), "last_row": int(region.attrib["endRow"])}})
+            for rule in _all(region, "Condition"):
+                out.conditions.append({"sheet": name, "ref": f"{_letters(int(region.attrib['startCol']))}{int(region.attrib['startRow']) + 1}:{_letters(int(region.attrib['endCol']))}{int(region.attrib['endRow']) + 1}", "type": "cell", "operator": rule.attrib.get("Operator"), "priority": 0, "formulas": [e.text for e in rule]})
         for f in _all(s, "Filter"):
             items = [{"field": int(x.attrib.get("Index", 0)), "op": x.attrib.get("Op0", x.attrib.get("Type")), "value": x.attrib.get("ValueType0"), "op2": x.attrib.get("Op1"), "value2": x.attrib.get("ValueType1"), "type": x.attrib.get("Type"), "count": x.attrib.get("count")} for x in _kids(f, "Field")]
             out.filters.append(_area(name, f.attrib["Area"]) | {"items": items, "tree": ["and", [_gnumeric_tree(x) for x in _kids(f, "Field")]]})
@@ -387,6 +469,10 @@ def _r1c1_area(sheet: str, ref: str) -> dict:
 
 def parse_xls_xml(data: bytes) -> Workbook:
     root, out = ET.fromstring(package.decode(data).encode()), Workbook()
+    plain = lambda e: {_local(k): v for k, v in e.attrib.items()} if e is not None else {}
+    for x in (st for sts in _kids(root, "Styles") for st in _kids(sts, "Style")):
+        part = {_local(p.tag): p for p in x}
+        out.styles.append({"xf": len(out.styles), "number_format": plain(part.get("NumberFormat")).get("Format"), "font": plain(part.get("Font")), "fill": plain(part.get("Interior")), "border": {_attr(b, "Position", ""): _attr(b, "LineStyle") for b in part.get("Borders", ())}, "style": _attr(x, "ID"), "alignment": plain(part.get("Alignment")), "protection": plain(part.get("Protection"))})
     for w in _all(root, "Worksheet"):
         name = _attr(w, "Name") or ""
         out.sheets.append(name)
@@ -453,14 +539,34 @@ TABLES = {
     "filters": (f"sheet string, name string, {_AREA}, tree string", lambda b: ((f.get("sheet"), f.get("table") or f.get("name"), *_corners(f), _plain(f.get("tree"))) for f in b.filters)),
     "conditions": ("sheet string, ref string, type string, operator string, priority int, formulas array<string>, detail string", lambda b: ((c["sheet"], c["ref"], c["type"], c["operator"], int(c["priority"] or 0), c["formulas"], _plain({k: v for k, v in c.items() if k not in ("sheet", "ref", "type", "operator", "priority", "formulas")})) for c in b.conditions)),
     "styles": ("xf int, number_format string, font string, fill string, border string, style string, alignment string, protection string", lambda b: ((x["xf"], x["number_format"], *(_plain(x.get(k)) for k in ("font", "fill", "border")), x.get("style"), _plain(x.get("alignment")), _plain(x.get("protection"))) for x in b.styles)),
+    "formats": (f"sheet string, {_AREA}, xf int", lambda b: _format_runs(b)),
     "views": ("sheet string, detail string", lambda b: ((v["sheet"], _plain({k: x for k, x in v.items() if k != "sheet"})) for v in b.views)),
     "pivot_tables": ("sheet string, name string, cache string, axis string, position int, field int, function string, show_as string", lambda b: _pivot_axes(b)),
     "pivot_fields": ("part string, source_sheet string, source_ref string, field int, name string, position int, kind string, item string", lambda b: ((p["part"], p["sheet"], p["ref"], f, x["name"], k, *item) for p in b.pivots if p["kind"] == "cache" for f, x in enumerate(p["fields"]) for k, item in enumerate(x["items"] or [(None, None)]))),
     "pivot_records": ("part string, record long, field int, index int, value string", lambda b: ((p["part"], r, f, int(v) if kind == "x" else None, None if kind == "x" else v) for p in b.pivots if p["kind"] == "cache" for r, row in enumerate(p.get("records", ())) for f, (kind, v) in enumerate(row))),
+    "what_if": (f"sheet string, {_AREA}, row_input string, column_input string", lambda b: ((w["sheet"], *_corners(w), w["row_input"], w["column_input"]) for w in b.what_if)),
+    "revisions": ("user string, at string, number string, kind string, sheet_id string, ref string, old string, new string", lambda b: (tuple(r[k] for k in ("user", "at", "number", "kind", "sheet_id", "ref", "old", "new")) for r in b.revisions)),
     "settings": ("origin string, n_sheets int", lambda b: ((b.origin, len(b.sheets)),)),
 }
 
 
+def _format_runs(book: Workbook) -> Iterator[tuple]:
+    """Formats by range: declared areas, and runs of neighbouring cells of a row that share one."""
+    for s in book.styles:
+        if "area" in s:
+            yield s["area"]["sheet"], *_corners(s["area"]), s["xf"]
+    run: tuple | None = None
+    for c in sorted((c for c in book.cells if c.xf is not None), key=lambda c: (c.sheet, c.row, c.col)):
+        if run and run[0] == c.sheet and run[1] == c.row and run[3] + 1 == c.col and run[4] == c.xf:
+            run = (*run[:3], c.col, c.xf)
+            continue
+        if run:
+            yield run[0], run[1], run[2], run[1], run[3], run[4]
+        run = (c.sheet, c.row, c.col, c.col, c.xf)
+    if run:
+        yield run[0], run[1], run[2], run[1], run[3], run[4]
+
+
 def _pivot_axes(book: Workbook) -> Iterator[tuple]:
     for p in book.pivots:
         if p["kind"] == "table":

@@ -169,3 +169,32 @@ def test_stream_of_files(spark, tmp_path):
     arrivals.run_available(arrivals.arrivals(spark, str(tmp_path / "in"), StructType.fromDDL(schema)), str(tmp_path / "out"), str(tmp_path / "check"), make)
     got = {(r.k, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("k"), "n", "total").collect()}
     assert got == {("a", 2, 3.0), ("b", 1, 5.0)}
+
+
+def test_structure_walker():
+    w = infer.Walker(infer.json_structure({"a": [{"k": 1}, {"k": 2}]}))
+    assert w.kind == "object" and w.children == ["a"] and w.descend("a").kind == "array" and w.descend("object").repeat and w.path == ["a", "object"] and w.ascend().kind == "array"
+    with pytest.raises(ValueError):
+        w.root().ascend()
+    x = infer.Walker(infer.xml_structure(ET.fromstring("<a><b c='1'/><b/></a>")))
+    assert x.descend("b").repeat and x.attributes == ["c"]
+
+
+def test_parts_what_if_and_formula_order():
+    sheet = b'<worksheet><sheetData><row r="1"><c r="A1"><f>B1+C2</f></c><c r="B1"><f>SUM(C1:C3)</f></c><c r="C1" s="2"><v>1</v></c></row><row r="2"><c r="C2" s="2"><f t="dataTable" ref="C2:D3" dt2D="1" dtr="1" r1="A9" r2="B9"/><v>2</v></c><c r="D2" s="2"><v>3</v></c></row></sheetData></worksheet>'
+    book = workbooks.parse_part("sheet", sheet)
+    assert [c.formula for c in workbooks.formula_order(book.cells)] == ["SUM(C1:C3)", "B1+C2"]
+    assert list(workbooks.TABLES["what_if"][1](book)) == [("sheet", 1, 2, 2, 3, "A9", "B9")]
+    assert list(workbooks.TABLES["formats"][1](book)) == [("sheet", 0, 2, 0, 2, 2), ("sheet", 1, 2, 1, 3, 2)]
+    with pytest.raises(ValueError, match="circle"):
+        workbooks.formula_order([workbooks.Cell("s", 0, 0, "formula", None, "B1"), workbooks.Cell("s", 0, 1, "formula", None, "A1")])
+    assert workbooks.parse_part("strings", b"<sst><si><t>a</t></si></sst>").strings == ["a"]
+    log = workbooks._xlsx_revisions(ET.fromstring('<headers xmlns:r="r"><header userName="u" dateTime="d" r:id="x"/></headers>'), {"x": ET.fromstring('<revisions><rcc rId="1" sId="2"><oc r="A1"><v>1</v></oc><nc r="A1" t="inlineStr"><is><t>new</t></is></nc></rcc></revisions>')})
+    assert log == [{"user": "u", "at": "d", "number": "1", "kind": "rcc", "sheet_id": "2", "ref": "A1", "old": "1", "new": "new"}]
+
+
+def test_styles_of_other_formats():
+    gnumeric = workbooks.parse_gnumeric(b'<g:Workbook xmlns:g="gnumeric"><g:Sheet><g:Name>S</g:Name><g:Styles><g:StyleRegion startCol="0" startRow="0" endCol="1" endRow="4"><g:Style HAlign="8" Back="FFFF:0:0" Format="0.00" Locked="1"><g:Font Bold="1">Sans</g:Font><g:StyleBorder><g:Top Style="1"/></g:StyleBorder><g:Condition Operator="3"><g:Expression0>5</g:Expression0></g:Condition></g:Style></g:StyleRegion></g:Styles></g:Sheet></g:Workbook>')
+    assert gnumeric.styles[0]["font"] == {"Bold": "1", "name": "Sans"} and gnumeric.styles[0]["border"] == {"Top": "1"} and gnumeric.conditions[0]["ref"] == "A1:B5" and list(workbooks.TABLES["formats"][1](gnumeric)) == [("S", 0, 0, 4, 1, 0)]
+    xml = workbooks.parse_xls_xml(b'<Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Styles><Style ss:ID="s1"><Font ss:Bold="1"/><Interior ss:Color="#FF0000"/><Borders><Border ss:Position="Left" ss:LineStyle="Continuous"/></Borders><NumberFormat ss:Format="0%"/></Style></Styles></Workbook>')
+    assert xml.styles[0]["style"] == "s1" and xml.styles[0]["number_format"] == "0%" and xml.styles[0]["border"] == {"Left": "Continuous"} and xml.styles[0]["fill"] == {"Color": "#FF0000"}
