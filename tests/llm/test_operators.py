@@ -1,16 +1,18 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import hmac
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 import xxhash
 
-from tabloom.llm import bsi_topk, edit_counts, exact_dedup, minhash, mixing, packing, pseudonyms, substring_dedup, tokens, toxicity, weak_quality
+from tabloom.llm import bsi_topk, common, edit_counts, exact_dedup, minhash, mixing, packing, pseudonyms, queries, substring_dedup, tokens, toxicity, weak_quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,6 +146,30 @@ def test_near_dedup_links_that_miss_the_hub(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_in_buckets_of_many_unlinked_texts(spark):
+    """Boilerplate pages that share three quarters of their words, and pairs of near copies among them."""
+    rng = random.Random(12)
+    base = [str(rng.random()) for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        own = [str(rng.random()) for _ in range(100)]
+        texts.append(base + own)
+        if rng.random() < 0.4:
+            texts.append(base + own[:80] + [str(rng.random()) for _ in range(rng.randint(1, 40))])
+    rng.shuffle(texts)
+    data = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in data]
+    for percent in (85, 80):
+        least = list(range(len(data)))
+        for _ in range(3):
+            for a in range(len(data)):
+                for b in range(a):
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        least[a] = least[b] = min(least[a], least[b])
+        got = {r.doc_id: r.component_id for r in minhash.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), percent=percent).collect()}
+        assert got == dict(enumerate(least)) and len(set(least)) < len(least)
+
+
 def test_mixing(docs, empty):
     got = mixing.mixture(docs).collect()
     total = sum(r.size for r in got)
@@ -455,3 +481,71 @@ def test_pipeline_stages_decide_row_by_row(spark, tmp_path):
     rows_ = [(3, a, "en"), (7, a + " x", "en"), (7, b, "en"), (7, b, "de"), (7, b + " y", "en"), (8, b + " y", "en"), (None, c, "en"), (None, c + " z", "en"), (None, d, None), (None, None, "en")]
     got = corpus_pipeline.near_out(spark, spark.createDataFrame(rows_, schema), "").collect()
     assert len(got) == 5 and Counter((r.doc_id, (r.text or "")[:200].split(" ")[0]) for r in got) == Counter([(3, a.split(" ")[0]), (7, b.split(" ")[0]), (None, c.split(" ")[0]), (None, d.split(" ")[0]), (None, "")])
+
+
+def feistel(left, right, a, b, key, tag):
+    for i in range(8):
+        known = right if i % 2 == 0 else left
+        value = int(hmac.new(key, f"{tag}|{i}|{known}".encode(), "sha256").hexdigest()[:15], 16)
+        left, right = ((left + value % a) % a, right) if i % 2 == 0 else (left, (right + value % b) % b)
+    return left, right
+
+
+def test_pseudonyms_against_brute_force(spark):
+    key = b"another key"
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(1, "4111-1111-1111-1111"), (2, "310-555-4510"), (3, "2001-02-03"), (4, "10.0.0.255")], "doc_id long, text string"), key.decode()).orderBy("doc_id").collect()
+    l, r = feistel(4111111, 11111111, 10**7, 10**8, key, "card:16")
+    payload = f"{l:07}{r:08}"
+    total = sum(sum(divmod(int(c) * 2, 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(payload)))
+    card = payload + str(-total % 10)
+    assert got[0].text == "-".join(card[k : k + 4] for k in range(0, 16, 4))
+    l, r = feistel(31055, 54510, 10**5, 10**5, key, "phone:10")
+    digits = f"{l:05}{r:05}"
+    assert got[1].text == f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"
+    day = (date(2001, 2, 3) - date(1900, 1, 1)).days
+    l, r = feistel(day // 229, day % 229, 319, 229, key, "day:0")
+    assert got[2].text == str(date(1900, 1, 1) + timedelta(l * 229 + r))
+    l, r = feistel(10 * 256, 255, 65536, 65536, key, "ip:0")
+    assert got[3].text == f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+
+
+def test_queries_without_sql(spark, tmp_path):
+    """op1, op2, op6 and op7 over a folder of tables, against the plain computation on each text."""
+    docs = spark.createDataFrame(rows(), SCHEMA).drop("kept", "size")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0, int(k % 5 == 0)) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = [(r[0], r[1] or "") for r in rows()]
+    count = lambda t: len(tokens.Pieces().full.encode(t, add_special_tokens=False).ids)
+
+    def edited(t):
+        n = len(t)
+        for at, gone, new in ((n // 2, 0, " inserted"), (n // 3, 10, ""), (0, 3, "A new start")):
+            t = t[:at] + new + t[at + gone :]
+        return t
+
+    got = queries.op7_edit_counts(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_tokens_edited) for r in got) == Counter((i, count(t), count(edited(t))) for i, t in texts)
+    sums = defaultdict(int)
+    for r in queries.op6_packing(spark, str(tmp_path)).collect():
+        sums[r.doc_id] += r.length
+    want = defaultdict(int)
+    for i, t in texts:
+        want[i] += count(t) + 1
+    assert sums == want
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = queries.op1_toxicity(spark, str(tmp_path)).collect()
+    score = {t: float(model.probability(model.worst([t]))[0]) for _, t in texts}
+    assert sorted((as_id(r.doc_id), round(r.score, 9)) for r in got) == sorted((as_id(i), round(score[t], 9)) for i, t in texts)
+    assert all(r.predicted == int(r.score >= 0.5) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    patterns = Counter()
+    one = {}
+    for _, t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        bounds = np.array([0, len(data)])
+        one[t] = int(weak_quality.pattern_of(weak_quality.votes(weak_quality.measures(data, bounds, common.Words(data, bounds, fold=True))))[0])
+        patterns[one[t]] += 1
+    keys = np.array(sorted(patterns))
+    posterior = dict(zip(keys.tolist(), weak_quality.expectation_maximisation(keys, np.array([float(patterns[k]) for k in keys.tolist()]))[0].tolist()))
+    got = queries.op2_weak_quality(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.pattern, round(r.posterior, 9)) for r in got) == Counter((i, one[t], round(posterior[one[t]], 9)) for i, t in texts)
+    assert all(r.keep == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
