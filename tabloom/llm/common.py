@@ -58,14 +58,14 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i < n."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, 1 << (n - 1).bit_length())
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         have = []
         for b in (base, inverse):
             out = np.full(size, b, np.uint64)
             out[0] = 1
             have.append(np.multiply.accumulate(out))
-        if n <= CHUNK_BYTES + 1:  # a longer text than a chunk doesn't stay in memory
+        if n <= 2 * CHUNK_BYTES:  # a longer text than a chunk doesn't stay in memory
             _powers[int(base)] = tuple(have)
     return have
 
