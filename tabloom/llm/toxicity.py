@@ -471,13 +471,15 @@ def held_out(column: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, text, toxic of at most most labelled rows that are not held out, chosen by a hash of id and text.
 
+    About twice as many labels are broadcast, whatever the number of labels and documents.
+
     Rows that repeat both are one. A label other than 0 or 1 is none; of two labels of a document the larger counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, 2 * most / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    keyed = docs.join(some.hint("shuffle_hash") if share == 1.0 else F.broadcast(some), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.join(F.broadcast(some), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
     return keyed.dropDuplicates(["key"]).orderBy("key").limit(most).select("doc_id", "text", "toxic")
 
 
