@@ -66,7 +66,7 @@ def _power(base: int, n: Column) -> Column:
 def _split_digits(s: Column, size: Column) -> tuple[Column, ...]:
     half = F.floor(size / 2)
     left = F.coalesce(F.substring(s, F.lit(1), half).try_cast("long"), _long(0))
-    return left, F.coalesce(F.substring(s, half + 1, size).try_cast("long"), _long(0)), _power(10, half), _power(10, size - half)
+    return left, F.coalesce(F.substring(s, half + 1, size - half).try_cast("long"), _long(0)), _power(10, half), _power(10, size - half)
 
 
 def _letters_number(s: Column) -> Column:
