@@ -5,11 +5,11 @@ coordinate k is the smallest value of the second permutation, shifted by k place
 places. The second one is computed, not stored, so the ring is wide enough for texts of any length. Bands of ROWS coordinates propose candidates; a Jaccard similarity over full shingle sets confirms each link.
 
 Documents with the same shingle set form one class, and only its smallest id goes on. In each band bucket every member
-is compared with the bucket's smallest id, its hub (a star, not all pairs). Jaccard distance is a metric, so with the
-distances to the hub known, two other members can be linked only if these differ by at most the threshold; members of a
-bucket that are still in different components and pass that test are compared as well, so no link between the members
-of a bucket is lost. Buckets whose members are all in one component, such as those of a large group of copies, need no
-second pass. A hub with many members is split into salted groups, each with its own copy of the hub.
+is compared with the bucket's smallest id, its hub (a star, not all pairs). Buckets whose members are then all in one
+component, such as those of a large group of copies, are done. The members of the others are joined exactly by prefix
+filtering: with shingles in order of rarity among them, two sets can be linked only if they share one of the rarest
+(1 - similarity) * size + 1 of each, so texts that have but boilerplate in common never meet, and no link between the
+members of a bucket is lost. A hub with many members is split into salted groups, each with its own copy of the hub.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, durable, id_key, identifier, ids_array, mix, text_chunks
@@ -29,6 +29,8 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
 #: Members that are compared with one copy of a hub.
 SALT_ROWS = 500
+#: Hash places that tell wanted texts from others before they are shuffled; bounds a broadcast.
+PLACES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -129,29 +131,54 @@ def _compare(pairs: DataFrame, slim: DataFrame, leaders: DataFrame) -> DataFrame
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(sizes, "hub").select("hub", "member", salt.cast("int").alias("salt"))
     rows = salted.unionByName(salted.select("hub", F.col("hub").alias("member"), "salt").distinct())
-    rows = rows.join(leaders.select(F.col("key").alias("member"), "doc_id", "mark"), "member")
-    texts = slim.select(id_key().alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text").join(rows.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_semi")
-    # rows that repeat id and text are one here
-    with_text = rows.join(texts.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("hub", "salt", "member", "text")
+    with_text = _texts(rows, slim, leaders).select("hub", "salt", "member", "text")
     placed = with_text.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("hub") != F.col("member"))
     return placed.mapInArrow(_verify, "hub long, member long, shared long, total long").distinct()
 
 
-def _rest(held: DataFrame, checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members that may still be linked: neither is the hub, their components differ, and both
-    sizes and distances to the hub allow the similarity."""
-    least = percent / 100
-    near = F.col("shared") / F.col("total")
-    others = held.where("key != hub").join(checked.select("hub", F.col("member").alias("key"), near.alias("near")), ["hub", "key"])
-    others = others.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+_SHINGLES = pa.schema([("key", pa.int64()), ("shingle", pa.int64())])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each class: columns in are key, text."""
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for a, b, data, offsets in text_chunks(batch.column(1)):
+            for key, shingles in zip(keys[a:b], shingle_sets(data, offsets)):
+                if class_key(shingles) == key:
+                    for at in range(0, len(shingles), 1 << 16):
+                        own = shingles[at : at + (1 << 16)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key), pa.int64()), pa.array(own, pa.int64())], schema=_SHINGLES)
+
+
+def _texts(keys: DataFrame, slim: DataFrame, leaders: DataFrame) -> DataFrame:
+    """keys(member, ...) with the text of a document of each class; rows that repeat id and text are one here."""
+    rows = keys.join(leaders.select(F.col("key").alias("member"), "doc_id", "mark"), "member")
+    wanted = rows.select("doc_id", "mark").distinct()
+    place = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(PLACES))
+    # most other texts stay out of the shuffle; PLACES numbers are the most that this broadcast can hold
+    near = slim.select(id_key().alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text").withColumn("place", place)
+    near = near.join(F.broadcast(wanted.select(place.alias("place")).distinct()), "place", "left_semi").drop("place")
+    texts = near.join(wanted, ["doc_id", "mark"], "left_semi")
+    return rows.join(texts.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"])
+
+
+def _rest(held: DataFrame, roots: DataFrame, slim: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of buckets that several components meet in, from different components, that may be linked."""
+    others = held.where("key != hub").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = others.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    bin_of = F.floor(F.log(F.col("n_shingles")) / -float(np.log(least))).cast("int")
-    open_ = durable(others.join(mixed, "bucket", "left_semi").select("bucket", "key", "root", "near", "n_shingles", bin_of.alias("bin")))
-    left = open_.withColumn("bin", F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1))).alias("l")
-    right = open_.alias("r")
-    slack = 1 - least + 1e-9
-    fits = (F.abs(F.col("l.near") - F.col("r.near")) <= slack) & (F.least("l.n_shingles", "r.n_shingles") >= least * F.greatest("l.n_shingles", "r.n_shingles") - 1e-6)
-    both = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.bin") == F.col("r.bin")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
+    open_ = durable(others.join(mixed, "bucket", "left_semi").select(F.col("key").alias("member"), "root", "n_shingles").distinct())
+    spread = durable(_texts(open_, slim, leaders).select("member", "text").mapInArrow(_spread, "key long, shingle long"))
+    shared = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    known = spread.join(shared, "shingle").join(open_.select(F.col("member").alias("key"), "root", "n_shingles"), "key")
+    # the rarest come first: those of one set alone, then the shared ones by count
+    alone = F.col("n_shingles") - F.count(F.lit(1)).over(Window.partitionBy("key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("f", "shingle"))
+    least = F.floor((percent * F.col("n_shingles") + 99) / 100)  # shared shingles that a link takes at least
+    prefix = durable(known.withColumn("place", alone + place).where(F.col("place") <= F.col("n_shingles") - least + 1).select("shingle", "key", "root", "n_shingles"))
+    left, right = prefix.alias("l"), prefix.alias("r")
+    fits = 100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles")
+    both = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
     return left.join(right, both & fits).select(F.col("l.key").alias("hub"), F.col("r.key").alias("member")).distinct()
 
 
@@ -196,7 +223,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     checked = durable(_compare(durable(stars), slim, leaders))
     sure = checked.where(f"100 * shared >= {percent} * total")
     roots = components(spark, sure.select(F.col("hub").alias("a"), F.col("member").alias("b")))
-    rest = durable(_rest(held, checked, roots, percent))
+    rest = durable(_rest(held, roots, slim, leaders, percent))
     if not rest.isEmpty():
         more = durable(_compare(rest, slim, leaders)).where(f"100 * shared >= {percent} * total")
         edges = sure.unionByName(more).select(F.col("hub").alias("a"), F.col("member").alias("b"))
