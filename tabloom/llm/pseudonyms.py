@@ -32,9 +32,9 @@ from .common import identifier
 ROUNDS = 8
 Keys = tuple[Column, Column]
 _EDGE, _STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-PATTERN = "|".join(
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_NUMBERS = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         rf"{_EDGE}\d{{4}}-\d\d-\d\d{_STOP}(?!-\d)",
         rf"{_EDGE}\d\d(?:/\d\d/|\.\d\d\.)\d{{4}}{_STOP}(?!\.\d)",
         rf"{_EDGE}\d{{3}}-\d\d-\d{{4}}{_STOP}(?!-\d)",
@@ -46,11 +46,15 @@ PATTERN = "|".join(
         rf"{_EDGE}(?<!\d[-.])\d(?:[ -]?\d){{12,18}}{_STOP}(?!-\d)",
     ]
 )
+#: Most places are ruled out by their first character.
+PATTERN = rf"{_MAIL}|(?=[0-9+(])(?:{_NUMBERS})"
 #: A card number as it is usually written, to be found inside a longer run of digits.
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"
 _MONTH_DAYS = [f"{m:02}/{d:02}" for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(13, n + 1)]
 #: Characters of a mail address that one permutation takes: two halves of so many digits or letters fit a long.
 _BLOCK = {10: 18, 26: 26}
+_POWERS = {base: f"array({', '.join(f'{base**k}L' for k in range(n))})" for base, n in ((10, 19), (26, 14))}
+_MONTH_DAY_TABLE = f"array({', '.join(map(repr, _MONTH_DAYS))})"
 
 
 def _long(x: Column | int) -> Column:
@@ -59,8 +63,7 @@ def _long(x: Column | int) -> Column:
 
 def _power(base: int, n: Column) -> Column:
     """base ** n as a long, from a table: pow() would round."""
-    table = F.array(*(F.lit(base**k).cast("long") for k in range(19 if base == 10 else 14)))
-    return F.element_at(table, n.cast("int") + 1)
+    return F.element_at(F.expr(_POWERS[base]), n.cast("int") + 1)
 
 
 def _split_digits(s: Column, size: Column) -> tuple[Column, ...]:
@@ -214,7 +217,7 @@ def _numbers(found: Column) -> Column:
         day = F.unix_date(iso.try_cast("date")) - _FIRST_DAY
         day_ok = F.coalesce((day >= 0) & (day < _DAYS_A * _DAYS_B), F.lit(False))
         year = F.substring(m, 7, 4).try_cast("long") - 1900
-        month_day = F.array_position(F.array(*map(F.lit, _MONTH_DAYS)), F.substring(m, 1, 5)).cast("long") - 1
+        month_day = F.array_position(F.expr(_MONTH_DAY_TABLE), F.substring(m, 1, 5)).cast("long") - 1
         slashed = m.contains("/") & year.between(0, 199)
         leap = _int_div(year - 4, _long(4))
         octets = F.split(m, r"\.")
@@ -260,7 +263,7 @@ def _written(numbers: Column, keys: Keys) -> Column:
             left, right = p["l"], p["r"]
             day = F.date_from_unix_date((left * _DAYS_B + right + _FIRST_DAY).cast("int"))
             dated = F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
-            month = F.concat_ws("/", F.element_at(F.array(*map(F.lit, _MONTH_DAYS)), (right + 1).cast("int")), (left + 1900).cast("string"))
+            month = F.concat_ws("/", F.element_at(F.expr(_MONTH_DAY_TABLE), (right + 1).cast("int")), (left + 1900).cast("string"))
             leap = F.concat(F.lit("02/29/"), (1904 + 4 * (left * 7 + right)).cast("string"))
             area = left + F.when(left >= 665, 2).otherwise(1)
             ssn = F.concat_ws("-", _pad(area, 3), _pad(_int_div(right, _long(9999)) + 1, 2), _pad(F.pmod(right, _long(9999)) + 1, 4))
