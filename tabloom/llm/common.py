@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised code works on at once; bounds a Python worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Stands for a null identifier: a null id is larger than every other one.
 NULL_ID = (1 << 63) - 1
 

@@ -486,8 +486,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def _probabilities(model: Model, column: pa.Array) -> np.ndarray:
-    return model.probability(model.worst([t or "" for t in column.to_pylist()]))
+def _probabilities(model: Model, column: pa.Array, step: int = 500) -> np.ndarray:
+    parts = [model.worst([t or "" for t in column.slice(at, step).to_pylist()]) for at in range(0, len(column), step)]
+    return model.probability(np.concatenate(parts) if parts else np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
