@@ -110,7 +110,7 @@ class Reading:
         starts = np.flatnonzero(inside % PIECE == 0)
         index = np.cumsum(inside % PIECE == 0) - 1
         count = np.arange(len(starts))
-        self.symbols = np.full(n + len(starts), BLANK, np.int64)
+        self.symbols = np.full(n + len(starts), BLANK, np.uint8)
         self.symbols[np.arange(n) + index] = _SYMBOL[raw[at]]
         self.start, self.end = starts + count, np.append(starts[1:], n) + count
         last = np.append(sentence[starts][1:] != sentence[starts][:-1], True)
@@ -289,13 +289,14 @@ class Windows:
             paired = np.flatnonzero(reading.end2 > reading.end)
             every = np.arange(len(words))
             for hashes, own, pair in ((words, every, 0), (pairs[paired], paired, 1)):
-                parts.append((hashes, first + reading.text[own], np.full(len(own), r), own, np.full(len(own), pair)))
+                parts.append((hashes, (first + reading.text[own]).astype(np.int32), np.full(len(own), r, np.int32), own.astype(np.int32), np.full(len(own), pair, np.int8)))
         hashes, text, self.r, self.word, self.pair = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((text, hashes))
+        del parts
+        order = np.lexsort((text, hashes)).astype(np.int32)
         hashes, text = hashes[order], text[order]
         new = np.append(True, hashes[1:] != hashes[:-1])
         self.of_text = new | np.append(True, text[1:] != text[:-1])
-        self.group = np.cumsum(new) - 1
+        self.group = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.text, self.order, self.keys = text, order, hashes[new]
         self.example = order[new]
         self.n = len(self.keys)
@@ -416,7 +417,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
         return np.stack([cache[s] for s in strings])
 
     # every window of a text, to find the text's worst one
-    group, text = found.group[found.of_text], found.text[found.of_text]
+    by_text = np.argsort(found.text, kind="stable").astype(np.int32)  # within a text by hash
+    group, ends = found.group[by_text], np.bincount(found.text, minlength=len(texts)).cumsum()
+    of = np.flatnonzero(np.diff(ends, prepend=0))
+    begin = np.append(0, ends[:-1])[of]
     model = None
     for _ in range(rounds):
         plus, minus = found.strings(np.array(list(strength))), found.strings(np.array(list(negative)))
@@ -429,9 +433,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
         w = _squared_hinge(z, y, cost)
         model = Model(space.fold(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         decision = found.decisions(model)
-        order = np.lexsort((key[group], -decision[group], text))
-        best = group[order][np.append(True, text[order][1:] != text[order][:-1])]
-        of = text[order][np.append(True, text[order][1:] != text[order][:-1])]
+        own = decision[group]
+        hit = np.flatnonzero(own == np.repeat(np.maximum.reduceat(own, begin), np.diff(np.append(begin, len(own)))))
+        best = group[hit[np.searchsorted(hit, begin)]]
         # witnesses: the worst windows of toxic texts that more toxic than clean texts hold
         mine = Counter(best[truth[of] & (decision[best] > 0)].tolist())
         for k, times in mine.items():
