@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, durable, identifier
+from .common import NULL_ID, WORD_RE, durable, identifier
 
 REPEATS = 3
 BUCKETS = 4096
@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
+def _mark(text: Column) -> Column:
+    """64 bits of a hash of the whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def source_targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """sizes: source_key, source_size. Adds index, weight, target."""
     ordered = sizes.withColumn("index", F.row_number().over(Window.orderBy("source_key")) - 1)
@@ -60,7 +65,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     play no part.
     """
     key = F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col].cast("string")))
-    slim = docs.select(identifier(docs, id_col), word_count(docs[text_col].cast("string")).alias("size"), key.alias("source_key"), order_key(docs[id_col].cast("long")).alias("place"))
+    slim = docs.select(identifier(docs, id_col), word_count(docs[text_col].cast("string")).alias("size"), key.alias("source_key"), order_key(docs[id_col].cast("long")).alias("place"), _mark(docs[text_col]).alias("mark"))
     slim = durable(slim.withColumn("bucket", F.shiftright("place", 48)))  # words are counted once
     buckets = slim.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size"))
@@ -68,7 +73,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     run = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)).alias("bucket_start"))
     facts = starts.join(targets, "source_key")
-    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     rows = slim.join(facts, ["source_key", "bucket"])
     rows = rows.withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
@@ -77,7 +82,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     rows = rows.withColumn("copies", F.col("whole") + F.when(more & (F.col("whole") < REPEATS), 1).otherwise(0))
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("index") % len(slopes) + 1).cast("int"))
     rows = rows.withColumn("slope", slope).withColumn("taken", F.col("size") * F.col("copies"))
-    return rows.withColumn("position", position_at(F.col("before") + F.col("size") / 2, F.col("target"), F.col("slope"))).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source_key", "place", "before", "slope")
+    return rows.withColumn("position", position_at(F.col("before") + F.col("size") / 2, F.col("target"), F.col("slope"))).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source_key", "place", "before", "slope", "mark")
 
 
 def position_at(place: Column, demand: Column, slope: Column) -> Column:
@@ -94,23 +99,26 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix: each row as often as it is taken, all columns, range-sorted by training position.
 
-    Rows are matched to their decision by (id, source, size), so that rows repeating an id keep their own; of rows equal
-    in all three the first by the columns that have an order get what does not divide. Nulls, empty texts and empty
-    tables are as in mixture(); columns may have any type.
+    Rows are matched to their decision by (id, source, hash of the text), so that rows repeating an id keep their own; of
+    rows equal in all three the first by the columns that have an order get what does not divide. Nulls, empty texts
+    and empty tables are as in mixture(); columns may have any type. The join and the numbering of equal rows ask for
+    the same partitioning, so texts are shuffled once for both and once for the sort; words are counted by mixture() alone.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     taken = mixture(docs, id_col, text_col, source_col)
     keyed = docs.toDF(*names)
     column = dict(zip(docs.columns, names))
     key = F.when(F.col(column[source_col]).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(column[source_col]).cast("string")))
-    keyed = keyed.withColumns({"_id": F.col(column[id_col]).cast("long"), "_source": key, "_size": word_count(F.col(column[text_col]).cast("string"))})
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(NULL_ID))
+    keyed = keyed.withColumns({"_id": known(F.col(column[id_col])), "_source": key, "_mark": _mark(F.col(column[text_col]))})
     # rows equal in all three have one decision each; spread the copies over them as one total
-    totals = taken.groupBy("doc_id", "source_key", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("slope").alias("slope"), F.min("before").alias("before"))
-    joined = keyed.join(totals, keyed["_id"].eqNullSafe(totals["doc_id"]) & (keyed["_source"] == totals["source_key"]) & (keyed["_size"] == totals["size"]))
+    facts = [F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("size", "source_size", "target", "slope")), F.min("before").alias("before")]
+    totals = taken.groupBy(known(F.col("doc_id")).alias("_id"), F.col("source_key").alias("_source"), F.col("mark").alias("_mark")).agg(*facts)
+    joined = keyed.join(totals, ["_id", "_source", "_mark"])
     ordered = [n for n, field in zip(names, docs.schema) if not any(t in field.dataType.simpleString() for t in ("map<", "variant"))]
-    twin = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("before", *ordered))
+    twin = F.row_number().over(Window.partitionBy("_id", "_source", "_mark").orderBy("before", *ordered))
     own = F.floor(F.col("copies") / F.col("rows")) + F.when(F.when(F.col("rows") > 1, twin).otherwise(1) <= F.col("copies") % F.col("rows"), 1).otherwise(0)
     repeated = joined.withColumn("own", own.cast("int")).where("own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
-    place = F.col("before") + F.col("_size") / 2 + F.col("_copy") * F.col("source_size")
+    place = F.col("before") + F.col("size") / 2 + F.col("_copy") * F.col("source_size")
     placed = repeated.withColumn("_position", position_at(place, F.col("target"), F.col("slope")))
     return placed.orderBy("_position", "_id", "_copy").select(*names).toDF(*docs.columns)

@@ -11,6 +11,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabloom.llm import bsi_topk, common, edit_counts, exact_dedup, minhash, mixing, packing, pseudonyms, queries, substring_dedup, tokens, toxicity, weak_quality
 
@@ -429,6 +430,26 @@ def test_weak_quality(spark, empty):
     assert weak_quality.weak_quality(empty).count() == 0
 
 
+def test_mix_counts_words_and_shuffles_texts_once(spark, tmp_path):
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are not small
+    try:
+        plan = mixing.mix(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "regexp_count" not in plan  # mixture() has counted them
+    window = next(line for line in plan.split("\n") if "Window [" in line)
+    after = plan[plan.index(window) :].split("\n")[1:3]
+    assert not any("Exchange" in line for line in after), plan  # the join's partitioning serves equal rows too
+
+    same = [(None, "a b c", "x"), (None, "d e f", "x"), (7, "g h i", "x"), (7, "g h i", "x"), (7, "j k l", None), (8, None, None), (8, "", None)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, source string")
+    want, got = mixing.mixture(docs).collect(), mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in want for _ in range(r.copies)) == Counter((r.doc_id, len((r.text or "").split())) for r in got)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs.orderBy(F.desc("text"))).collect()))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
