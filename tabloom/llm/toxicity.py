@@ -283,15 +283,22 @@ class Windows:
     def __init__(self, texts: list[str]):
         slices = list(chunks([len(t) for t in texts]))
         self.readings = [Reading(texts[a:b]) for a, b in slices]
-        parts = []
+        columns: tuple[list[np.ndarray], ...] = ([], [], [], [], [])
         for r, (reading, (first, _)) in enumerate(zip(self.readings, slices)):
             words, pairs = reading.hashes()
             paired = np.flatnonzero(reading.end2 > reading.end)
             every = np.arange(len(words))
             for hashes, own, pair in ((words, every, 0), (pairs[paired], paired, 1)):
-                parts.append((hashes, (first + reading.text[own]).astype(np.int32), np.full(len(own), r, np.int32), own.astype(np.int32), np.full(len(own), pair, np.int8)))
-        hashes, text, self.r, self.word, self.pair = (np.concatenate(c) for c in zip(*parts))
-        del parts
+                for c, x in zip(columns, (hashes, (first + reading.text[own]).astype(np.int32), np.full(len(own), r, np.int32), own.astype(np.int32), np.full(len(own), pair, np.int8))):
+                    c.append(x)
+            reading.start, reading.end, reading.end2 = (x.astype(np.int32) for x in (reading.start, reading.end, reading.end2))
+            reading.text = None  # the windows know it
+        joined = []
+        for c in columns:  # one after the other, so that they are not in memory twice
+            joined.append(np.concatenate(c))
+            c.clear()
+        hashes, text, self.r, self.word, self.pair = joined
+        del joined, words, pairs
         order = np.lexsort((text, hashes)).astype(np.int32)
         hashes, text = hashes[order], text[order]
         new = np.append(True, hashes[1:] != hashes[:-1])
@@ -300,8 +307,8 @@ class Windows:
         self.text, self.order, self.keys = text, order, hashes[new]
         self.example = order[new]
         self.n = len(self.keys)
-        self.size = np.zeros(self.n, np.int64)
-        by = np.argsort(self.r[self.example], kind="stable")
+        self.size = np.zeros(self.n, np.int32)
+        by = np.argsort(self.r[self.example], kind="stable").astype(np.int32)  # narrow arrays: these stay for the whole fit
         cuts = np.searchsorted(self.r[self.example][by], np.arange(len(self.readings) + 1))
         self.by_reading = [by[a:b] for a, b in zip(cuts, cuts[1:])]
         for own, reading in zip(self.by_reading, self.readings):
@@ -330,7 +337,7 @@ class Windows:
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         """Windows that are the first and the second word of each pair; those of other windows are themselves."""
-        by_place = np.empty(len(self.order), np.int64)
+        by_place = np.empty(len(self.order), np.int32)
         by_place[self.order] = self.group
         base = np.searchsorted(self.r, np.arange(len(self.readings)))  # a reading's words come before its pairs
         e = self.example
@@ -360,6 +367,13 @@ def _first_of_copies(windows: Windows, n_texts: int, size: int = 16) -> np.ndarr
     return out
 
 
+def _worst_windows(decision: np.ndarray, group: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The first window of the largest decision of each text; group: the windows of texts that begin at begin."""
+    own = decision[group]
+    hit = np.flatnonzero(own == np.repeat(np.maximum.reduceat(own, begin), np.diff(np.append(begin, len(own)))))
+    return group[hit[np.searchsorted(hit, begin)]]
+
+
 def _evidence(a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
     """Twice the log likelihood ratio of a toxic and b clean texts, where these are mostly toxic ones."""
     share = a / np.maximum(1, a + b)
@@ -379,9 +393,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
     bad, good = found.counts(first & truth), found.counts(first & ~truth)
     base = max(float((first & truth).sum()), 0.5) / first.sum()
     evidence = np.where(found.size >= ORDER, _evidence(bad, good, base), 0.0)
+    bad, good = bad.astype(np.int32), good.astype(np.int32)
     often = (bad >= 3) & (found.size >= ORDER)
     chance = 2 * np.log(often.sum() + 1)  # what the luckiest of so many windows reaches without meaning
     left, right = found.halves()
+    found.order = None
     pair = left != right
     # a pair has to say more than its words do, and then speaks for them
     more = evidence - np.where(pair, np.maximum(evidence[left], evidence[right]), 0.0)
@@ -397,12 +413,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
         share = truth.mean()
         return Model(np.zeros(SYMBOLS**ORDER, np.float32), float(np.log(share / (1 - share))), 1.0, 0.0)
     key = found.keys
-    chosen = np.lexsort((key, -evidence))
-    positive = chosen[strong[chosen]][:witnesses]
+    chosen = np.flatnonzero(strong)
+    positive = chosen[np.lexsort((key[chosen], -evidence[chosen]))][:witnesses]
     strength = dict(zip(positive.tolist(), np.maximum(evidence[positive], 1.0).tolist()))
     clean = np.flatnonzero((good > 0) & ~strong & (found.size >= ORDER))
     common = clean[np.lexsort((key[clean], -good[clean]))][:negatives]
     by_chance = clean[np.argsort(key[clean], kind="stable")][:negatives]
+    del left, right, pair, more, spoken, strong, often, evidence, chosen
     negative = dict.fromkeys(np.concatenate([common, by_chance]).tolist())
     marks = found.strings(positive[:landmarks]) + found.strings(common[:landmarks])
     space = Landmarks(marks)
@@ -420,7 +437,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
     by_text = np.argsort(found.text, kind="stable").astype(np.int32)  # within a text by hash
     group, ends = found.group[by_text], np.bincount(found.text, minlength=len(texts)).cumsum()
     of = np.flatnonzero(np.diff(ends, prepend=0))
-    begin = np.append(0, ends[:-1])[of]
+    begin, until = np.append(0, ends[:-1])[of], ends[of]
+    found.text = found.of_text = found.group = found.keys = by_text = key = None
     model = None
     for _ in range(rounds):
         plus, minus = found.strings(np.array(list(strength))), found.strings(np.array(list(negative)))
@@ -433,9 +451,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
         w = _squared_hinge(z, y, cost)
         model = Model(space.fold(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         decision = found.decisions(model)
-        own = decision[group]
-        hit = np.flatnonzero(own == np.repeat(np.maximum.reduceat(own, begin), np.diff(np.append(begin, len(own)))))
-        best = group[hit[np.searchsorted(hit, begin)]]
+        best = np.concatenate([_worst_windows(decision, group[begin[a] : until[a : a + 256][-1]], begin[a : a + 256] - begin[a]) for a in range(0, len(begin), 256)])
         # witnesses: the worst windows of toxic texts that more toxic than clean texts hold
         mine = Counter(best[truth[of] & (decision[best] > 0)].tolist())
         for k, times in mine.items():
@@ -443,11 +459,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, witnesses: int = W
                 strength.setdefault(k, float(times))
         worst_clean = clean[np.argsort(-decision[clean], kind="stable")][:hard]
         negative.update(dict.fromkeys(k for k in worst_clean.tolist() if k not in strength))
+    witnessed = found.strings(positive[: max(1, len(positive) // 2)])
+    del found, group, clean, bad, good, decision
     worst = model.worst(texts)
     model.slope, model.cut = _calibrate(worst, truth.astype(float))
     # texts hold several witnesses, so the curve through whole texts would ask for more than one; where clean texts end
     # below the witnesses, the cut goes between them, nearer to the toxic side (two in a hundred clean labels may be wrong)
-    low, high = np.quantile(worst[~truth], 0.98), model.decide(found.strings(positive[: max(1, len(positive) // 2)])).min()
+    low, high = np.quantile(worst[~truth], 0.98), model.decide(witnessed).min()
     if high > low:
         model.cut, model.slope = float(low + 0.72 * (high - low)), max(model.slope, 4 / float(high - low))
     return model

@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
@@ -430,6 +431,17 @@ def test_weak_quality(spark, empty):
     assert weak_quality.weak_quality(empty).count() == 0
 
 
+def test_toxicity_fit_memory():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=400)) + " zorgul" * (k % 10 == 0) for k in range(600)]
+    tracemalloc.start()
+    toxicity.fit(texts, [int(k % 10 == 0) for k in range(600)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55 * sum(map(len, texts))  # 65 and more where every array of the fit stays
+
+
 def test_mix_counts_words_and_shuffles_texts_once(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/docs")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
