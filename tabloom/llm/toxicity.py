@@ -22,6 +22,10 @@ The model is a table of 64 ** 3 floats and a few numbers, the same size for any
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identifier, mix, powers
+from .common import _powers, identifier, mix, powers
 
 ORDER, DECAY, SYMBOLS = 3, 0.6, 64
 #: Most symbols that a subsequence spans; symbols of one piece of a word (longer ones are cut); symbol of a blank.
@@ -527,8 +531,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 _FITTED = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("cut", pa.float64())])
 
 
+def _release() -> None:
+    """What other operators keep in this worker (token ids of pieces, powers) goes: the fit needs the room, they can
+    make it again."""
+    tokens = sys.modules.get("tabloom.llm.tokens")
+    if tokens:
+        tokens._shared.clear()
+    _powers.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
+    _release()
     model = fit([r[1] for r in rows], [r[2] for r in rows])
     yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "cut": model.cut}], schema=_FITTED)
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -442,6 +443,13 @@ def test_toxicity_fit_memory():
     assert peak < 55 * sum(map(len, texts))  # 65 and more where every array of the fit stays
 
 
+def test_toxicity_fit_releases_what_other_operators_keep():
+    tokens.shared().encode("some words of a text")
+    common.powers(np.uint64(3), 100)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["plain words", "zorgul"], "toxic": [0, 1]})
+    assert len(list(toxicity._fit_rows(iter([batch])))) == 1 and not tokens._shared and 3 not in common._powers
+
+
 def test_mix_counts_words_and_shuffles_texts_once(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/docs")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
