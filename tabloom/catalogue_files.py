@@ -108,7 +108,7 @@ _add("xml_map_rows", lambda s, d: execute.xml_cells(_xml_docs(s, d), "doc", _xml
 _add("xml_map_namespaces", lambda s, d: execute.xml_cells(_xml_docs(s, d, "x:", ' xmlns:x="urn:orders"'), "doc", _xml_map("o:"), ["o_orderkey"]), _XML_SQL.format(status="'o:status'"))
 _add("xml_cell_link", lambda s, d: execute.xml_cells(_xml_docs(s, d), "doc", MapDefinition([], [CellLink("one", 4, 2, "/orders/order/status")], []), ["o_orderkey"]), "SELECT o_orderkey, 'one' AS sheet, 4 AS row, 2 AS col, 'string' AS type, o_orderstatus AS value FROM orders")
 _add(
-    "xml_auto_rows", lambda s, d: execute.auto_xml_cells(_xml_docs(s, d), "doc", ["o_orderkey"]).groupBy("o_orderkey", "sheet").agg(F.max("row").alias("last_row"), F.count_if(F.col("type") == "numeric").alias("numbers")),
+    "xml_auto_rows", lambda s, d: execute.auto_xml_sheets(_xml_docs(s, d), "doc", ["o_orderkey"]),
     "SELECT o_orderkey, 'range-0' AS sheet, greatest(count(l_orderkey), 1) + 1 AS last_row, greatest(count(l_orderkey), 1) + 2 * count(l_orderkey) AS numbers FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
 )
 _add("xml_has_range", lambda s, d: execute.n_ranges(_xml_docs(s, d), "doc", "xml", ["o_orderkey"]), "SELECT o_orderkey, 1 AS n_ranges FROM orders")

@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 
 from ..functions.paths import PathError, parse_jsonpath, parse_xpath
-from .infer import RangeSpec, json_ranges, xml_ranges
+from .infer import RangeSpec, Shapes, json_ranges, json_shape, xml_ranges, xml_shape
 
 
 @dataclass
@@ -39,6 +39,9 @@ class MapDefinition:
     ranges: list[RangeLink] = field(default_factory=list)
     namespaces: dict[str, str] = field(default_factory=dict)
 
+    def size(self) -> int:
+        return sum(len(r.fields) + len(r.row_groups) for r in self.ranges)
+
     def check(self, parse) -> MapDefinition:
         """Every path parses, and none is linked twice."""
         seen: set[str] = set()
@@ -77,6 +80,11 @@ def detect_xml_map(text: str) -> MapDefinition:
     return _auto(xml_ranges(ET.fromstring(text)))
 
 
+#: Maps of documents that tell their own ranges.
+json_shapes = Shapes(json_shape, detect_json_map)
+xml_shapes = Shapes(xml_shape, lambda root: _auto(xml_ranges(root)))
+
+
 def read_xml_map(text: str) -> MapDefinition:
     out = MapDefinition()
     for x in ET.fromstring(text):
