@@ -202,8 +202,8 @@ def period(name: str, now: date) -> tuple[date, date]:
     return begin(at), begin(at + 1)
 
 
-#: Cuts of the value range between which the value of a given rank is searched.
-CUTS = 1000
+#: Accuracy of the approximate quantiles beside a rank: they miss it by at most one in so many rows.
+ACCURACY = 10_000
 
 
 def top_threshold(df: DataFrame, c: Column, n: int, low: bool, kind: str) -> Column:
@@ -216,20 +216,27 @@ def top_threshold(df: DataFrame, c: Column, n: int, low: bool, kind: str) -> Col
 def percent_threshold(df: DataFrame, c: Column, percent: float, low: bool, kind: str) -> Column:
     """The value of rank ceil(count * percent / 100).
 
-    Counts between CUTS approximate quantiles tell where it lies, and only the distinct values there, about one in CUTS,
-    are ordered.
+    Two approximate quantiles close around the rank cut the values in three. Counts of rows tell in which part it lies,
+    the middle one as a rule, and only the distinct values there are counted and ordered. The result does not depend on how
+    good the quantiles are.
     """
     own = df.where(is_present(c, kind)).select(c.alias("v"))
-    cuts = own.agg(F.percentile_approx("v", [k / CUTS for k in range(1, CUTS)], 10 * CUTS)).scalar()
-    counts = own.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("cuts", cuts)
-    part = F.size(F.filter("cuts", lambda x: x < F.col("v")))
-    parts = counts.withColumn("part", -part if low else part).groupBy("part").agg(F.sum("n").alias("n"))  # CUTS rows at most
-    parts = parts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("part")))).withColumn("most", F.ceil(F.sum("n").over(Window.partitionBy()) * (percent / 100)))
-    found = parts.where("most > 0 AND upto >= most AND upto - n < most").select(F.struct("part", (F.col("most") - F.col("upto") + F.col("n")).alias("rest")).alias("s"))
-    at = found.agg(F.max("s")).scalar()
-    inside = counts.withColumn("part", -part if low else part).withColumn("at", at).where("part = at.part")
+    share = percent / 100 if low else 1 - percent / 100
+    beside = [min(max(share + k * 2 / ACCURACY, 0.0), 1.0) for k in (-1, 1)]
+    cuts = own.agg(F.percentile_approx("v", beside, ACCURACY)).scalar()
+    cut = own.withColumn("cuts", cuts)
+    first, last = F.col("cuts")[0], F.col("cuts")[1]
+    below, above = F.count_if(F.col("v") < first), F.count_if(F.col("v") > last)
+    sizes = cut.agg(F.count(F.lit(1)).alias("n"), below.alias("below"), above.alias("above"), F.max("cuts").alias("cuts"))
+    sizes = sizes.withColumn("rank", F.ceil(F.col("n") * (percent / 100)))
+    near, far = ("below", "above") if low else ("above", "below")
+    part = F.when(F.col("rank") <= F.col(near), near).when(F.col("rank") <= F.col("n") - F.col(far), "middle").otherwise(far)
+    before = F.when(part == near, 0).when(part == "middle", F.col(near)).otherwise(F.col("n") - F.col(far))
+    at = sizes.where("rank > 0").select(F.struct(part.alias("part"), (F.col("rank") - before).alias("rest"), "cuts").alias("s")).agg(F.max("s")).scalar()
+    place = F.when(F.col("v") < F.col("at.cuts")[0], "below").when(F.col("v") > F.col("at.cuts")[1], "above").otherwise("middle")
+    inside = own.withColumn("at", at).where(place == F.col("at.part")).select("v").groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("rest", at.getField("rest"))
     run = F.sum("n").over(Window.orderBy(F.asc("v") if low else F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
-    reached = inside.withColumn("before", F.coalesce(run, F.lit(0))).where("before < at.rest")
+    reached = inside.withColumn("before", F.coalesce(run, F.lit(0))).where("before < rest")
     return reached.agg((F.max if low else F.min)("v")).scalar()
 
 

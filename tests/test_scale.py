@@ -1,9 +1,12 @@
 """Work that must not grow faster than the input: what is done once a shape, once a link, once a value."""
 
+import math
+import random
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
 
+from tabloom.operators import filters
 from tabloom.plans import execute, infer, mapdef
 
 
@@ -32,3 +35,25 @@ def test_xml_sheets_leave_cells_in_the_worker(spark):
     got = execute.auto_xml_sheets(df, "doc", ["id"])
     want = execute.auto_xml_cells(df, "doc", ["id"]).groupBy("id", "sheet").agg(F.max("row").alias("last_row"), F.count_if(F.col("type") == "numeric").alias("numbers"))
     assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 13
+
+
+def percent_rows(spark, values, percent, low):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    item = filters.Item(0, "bottom_percent" if low else "top_percent", percent)
+    return sorted(r.x for r in filters.apply(df, item).collect())
+
+
+def test_percent_threshold_reads_few_values(spark, monkeypatch):
+    rng = random.Random(3)
+    lists = [[], [2.0] * 50, [rng.choice([0.0, 1.0, rng.random()]) for _ in range(700)] + [float("nan"), None]]
+    for accuracy in (10_000, 3):  # coarse quantiles may miss the rank, which the counts find
+        monkeypatch.setattr(filters, "ACCURACY", accuracy)
+        for values in lists:
+            numbers = sorted(v for v in values if v is not None and v == v)
+            for percent, low in ((3, False), (50, True), (100, True), (0, False)):
+                rank = math.ceil(len(numbers) * (percent / 100))
+                edge = (numbers if low else numbers[::-1])[rank - 1] if rank else None
+                assert percent_rows(spark, values, percent, low) == [v for v in numbers if rank and (v <= edge if low else v >= edge)], (accuracy, percent, low)
+    df = spark.range(1000).selectExpr("CAST(id AS double) AS x")
+    plan = filters.apply(df, filters.Item(0, "top_percent", 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan  # no row is compared with an array of cuts
