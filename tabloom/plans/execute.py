@@ -15,13 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.autotype import NUMERIC
 from ..functions.paths import WILD, parse_jsonpath, parse_xpath
 from ..operators.filters import free_name
-from .flatten import Field, flatten
+from .flatten import Field, row_array
 from .flatten import labels as json_labels
 from .mapdef import CellLink, MapDefinition, RangeLink, json_shapes, xml_shapes
 
@@ -91,12 +91,8 @@ def json_rows(df: DataFrame, column: str, link: RangeLink, keep: list[str], row:
     parsed = free_name(df, "parsed")
     docs = df.withColumn(parsed, F.from_json(column, leaf_schema([p for p, _ in link.fields] + [f"{g}[*]" for g in link.row_groups if not any(p.startswith(g) for p, _ in link.fields)])))
     fields = [Field(p, f"v{k}") for k, (p, _) in enumerate(link.fields)]
-    flat = flatten(docs, parsed, link.spec, keep, fields)
-    order = [c for c in flat.columns if re.fullmatch(r"_p\d+", c)]
-    if "_branch" in flat.columns:
-        order = [order[0], "_branch", *order[1:]] if len({g.split("[*]")[0] for g in link.row_groups}) == 1 else ["_branch", *order]
-    number = F.row_number().over(Window.partitionBy(*keep).orderBy(*order)) - 1  # one document's rows
-    return flat.withColumn(row, number.cast("long")).select(*keep, row, *(f.label for f in fields))
+    rows = docs.select(*keep, F.posexplode(row_array(F.col(parsed), link.spec, fields)).alias(row, "_r"))
+    return rows.select(*keep, F.col(row).cast("long").alias(row), *(F.col("_r")[f.label].alias(f.label) for f in fields))
 
 
 def json_cells(df: DataFrame, column: str, m: MapDefinition, keep: list[str]) -> DataFrame:

@@ -86,6 +86,43 @@ def flatten(df: DataFrame, column: str, spec: RangeSpec, keep: list[str] | None
     return result if len(parts) > 1 else result.drop("_branch")
 
 
+def row_array(document: Column, spec: RangeSpec, fields: list[Field]) -> Column:
+    """The rows of one range of one document, in order, as an array of structs of variants: no sort, no shuffle.
+
+    Chains of groups that begin with the same array take turns within its items, others follow each other.
+    """
+    groups = sorted((parse_jsonpath(g) for g in spec.row_groups), key=len)
+    tops = [g for g in groups if not any(_starts(g, [*o, WILD]) for o in groups if o is not g)]
+
+    def row(branch: list[list], nodes: list[Column]) -> Column:
+        columns = []
+        for f in fields:
+            steps = parse_jsonpath(f.path)
+            level = max((k + 1 for k, g in enumerate(branch) if _starts(steps, [*g, WILD])), default=0)
+            sibling = sum(_starts(steps, [*g, WILD]) for g in groups) > level
+            value = F.lit(None) if sibling else _walk(nodes[level], steps[len(branch[level - 1]) + 1 if level else 0 :])
+            columns.append(value.cast("variant").alias(f.label))
+        return F.array(F.struct(*columns))
+
+    def rows(branches: list[list[list]], nodes: list[Column]) -> Column:
+        level = len(nodes) - 1
+        if len(branches) == 1 and len(branches[0]) == level:
+            return row(branches[0], nodes)
+        group = branches[0][level]
+        array = _walk(nodes[level], group[len(branches[0][level - 1]) + 1 if level else 0 :])
+        here = F.when(F.size(array) > 0, array).otherwise(F.array(F.lit(None)))  # a parent without items keeps one row
+
+        def inside(x: Column) -> Column:
+            # the first group is shared, deeper ones belong to their own chain
+            parts = [rows([b], [*nodes, x]) for b in branches]
+            return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+        return F.flatten(F.transform(here, inside))
+
+    parts = [rows(_branches(groups, [top]), [document]) for top in tops]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
 def _branches(groups: list[list], tops: list[list]) -> list[list[list]]:
     """Chains of nested row groups, one per innermost group."""
 

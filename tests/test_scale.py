@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import filters
 from tabloom.plans import execute, infer, mapdef
+from tabloom.plans.mapdef import RangeLink
 
 
 def xml_text(lines: int, p: str = "", declared: str = "") -> str:
@@ -57,3 +58,16 @@ def test_percent_threshold_reads_few_values(spark, monkeypatch):
     df = spark.range(1000).selectExpr("CAST(id AS double) AS x")
     plan = filters.apply(df, filters.Item(0, "top_percent", 3))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan  # no row is compared with an array of cuts
+
+
+def test_json_rows_need_no_window(spark):
+    text = '{"n": "x", "d": [{"p": 1, "r": [{"i": 1}, {"i": 2}], "s": [{"j": 3}]}, {"p": 2, "r": [], "s": null}]}'
+    link = RangeLink("s", 0, 0, [("$['n']", None), ("$['d'][*]['p']", None), ("$['d'][*]['r'][*]['i']", None), ("$['d'][*]['s'][*]['j']", None)], ["$['d']", "$['d'][*]['r']", "$['d'][*]['s']"])
+    df = spark.createDataFrame([(1, text), (2, '{"d": []}'), (3, "{bad"), (4, None)], "id int, doc string")
+    rows = execute.json_rows(df, "doc", link, ["id"])
+    got = {(r.id, r.row): tuple(v and v.toPython() for v in r[2:]) for r in rows.collect()}
+    own = [("x", 1, 1, None), ("x", 1, 2, None), ("x", 1, None, 3), ("x", 2, None, None), ("x", 2, None, None)]
+    none = {(k, row): (None,) * 4 for k in (2, 3, 4) for row in (0, 1)}
+    assert got == {(1, k): v for k, v in enumerate(own)} | none
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
