@@ -71,3 +71,13 @@ def test_json_rows_need_no_window(spark):
     assert got == {(1, k): v for k, v in enumerate(own)} | none
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan
+
+
+def test_xml_links_are_compiled_once_and_values_typed_once():
+    link = RangeLink("s", 0, 0, [("/o:a/o:b/@id", None), ("/o:a/o:b/o:c", None)], ["/o:a/o:b", "/o:a/o:b/o:c"])
+    root, typed = ET.fromstring(xml_text(3, "x:", " xmlns:x='urn:o'")), []
+    before = execute._xml_places.cache_info().misses
+    for _ in range(3):
+        rows = list(execute.xml_tree_rows(root, link, {"o": "urn:o"}, lambda x: typed.append(x) or x))
+        assert rows == [["7", "0.0"], ["7", "1.0"], ["7", "2.0"], ["-", None]]
+    assert execute._xml_places.cache_info().misses == before + 1 and typed.count("7") == 3
