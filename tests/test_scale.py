@@ -81,3 +81,9 @@ def test_xml_links_are_compiled_once_and_values_typed_once():
         rows = list(execute.xml_tree_rows(root, link, {"o": "urn:o"}, lambda x: typed.append(x) or x))
         assert rows == [["7", "0.0"], ["7", "1.0"], ["7", "2.0"], ["-", None]]
     assert execute._xml_places.cache_info().misses == before + 1 and typed.count("7") == 3
+
+
+def test_xml_maps_without_namespaces_match_local_names():
+    link = RangeLink("s", 0, 0, [("/a/b/@id", None), ("/a/b/c", None)], ["/a/b", "/a/b/c"])
+    runs = list(execute.xml_document_runs(ET.fromstring(xml_text(2, "x:", " xmlns:x='urn:o'")), mapdef.MapDefinition(["s"], [], [link])))
+    assert runs == [("s", 0, 0, [("string", "id"), ("string", "c")]), ("s", 1, 0, [("numeric", "7"), ("numeric", "0")]), ("s", 2, 0, [("numeric", "7"), ("numeric", "1")]), ("s", 3, 0, [("string", "-"), None])]
