@@ -87,3 +87,14 @@ def test_xml_maps_without_namespaces_match_local_names():
     link = RangeLink("s", 0, 0, [("/a/b/@id", None), ("/a/b/c", None)], ["/a/b", "/a/b/c"])
     runs = list(execute.xml_document_runs(ET.fromstring(xml_text(2, "x:", " xmlns:x='urn:o'")), mapdef.MapDefinition(["s"], [], [link])))
     assert runs == [("s", 0, 0, [("string", "id"), ("string", "c")]), ("s", 1, 0, [("numeric", "7"), ("numeric", "0")]), ("s", 2, 0, [("numeric", "7"), ("numeric", "1")]), ("s", 3, 0, [("string", "-"), None])]
+
+
+def test_json_ranges_are_inferred_once_a_shape():
+    calls = []
+    shapes = infer.Shapes(infer.json_shape, lambda x: calls.append(1) or mapdef.detect_json_map(x))
+    for k in range(50):
+        document = {"d": [{"i": k, "t": str(k)}, {"i": None, "t": True}], "n": k}
+        assert shapes.of(document) == mapdef.detect_json_map(document)
+    assert len(calls) == 1
+    for other in ({"d": [[1], [2]]}, {"d": [[1, {}], [2]]}, {"d": [[{}], [2, 3]]}, {"d": [{"e": [{"f": 1}]}]}, {"d": [{"e": [{"f": 1}]}, {"e": [{"f": 1}]}]}):
+        assert shapes.of(other) == mapdef.detect_json_map(other)
